@@ -3,7 +3,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["roll_ups"]
+MODULES = ["roll_ups", "normalizing"]
 
 for _module in MODULES:
     importlib.import_module(f"{__name__}.{_module}")

@@ -32,5 +32,3 @@ ARCHIVE_CSV = T.StructType([
 # Exchange messages; every value is read as text so one odd field never nulls the record.
 _AGG = T.StructType([T.StructField(c, T.StringType()) for c in ["e", "s", "p", "q", "T", "a"]])
 CRYPTO_MESSAGE = T.StructType(list(_AGG.fields) + [T.StructField("data", _AGG)])
-EQUITY_MESSAGE = T.StructType(
-    [T.StructField(c, T.StringType()) for c in ["T", "S", "p", "s", "t", "x", "i", "bp", "ap", "bx", "ax", "msg"]])
