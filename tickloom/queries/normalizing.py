@@ -387,7 +387,7 @@ def text_functions(spark, sf):
 def time_functions(spark, sf):
     sec = TP.seconds("ts")
     return A.table(spark, sf, "events").select(
-        "event_id", F.to_date("ts").alias("day"), TP.floor_bucket("ts", 60).alias("minute"),
+        "event_id", F.to_date("ts").alias("day"), F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("minute"),
         TP.floor_bucket("ts", 900).alias("quarter"), (F.floor(sec / 900) * 900).alias("quarter_s"),
         F.date_add(F.to_date("ts"), 7).alias("next_week"), F.datediff(F.to_date("ts"), D("2024-01-01")).alias("age_days"))
 
