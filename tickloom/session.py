@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # few but costly rows (daily series) still spread over the cores
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     # newest-N reads (N up to a few thousand) prune per map task before the shuffle
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }
