@@ -27,11 +27,15 @@ def _coefficients(u, order):
 
 def _filter(y, phi, theta, const):
     """Innovations of y and of a constant, their variances, and the state after the last value."""
+    if phi.shape[1] == 1 and theta.shape[1] == 1:
+        return _filter_first_order(y, phi[:, 0], theta[:, 0], const)
     batch, n = y.shape
     p, q = phi.shape[1], theta.shape[1]
     r = max(p, q + 1)
+    ar = np.zeros((batch, r))
+    ar[:, :p] = phi
     T = np.zeros((batch, r, r))
-    T[:, :p, 0] = phi
+    T[:, :, 0] = ar
     T[:, np.arange(r - 1), np.arange(1, r)] = 1.0
     R = np.zeros((batch, r))
     R[:, 0], R[:, 1:q + 1] = 1.0, theta
@@ -39,24 +43,43 @@ def _filter(y, phi, theta, const):
     kron = np.einsum("bij,bkl->bikjl", T, T).reshape(batch, r * r, r * r)
     P = np.linalg.solve(np.eye(r * r) - kron, RR.reshape(batch, r * r, 1)).reshape(batch, r, r)
     a = np.zeros((batch, 2, r))
-    v, F = np.empty((batch, 2, n)), np.empty((batch, n))
-    one = const.astype(float)
+    v, F = np.empty((n, batch, 2)), np.empty((n, batch))
+    ys = np.stack([y.T, np.broadcast_to(const.astype(float), (n, batch))], 2)
     settled = False
     for t in range(n):
         if not settled:
             f = P[:, 0, 0]
-            K = np.einsum("bij,bj->bi", T, P[:, :, 0]) / f[:, None]
-            nextP = np.einsum("bij,bjk,blk->bil", T, P, T) + RR - K[:, :, None] * K[:, None, :] * f[:, None, None]
-            settled = t > r and np.max(np.abs(nextP - P)) < 1e-12
-            P = nextP
-        e0, e1 = y[:, t] - a[:, 0, 0], one - a[:, 1, 0]
-        v[:, 0, t], v[:, 1, t], F[:, t] = e0, e1, f
-        head = a[:, :, :1].copy()
-        a[:, :, :-1] = a[:, :, 1:]
-        a[:, :, -1] = 0.0
-        a[:, :, :p] += head * phi[:, None, :]
-        a += np.stack([e0, e1], 1)[:, :, None] * K[:, None, :]
-    return v, F, a
+            left = ar[:, :, None] * P[:, :1, :]              # T P, using the companion form of T
+            left[:, :-1] += P[:, 1:]
+            K = left[:, :, 0] / f[:, None]
+            new = left[:, :, :1] * ar[:, None, :] + RR       # (T P) T' + R R'
+            new[:, :, :-1] += left[:, :, 1:]
+            new -= K[:, :, None] * (K * f[:, None])[:, None, :]
+            settled = t > r and np.abs(new - P).max() < 1e-9
+            P = new
+        e = ys[t] - a[:, :, 0]
+        v[t], F[t] = e, f
+        nxt = a[:, :, :1] * ar[:, None, :] + e[:, :, None] * K[:, None, :]
+        nxt[:, :, :-1] += a[:, :, 1:]
+        a = nxt
+    return v.transpose(1, 2, 0), F.T, a
+
+
+def _filter_first_order(y, phi, theta, const):
+    """The same for ARMA(1, 1), where one number carries the state."""
+    batch, n = y.shape
+    v, F = np.empty((n, 2, batch)), np.empty((n, batch))
+    ys = np.stack([y.T, np.broadcast_to(const.astype(float), (n, batch))], 1)
+    f = (1 + 2 * phi * theta + theta * theta) / (1 - phi * phi)
+    square, guess = theta * theta, np.zeros((2, batch))
+    for t in range(n):
+        e = ys[t] - guess
+        v[t], F[t] = e, f
+        guess = phi * ys[t] + e * (theta / f)
+        f = 1 + square - square / f
+    state = np.zeros((batch, 2, 2))
+    state[:, :, 0] = guess.T
+    return v.transpose(2, 1, 0), F.T, state
 
 
 def _profile(y, phi, theta, const):
@@ -71,7 +94,7 @@ def _profile(y, phi, theta, const):
     return llf, mu, s2, a[:, 0] - mu[:, None] * a[:, 1]
 
 
-def fit(y, p, q, const, iterations=40):
+def fit(y, p, q, const, iterations=25):
     """Fit ARMA(p, q) (+ mean) to every row of ``y``; p, q, const hold one entry per row."""
     y = np.asarray(y, float)
     scale = y.std(axis=1)
@@ -125,7 +148,7 @@ def fit(y, p, q, const, iterations=40):
         rho = np.where(ok, 1.0 / np.where(ok, sy, 1.0), 0.0)
         V = np.eye(k) - rho[:, None, None] * s[:, :, None] * yv[:, None, :]
         H = np.where(ok[:, None, None], V @ H @ V.transpose(0, 2, 1) + rho[:, None, None] * s[:, :, None] * s[:, None, :], H)
-        small = np.max(best - nf) < 1e-10
+        small = np.max(best - nf) < 1e-8
         u, best, g = nu, nf, ng
         if small:
             break
