@@ -25,10 +25,13 @@ def _coefficients(u, order):
     return phi
 
 
-def _filter(y, phi, theta, const):
-    """Innovations of y and of a constant, their variances, and the state after the last value."""
+def _filter(y, phi, theta, const, begin):
+    """Innovations of y and of a constant, their variances, and the state after the last value.
+
+    Series are right-aligned; ``begin`` is the index of the first real value of each row.
+    """
     if phi.shape[1] == 1 and theta.shape[1] == 1:
-        return _filter_first_order(y, phi[:, 0], theta[:, 0], const)
+        return _filter_first_order(y, phi[:, 0], theta[:, 0], const, begin)
     batch, n = y.shape
     p, q = phi.shape[1], theta.shape[1]
     r = max(p, q + 1)
@@ -44,8 +47,9 @@ def _filter(y, phi, theta, const):
     P = np.linalg.solve(np.eye(r * r) - kron, RR.reshape(batch, r * r, 1)).reshape(batch, r, r)
     a = np.zeros((batch, 2, r))
     v, F = np.empty((n, batch, 2)), np.empty((n, batch))
-    ys = np.stack([y.T, np.broadcast_to(const.astype(float), (n, batch))], 2)
-    settled = False
+    live = np.arange(n)[:, None] >= begin[None, :]
+    ys = np.stack([y.T, live * const.astype(float)], 2)
+    late, settled = begin.max(), False
     for t in range(n):
         if not settled:
             f = P[:, 0, 0]
@@ -55,37 +59,46 @@ def _filter(y, phi, theta, const):
             new = left[:, :, :1] * ar[:, None, :] + RR       # (T P) T' + R R'
             new[:, :, :-1] += left[:, :, 1:]
             new -= K[:, :, None] * (K * f[:, None])[:, None, :]
-            settled = t > r and np.abs(new - P).max() < 1e-9
+            if t < late:
+                new = np.where(live[t][:, None, None], new, P)
+            settled = t > r + late and np.abs(new - P).max() < 1e-9
             P = new
         e = ys[t] - a[:, :, 0]
-        v[t], F[t] = e, f
+        v[t], F[t] = e, np.where(live[t], f, 1.0)
         nxt = a[:, :, :1] * ar[:, None, :] + e[:, :, None] * K[:, None, :]
         nxt[:, :, :-1] += a[:, :, 1:]
         a = nxt
     return v.transpose(1, 2, 0), F.T, a
 
 
-def _filter_first_order(y, phi, theta, const):
+def _filter_first_order(y, phi, theta, const, begin):
     """The same for ARMA(1, 1), where one number carries the state."""
     batch, n = y.shape
     v, F = np.empty((n, 2, batch)), np.empty((n, batch))
-    ys = np.stack([y.T, np.broadcast_to(const.astype(float), (n, batch))], 1)
+    live = np.arange(n)[:, None] >= begin[None, :]
+    ys = np.stack([y.T, live * const.astype(float)], 1)
+    late = begin.max()
     f = (1 + 2 * phi * theta + theta * theta) / (1 - phi * phi)
     square, guess = theta * theta, np.zeros((2, batch))
     for t in range(n):
         e = ys[t] - guess
-        v[t], F[t] = e, f
         guess = phi * ys[t] + e * (theta / f)
-        f = 1 + square - square / f
+        v[t] = e
+        if t < late:
+            F[t] = np.where(live[t], f, 1.0)
+            f = np.where(live[t], 1 + square - square / f, f)
+        else:
+            F[t] = f
+            f = 1 + square - square / f
     state = np.zeros((batch, 2, 2))
     state[:, :, 0] = guess.T
     return v.transpose(2, 1, 0), F.T, state
 
 
-def _profile(y, phi, theta, const):
+def _profile(y, phi, theta, const, begin):
     """Log-likelihood with mean and variance solved out; also mean, variance and state."""
-    v, F, a = _filter(y, phi, theta, const)
-    n = y.shape[1]
+    v, F, a = _filter(y, phi, theta, const, begin)
+    n = y.shape[1] - begin
     den = (v[:, 1] ** 2 / F).sum(1)
     mu = np.where(const & (den > 0), (v[:, 0] * v[:, 1] / F).sum(1) / np.where(den > 0, den, 1.0), 0.0)
     e = v[:, 0] - mu[:, None] * v[:, 1]
@@ -94,13 +107,21 @@ def _profile(y, phi, theta, const):
     return llf, mu, s2, a[:, 0] - mu[:, None] * a[:, 1]
 
 
-def fit(y, p, q, const, iterations=25):
-    """Fit ARMA(p, q) (+ mean) to every row of ``y``; p, q, const hold one entry per row."""
+def fit(y, p, q, const, lengths=None, iterations=25):
+    """Fit ARMA(p, q) (+ mean) to every row of ``y``; p, q, const hold one entry per row.
+
+    Rows shorter than the batch are right-aligned; ``lengths`` then gives their real sizes.
+    """
     y = np.asarray(y, float)
-    scale = y.std(axis=1)
+    batch, n = y.shape
+    size = np.full(batch, n) if lengths is None else np.asarray(lengths)
+    begin = n - size
+    live = np.arange(n)[None, :] >= begin[:, None]
+    y = np.where(live, y, 0.0)
+    mean = y.sum(axis=1) / size
+    scale = np.sqrt((np.where(live, y - mean[:, None], 0.0) ** 2).sum(axis=1) / size)
     scale = np.where(scale > 0, scale, 1.0)
     z = y / scale[:, None]
-    batch = len(z)
     kp, kq = max(int(p.max()), 1), max(int(q.max()), 1)
     k = kp + kq
     free = np.concatenate([np.arange(kp)[None, :] < p[:, None], np.arange(kq)[None, :] < q[:, None]], 1)
@@ -112,8 +133,8 @@ def fit(y, p, q, const, iterations=25):
         pp, qq = np.tile(p, sets), np.tile(q, sets)
         phi, theta = _coefficients(u[:, :kp], pp), -_coefficients(u[:, kp:], qq)
         with np.errstate(all="ignore"):
-            llf = _profile(np.tile(z, (sets, 1)), phi, theta, np.tile(const, sets))[0]
-        return np.where(np.isfinite(llf), -llf / z.shape[1], 1e10).reshape(sets, batch)
+            llf = _profile(np.tile(z, (sets, 1)), phi, theta, np.tile(const, sets), np.tile(begin, sets))[0]
+        return np.where(np.isfinite(llf), -llf / np.tile(size, sets), 1e10).reshape(sets, batch)
 
     def gradient(u):
         eye = np.eye(k)[:, None, :] * 1e-5
@@ -153,8 +174,8 @@ def fit(y, p, q, const, iterations=25):
         if small:
             break
     phi, theta = _coefficients(u[:, :kp], p), -_coefficients(u[:, kp:], q)
-    llf, mu, s2, state = _profile(z, phi, theta, const)
-    llf = llf - z.shape[1] * np.log(scale)
+    llf, mu, s2, state = _profile(z, phi, theta, const, begin)
+    llf = llf - size * np.log(scale)
     return {"phi": phi, "theta": theta, "mu": mu * scale, "s2": s2 * scale ** 2, "state": state * scale[:, None],
             "llf": llf, "aic": -2 * llf + 2 * (p + q + const + 1)}
 

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.operators import backtest as B, forecast as FC, metrics as M, signals as G
 from tickloom.operators.coverage import eligible_symbols
+from tickloom.session import cut_lineage
 
 # Report defaults.
 REPORT_MULTIPLIER, SWEEP = 0.25, [0.15, 0.25, 0.35]
@@ -51,15 +52,18 @@ def prediction_rows(bars: DataFrame, decided: DataFrame, t: str, start: Column,
 
 def performance_rows(bars: DataFrame, forecasts: DataFrame, t: str, start: Column, end: Column,
                      multiplier: float = REPORT_MULTIPLIER) -> DataFrame:
-    """The report grid: buy-and-hold plus every forecast model, one row per symbol and model."""
-    decided = FC.decide(forecasts, multiplier, FEE_BPS, SLIPPAGE_BPS)
+    """The report grid: buy-and-hold plus every forecast model, one row per symbol and model.
+
+    The forecasts feed several joins, so they are checkpointed instead of fitted again for each.
+    """
+    decided = FC.decide(cut_lineage(forecasts), multiplier, FEE_BPS, SLIPPAGE_BPS)
     return buy_and_hold_rows(bars, t, start, end).unionByName(prediction_rows(bars, decided, t, start, end))
 
 
 def threshold_rows(bars: DataFrame, forecasts: DataFrame, t: str, start: Column, end: Column, sweep=None) -> DataFrame:
     """The forecast rows once, decided with every multiplier, one book per symbol, model and multiplier."""
     multipliers = F.array(*[F.lit(float(m)) for m in (sweep or SWEEP)])
-    spread = forecasts.withColumn("multiplier", F.explode(multipliers))
+    spread = cut_lineage(forecasts).withColumn("multiplier", F.explode(multipliers))
     return prediction_rows(bars, FC.decide(spread, F.col("multiplier"), FEE_BPS, SLIPPAGE_BPS), t, start, end, ["multiplier"])
 
 
