@@ -3,7 +3,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["roll_ups", "normalizing", "merging", "technical", "checking", "measuring", "forecasting"]
+MODULES = ["roll_ups", "normalizing", "merging", "technical", "checking", "measuring", "forecasting", "live"]
 
 for _module in MODULES:
     importlib.import_module(f"{__name__}.{_module}")
