@@ -20,7 +20,8 @@ def _rates(fee_bps: float, slippage_bps: float) -> tuple[float, float]:
 
 
 def _dec(value: Column, scale: int) -> Column:
-    return F.round(value.cast("decimal(38,12)"), scale)
+    """Half up at a scale; a value too large for a decimal becomes NULL instead of failing the job."""
+    return F.round(value.try_cast("decimal(38,12)"), scale)
 
 
 def equity_curve(bars: DataFrame, book: list[str], t: str, at_open: bool = False, fee_bps: float = 0.0,
@@ -45,16 +46,16 @@ def equity_curve(bars: DataFrame, book: list[str], t: str, at_open: bool = False
     df = df.withColumns({
         "_p": F.product("_f").over(so_far),
         "_entry": F.last(F.when(F.col("fill") == "BUY", F.col("_f")), ignorenulls=True).over(before)})
-    equity = _dec(F.lit(cash) * F.col("_p") * F.when(F.col("_is"), F.col("_c")).otherwise(1.0), 8).cast("decimal(28,8)")
+    equity = _dec(F.lit(cash) * F.col("_p") * F.when(F.col("_is"), F.col("_c")).otherwise(1.0), 8).try_cast("decimal(28,8)")
     df = df.withColumn("equity", equity)
     peak = F.greatest(F.lit(cash).cast("decimal(28,8)"), F.max("equity").over(so_far)).cast("double")
-    drawdown = _dec((peak - F.col("equity").cast("double")) / peak * 100, 6).cast("decimal(18,6)")
-    pnl = F.when(F.col("fill") == "SELL", _dec((F.col("_entry") * F.col("_f") - 1) * 100, 6).cast("decimal(18,6)"))
+    drawdown = _dec((peak - F.col("equity").cast("double")) / peak * 100, 6).try_cast("decimal(18,6)")
+    pnl = F.when(F.col("fill") == "SELL", _dec((F.col("_entry") * F.col("_f") - 1) * 100, 6).try_cast("decimal(18,6)"))
     exec_price = F.when(F.col("fill") == "BUY", F.col("_m") * (1 + slip)).when(F.col("fill") == "SELL", F.col("_m") * (1 - slip))
     quantity = F.when(F.col("fill") == "BUY", F.lit(cash) * F.col("_p")).when(F.col("fill") == "SELL", F.lit(cash) * F.col("_p") / F.col("_f"))
     return df.select(
         *book, t, "signal", "fill", F.col("_is").alias("held"), "equity", drawdown.alias("drawdown_pct"), pnl.alias("pnl_pct"),
-        F.when(F.col("fill").isNotNull(), _dec(exec_price, 8).cast("decimal(24,8)")).alias("price"),
+        F.when(F.col("fill").isNotNull(), _dec(exec_price, 8).try_cast("decimal(24,8)")).alias("price"),
         quantity.alias("quantity"), F.when(F.col("fill") == "SELL", F.lit(cash) * F.col("_p")).when(F.col("fill") == "BUY", F.lit(0.0)).alias("cash"),
         (F.col("_m").isNull() | (F.col("_m") <= 0)).alias("bad_price"))
 
@@ -72,16 +73,18 @@ def summary(curve: DataFrame, book: list[str], t: str, cash: float = DEFAULT_CAS
         F.max_by("equity", t).alias("final_equity"), F.max("drawdown_pct").alias("mdd_pct"),
         F.count_if(F.col("fill") == "SELL").alias("round_trips"), F.count_if(F.col("pnl_pct") > 0).alias("wins"),
         F.count("fill").alias("trade_count"), F.count("*").alias("bar_count"), F.min(t).alias("first_bar"), F.max(t).alias("last_bar"),
-        F.count_if("bad_price").alias("bad"))
+        F.count_if(F.col("bad_price") | F.col("equity").isNull()).alias("bad"))
     final = F.col("final_equity").cast("double")
     days = F.datediff(F.col("last_bar").cast("date"), F.col("first_bar").cast("date"))
     ok = F.col("bad") == 0
     value = lambda c: F.when(ok, c)
-    growth = F.when((days > 0) & (final > 0), _dec((F.pow(final / cash, 365.25 / days) - 1) * 100, 6).cast("decimal(24,6)"))
+    yearly = F.when((days > 0) & (final > 0), (F.pow(final / cash, 365.25 / days) - 1) * 100)
+    # a few days of a strong move annualize to figures beyond any decimal; those stay as they are
+    growth = F.when(F.abs(yearly) < float("inf"), F.coalesce(_dec(yearly, 6).cast("double"), yearly))
     return agg.select(
         *book, F.when(ok, "SUCCESS").otherwise("FAILED").alias("status"),
         F.when(~ok, "execution price must be positive").alias("error_summary"), value(F.col("final_equity")).alias("final_equity"),
-        value(_dec((final - cash) / cash * 100, 6).cast("decimal(24,6)")).alias("total_return_pct"), value(growth).alias("cagr_pct"),
+        value(_dec((final - cash) / cash * 100, 6).try_cast("decimal(24,6)")).alias("total_return_pct"), value(growth).alias("cagr_pct"),
         value(F.col("mdd_pct")).alias("mdd_pct"), value(F.col("round_trips")).alias("round_trips"), value(F.col("wins")).alias("wins"),
-        value(F.when(F.col("round_trips") > 0, _dec(F.col("wins") / F.col("round_trips") * 100, 4).cast("decimal(18,4)"))).alias("win_rate_pct"),
+        value(F.when(F.col("round_trips") > 0, _dec(F.col("wins") / F.col("round_trips") * 100, 4).try_cast("decimal(18,4)"))).alias("win_rate_pct"),
         "trade_count", "bar_count")

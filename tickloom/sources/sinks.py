@@ -47,7 +47,7 @@ def merge_into(spark: SparkSession, path: str, incoming: DataFrame, day: str,
     stored = touched(spark.read.parquet(path), incoming, day)
     merged = merge(stored, incoming)
     merged.repartition(day).write.partitionBy(day).parquet(stage)
-    staged = spark.read.parquet(stage)
+    staged = spark.read.schema(merged.schema).parquet(stage)  # also readable when nothing was merged
     (staged.drop("changed").repartition(day).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path))
     return staged
