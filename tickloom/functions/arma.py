@@ -107,7 +107,7 @@ def _profile(y, phi, theta, const, begin):
     return llf, mu, s2, a[:, 0] - mu[:, None] * a[:, 1]
 
 
-def fit(y, p, q, const, lengths=None, iterations=25):
+def fit(y, p, q, const, lengths=None, iterations=25, tolerance=1e-8):
     """Fit ARMA(p, q) (+ mean) to every row of ``y``; p, q, const hold one entry per row.
 
     Rows shorter than the batch are right-aligned; ``lengths`` then gives their real sizes.
@@ -169,7 +169,7 @@ def fit(y, p, q, const, lengths=None, iterations=25):
         rho = np.where(ok, 1.0 / np.where(ok, sy, 1.0), 0.0)
         V = np.eye(k) - rho[:, None, None] * s[:, :, None] * yv[:, None, :]
         H = np.where(ok[:, None, None], V @ H @ V.transpose(0, 2, 1) + rho[:, None, None] * s[:, :, None] * s[:, None, :], H)
-        small = np.max(best - nf) < 1e-8
+        small = np.max(best - nf) < tolerance
         u, best, g = nu, nf, ng
         if small:
             break

@@ -55,7 +55,8 @@ def rfc3339_millis(text, processing_time=None) -> tuple[Column, Column]:
     raw = c(text)
     fraction = F.rpad(F.substring(F.regexp_extract(raw, r"\.(\d+)", 1), 1, 6), 6, "0")
     trimmed = F.when(raw.rlike(r"\.\d"), F.regexp_replace(raw, r"\.\d+", F.concat(F.lit("."), fraction))).otherwise(raw)
-    parsed = F.try_to_timestamp(trimmed)
+    # the guard keeps out what only a timestamp cast understands, such as "12:00" or "yesterday"
+    parsed = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(trimmed))
     now = F.current_timestamp() if processing_time is None else processing_time
     millis = F.unix_millis(F.coalesce(parsed, now.cast("timestamp")))
     return millis, parsed.isNull()

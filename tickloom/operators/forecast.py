@@ -236,7 +236,7 @@ def order_scores(series: DataFrame, keys: list[str], t: str, value: str) -> Data
         y = pdf.sort_values(t)["v"].to_numpy(float)
         y = np.diff(y) if d else y
         qs = np.array(Q_VALUES)
-        m = arma.fit(np.tile(y, (len(qs), 1)), np.full(len(qs), p), qs, np.full(len(qs), d == 0))
+        m = arma.fit(np.tile(y, (len(qs), 1)), np.full(len(qs), p), qs, np.full(len(qs), d == 0), iterations=12, tolerance=1e-7)
         return pd.DataFrame({**{k: [x] * len(qs) for k, x in zip(keys, key)}, "p": p, "d": d, "q": qs, "aic": m["aic"]})
 
     return jobs.groupBy(*keys, "d", "p").applyInPandas(run, schema)
