@@ -6,6 +6,15 @@ from pyspark.sql import Column, functions as F
 from .timeparse import c
 
 
+def once(value: Column) -> Column:
+    """Evaluate a costly expression once per row.
+
+    The optimizer copies a projected expression into every later use of its fields, so a parsed JSON
+    document would be parsed again for each field; a generator is not copied.
+    """
+    return F.explode(F.array(value))
+
+
 def change(price, prev) -> Column:
     """Absolute change, 0 without a usable previous close."""
     p, q = c(price), c(prev)

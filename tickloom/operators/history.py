@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tickloom.functions.pricing import once
 from .merge import insert_missing
 
 RUN_KEY = ["symbol", "interval", "horizon", "source", "base_ts"]
@@ -20,7 +21,7 @@ def _time(col):
 
 def parse_responses(responses: DataFrame, value: str = "value") -> DataFrame:
     """Typed responses; a response without a readable base time is dropped."""
-    v = responses.withColumn("v", F.from_json(value, RESPONSE))
+    v = responses.withColumn("v", once(F.from_json(value, RESPONSE)))
     return (v.withColumn("base_ts", _time(F.col("v.last_ts"))).filter(F.col("base_ts").isNotNull())
             .withColumn("symbol", F.upper("symbol"))
             .withColumn("source", F.substring(F.trim(F.coalesce("source", F.lit(""))), 1, SOURCE_WIDTH)))

@@ -26,7 +26,7 @@ def _now_ms(received_at) -> Column:
 def crypto_trades(messages: DataFrame, value: str = "value", received_at: Column | None = None,
                   keep: tuple[str, ...] = ()) -> DataFrame:
     """aggTrade messages, bare or inside a ``data`` envelope, to ticks; incomplete ones are dropped."""
-    v = F.from_json(value, CRYPTO_MESSAGE)
+    v = P.once(F.from_json(value, CRYPTO_MESSAGE))
     m = messages.select(*keep, v.alias("v")).select(*keep, F.when(F.col("v.data").isNotNull(), F.col("v.data")).otherwise(
         F.struct(*[F.col(f"v.{f}").alias(f) for f in ("e", "s", "p", "q", "T", "a")])).alias("m"))
     present = F.lit(True)
@@ -48,7 +48,7 @@ def equity_items(messages: DataFrame, value: str = "value", keep: tuple[str, ...
     as_array = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
     items = F.from_json(as_array, "array<string>")
     return (messages.select(*keep, F.explode(items).alias("_item"))
-            .select(*keep, F.from_json("_item", "map<string,string>").alias("m")).filter(F.col("m").isNotNull()))
+            .select(*keep, P.once(F.from_json("_item", "map<string,string>")).alias("m")).filter(F.col("m").isNotNull()))
 
 
 def _m(field: str) -> Column:
@@ -91,7 +91,7 @@ def event_json() -> Column:
 
 def parse_events(raw: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Topic JSON to typed ticks with the list of violated rules; unreadable rows violate all."""
-    v = raw.select(*keep, F.col(value).alias("raw"), F.from_json(value, TICK_EVENT).alias("v"))
+    v = raw.select(*keep, F.col(value).alias("raw"), P.once(F.from_json(value, TICK_EVENT)).alias("v"))
     typed = v.select(
         *keep, "raw", F.col("v.source").alias("source"), F.col("v.symbol").alias("symbol"), _num("v.price").alias("price"),
         _num("v.volume").alias("volume"), F.col("v.tradeId").alias("trade_id"), F.col("v.exchange").alias("exchange"),
