@@ -76,3 +76,21 @@ def test_hot_copies_fold_before_the_shuffle(spark):
 def test_every_query_has_a_name_and_runs_lazily_small(spark, sf):
     for name in ("AGG1_minute_ohlcv", "NRM4_message_routing", "WIN22_series_validation", "STR8_dead_letters"):
         assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_storage_path_survives_a_restart(spark, sf):
+    """A second run from the same checkpoint, and a third from a lost one, add nothing twice."""
+    t = A.ticks(spark, sf)
+    path, table, inst, ckpt = (work_path(spark, n) for n in ("in", "ticks", "inst", "ckpt"))
+    half = F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
+    t.filter(half).coalesce(1).write.parquet(path)
+    stream = lambda: J.read_files(spark, path, t.schema, per_trigger=1)
+    J.store_ticks_into(spark, stream(), table, inst, ckpt)
+    t.filter(~half).coalesce(1).write.mode("append").parquet(path)
+    J.store_ticks_into(spark, stream(), table, inst, ckpt)
+    assert spark.read.parquet(table).count() == t.count()
+    J.store_ticks_into(spark, stream(), table, inst)
+    assert spark.read.parquet(table).count() == t.count()
+    ends = {r.symbol: (r.first_seen_at, r.last_seen_at) for r in J.stored_instruments(spark, inst).collect()}
+    want = {r.symbol: (r.a, r.b) for r in t.groupBy("symbol").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).collect()}
+    assert ends == want

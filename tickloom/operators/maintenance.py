@@ -16,15 +16,17 @@ def expired_days(table: DataFrame, day: str, today: Column, keep_days: int) -> D
     return table.select(day).distinct().filter(F.col(day) < F.date_sub(today, keep_days))
 
 
-def retain(spark: SparkSession, path: str, day: str, today: Column, keep_days: int) -> DataFrame:
-    """The table without expired days, rewritten to a new path; returns the kept table.
+def retain(spark: SparkSession, path: str, day: str, today: Column, keep_days: int) -> int:
+    """Drop the day directories past their retention; kept days are not read or written.
 
-    The caller switches readers to the new path; files still in use are never taken away.
+    Only the list of day names comes to the driver, at most one per day of the table.
     """
-    target = work_path(spark, "retained")
-    kept = spark.read.parquet(path).filter(F.col(day) >= F.date_sub(today, keep_days))
-    kept.write.partitionBy(day).parquet(target)
-    return spark.read.parquet(target)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    days = [row[0] for row in expired_days(spark.read.parquet(path), day, today, keep_days).collect()]
+    for d in days:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{day}={d}"), True)
+    return len(days)
 
 
 def compact(spark: SparkSession, path: str, day: str, before: Column, keys=("symbol", "source"), ts: str = "ts") -> None:

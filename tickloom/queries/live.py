@@ -126,7 +126,7 @@ def stored_ticks(spark, sf):
 def stored_instruments(spark, sf):
     root = work_path(spark, "instruments")
     J.store_ticks_into(spark, tick_stream(spark, sf), work_path(spark, "ticks"), root)
-    return spark.read.parquet(f"{root}/version=0")
+    return J.stored_instruments(spark, root)
 
 
 ROUTED = FAILED + """, k AS (SELECT retry_count, CASE code WHEN 'TIMEOUT' THEN 'TIMEOUT_ERROR' WHEN 'CONNECT' THEN 'STORAGE_CONNECTION_ERROR' WHEN 'SQL' THEN 'STORAGE_ERROR'
@@ -157,7 +157,9 @@ def tick_table(spark, sf, dense=False):
 
 @query("MNT1_retention", f"WITH {A.SQL_TICKS} SELECT event_id, ts FROM ticks WHERE CAST(ts AS DATE) >= DATE '2025-02-15' - 400")
 def retention(spark, sf):
-    return MT.retain(spark, tick_table(spark, sf), "day", D("2025-02-15"), MT.TICK_DAYS).select("event_id", "ts")
+    path = tick_table(spark, sf)
+    MT.retain(spark, path, "day", D("2025-02-15"), MT.TICK_DAYS)
+    return spark.read.parquet(path).select("event_id", "ts")
 
 
 @query("MNT1_expired_days", f"WITH {A.SQL_TICKS} SELECT DISTINCT CAST(ts AS DATE) AS day FROM ticks WHERE CAST(ts AS DATE) < DATE '2025-02-15' - 400")

@@ -171,7 +171,7 @@ def bulk_insert(spark, sf):
     path = work_path(spark, "ticks")
     t = with_day(A.ticks(spark, sf))
     key = ["symbol", "source", "trade_id", "ts"]
-    S.append_new(spark, t.filter(F.col("ts") < TS("2024-01-20 00:00:00")), path, key, "day", exists=False)
+    S.append_new(spark, t.filter(F.col("ts") < TS("2024-01-20 00:00:00")), path, key, "day")
     S.append_new(spark, t.unionByName(t.filter(F.col("event_id") % 10 == 0)), path, key, "day")
     return spark.read.parquet(path).select("event_id", "symbol", "source", "trade_id", "ts", "price")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import pricing as P, timeparse as TP
 from tickloom.operators import candles as C, normalize as N
 from tickloom.session import work_path
-from tickloom.sources import adapters as A, candle_files as CF
+from tickloom.sources import adapters as A, candle_files as CF, sinks as S
 from .registry import query
 from .shapes import D, TS
 
@@ -350,7 +350,7 @@ def ranged_ticks(spark, sf):
     """Read from a tick table laid out by day, so the range prunes directories."""
     path = work_path(spark, "ticks")
     t = A.ticks(spark, sf).withColumn("trade_date", F.col("ts").cast("date"))
-    t.repartition("trade_date").sortWithinPartitions("symbol", "source", "ts").write.partitionBy("trade_date").parquet(path)
+    S.write_table(t, path, "trade_date", ["symbol", "source", "ts"])
     got = CF.read_ticks(spark, path, TS("2024-01-03 06:00:00"), TS("2024-01-12 18:00:00"), "view", "binance")
     return got.select("event_id", "symbol", "source", "trade_id", "price", "volume", "ts")
 

@@ -8,16 +8,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tickloom.operators.merge import insert_missing
 from tickloom.session import work_path
 
 
+def by_day(df: DataFrame, day: str) -> DataFrame:
+    """Rows of a day together, in files of an even size.
+
+    A rebalance (unlike a repartition) lets the adaptive run split a day that holds most of the rows.
+    """
+    return df.hint("rebalance", F.col(day))
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:
+        return False
+
+
 def write_table(df: DataFrame, path: str, day: str | None = None, order: list[str] | None = None) -> None:
     """Create or replace a table; a day column becomes the directory layout."""
     if day:
-        df = df.repartition(day)
+        df = by_day(df, day)
     if order:
         df = df.sortWithinPartitions(*order)
     writer = df.write.mode("overwrite")
@@ -31,13 +47,15 @@ def touched(stored: DataFrame, incoming: DataFrame, day: str) -> DataFrame:
     return stored.filter((F.col(day) >= low) & (F.col(day) <= high))
 
 
-def append_new(spark: SparkSession, incoming: DataFrame, path: str, key: list[str], day: str,
-               exists: bool = True) -> None:
-    """Append the rows whose key the table does not hold yet (insert, do nothing on conflict)."""
+def append_new(spark: SparkSession, incoming: DataFrame, path: str, key: list[str], day: str) -> None:
+    """Append the rows whose key the table does not hold yet (insert, do nothing on conflict).
+
+    The check reads the table itself, so a batch that runs again after a restart inserts nothing twice.
+    """
     fresh = incoming.dropDuplicates(key)
-    if exists:
+    if table_exists(spark, path):
         fresh = insert_missing(touched(spark.read.parquet(path), fresh, day), fresh, key)
-    fresh.repartition(day).write.mode("append").partitionBy(day).parquet(path)
+    by_day(fresh, day).write.mode("append").partitionBy(day).parquet(path)
 
 
 def merge_into(spark: SparkSession, path: str, incoming: DataFrame, day: str,
@@ -46,9 +64,9 @@ def merge_into(spark: SparkSession, path: str, incoming: DataFrame, day: str,
     stage = work_path(spark, "stage")
     stored = touched(spark.read.parquet(path), incoming, day)
     merged = merge(stored, incoming)
-    merged.repartition(day).write.partitionBy(day).parquet(stage)
+    by_day(merged, day).write.partitionBy(day).parquet(stage)
     staged = spark.read.schema(merged.schema).parquet(stage)  # also readable when nothing was merged
-    (staged.drop("changed").repartition(day).write.mode("overwrite")
+    (by_day(staged.drop("changed"), day).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path))
     return staged
 

@@ -39,11 +39,17 @@ def with_event_time(ticks: DataFrame, delay: str) -> DataFrame:
     return ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
-def drain(stream: DataFrame, name: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Run a stream over everything available now, with its own checkpoint in the shared folder."""
+def drain(stream: DataFrame, name: str, write: Callable[[DataFrame, int], None], mode: str = "append",
+          checkpoint: str | None = None) -> None:
+    """Run a stream over everything available now.
+
+    ``checkpoint`` is the folder a later run resumes from; without one the run starts fresh in the
+    shared folder.
+    """
     spark = stream.sparkSession
+    where = checkpoint or work_path(spark, f"{name}-checkpoint")
     query = (stream.writeStream.outputMode(mode).trigger(availableNow=True)
-             .option("checkpointLocation", work_path(spark, f"{name}-checkpoint")).foreachBatch(write).start())
+             .option("checkpointLocation", where).foreachBatch(write).start())
     query.awaitTermination()
 
 
@@ -116,21 +122,28 @@ def batch_latest_into(spark: SparkSession, events: DataFrame, path: str, dead: s
     drain(events, "batch-latest", write)
 
 
-def store_ticks_into(spark: SparkSession, ticks: DataFrame, table: str, instruments: str) -> None:
-    """Storage path: insert new ticks, then refresh the instruments seen in the batch."""
-    started = {"ticks": False, "instruments": None}
+def store_ticks_into(spark: SparkSession, ticks: DataFrame, table: str, instruments: str, checkpoint: str | None = None) -> None:
+    """Storage path: insert new ticks, then refresh the instruments seen in the batch.
 
+    Every batch writes its own version of the small instrument table, from the newest version before
+    it; what is stored decides, not the memory of this process, so a restart goes on where it stopped.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("day", F.to_date("ts"))
-        S.append_new(spark, rows, table, TICK_KEY, "day", exists=started["ticks"])
-        started["ticks"] = True
-        seen = N.instruments_of(rows)
-        old = started["instruments"]
-        merged = N.upsert_instruments(spark.read.parquet(old), seen) if old else seen
-        version = f"{instruments}/version={batch_id}"
-        merged.write.mode("overwrite").parquet(version)
-        started["instruments"] = version
-    drain(ticks, "store-ticks", write)
+        S.append_new(spark, rows, table, TICK_KEY, "day")
+        merged = N.instruments_of(rows)
+        if S.table_exists(spark, instruments):
+            earlier = spark.read.parquet(instruments).filter(F.col("version") < batch_id)
+            newest = earlier.agg(F.max("version")).scalar()
+            merged = N.upsert_instruments(earlier.filter(F.col("version") == newest).drop("version"), merged)
+        merged.write.mode("overwrite").parquet(f"{instruments}/version={batch_id}")
+    drain(ticks, "store-ticks", write, checkpoint=checkpoint)
+
+
+def stored_instruments(spark: SparkSession, instruments: str) -> DataFrame:
+    """Newest version of the instrument table."""
+    versions = spark.read.parquet(instruments)
+    return versions.filter(F.col("version") == versions.agg(F.max("version")).scalar()).drop("version")
 
 
 def route(failed: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
