@@ -8,7 +8,7 @@ from .merge import insert_missing
 
 RUN_KEY = ["symbol", "interval", "horizon", "source", "base_ts"]
 # Column widths of the tables.
-SOURCE_WIDTH, MODEL_WIDTH = 64, 64
+SOURCE_WIDTH, MODEL_WIDTH = 32, 64
 
 _POINT = "struct<ts:string,yhat:string,yhat_lower:string,yhat_upper:string>"
 _MODEL = f"struct<model:string,trained_at:string,metrics:struct<mae:string,rmse:string>,forecast:array<{_POINT}>>"

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.timeparse import from_seconds, seconds
-from .neighbors import with_halo, with_next, with_previous, with_span
+from .neighbors import with_halo, with_next, with_previous
 
 SPAN_ROWS = 4096
 # Outlier rule and the least number of observations a model needs.

@@ -12,7 +12,7 @@ from .merging import FAILED, MERGE2_SQL, NUMS, OFFICIAL, STORED_FIX, daily_store
 from .normalizing import event_rows
 from .registry import query
 from .shapes import D, NTZ, TS, stored_candles
-from .technical import CROSS, KEYS, _curve, _engine, _summary, r, rs, W
+from .technical import CROSS, KEYS, W, _curve, _engine, r, rs
 
 DENSE = f"WITH {A.SQL_DENSE}, {A.SQL_MINUTES}"
 CANDLES = f"{DENSE} SELECT symbol, source, bucket, {NUMS}, trade_count FROM minutes"

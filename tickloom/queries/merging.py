@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import candles as C, dedup as U, history as H, merge as M
 from tickloom.session import work_path
 from tickloom.sources import adapters as A, sinks as S
-from .normalizing import ERR_CODE, P, event_rows
+from .normalizing import ERR_CODE, P
 from .registry import query
 from .shapes import D, TS, stored_candles
 

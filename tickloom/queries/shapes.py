@@ -3,8 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.operators import candles as C
-from tickloom.sources import adapters as A
 
 NTZ = "timestamp_ntz"
 
