@@ -1,7 +1,7 @@
 """Registered queries of the corpus operators and, where SQL can express them, their DuckDB SQL."""
 from __future__ import annotations
 
-from tickloom.llm import decontaminate, exact_dedup, html_text, language_id, line_dedup, toxicity
+from tickloom.llm import decontaminate, exact_dedup, html_text, language_id, line_dedup, toxicity, viterbi
 
 LLM_QUERIES = {
     "op1_site_style_tree": html_text.query,
@@ -9,6 +9,7 @@ LLM_QUERIES = {
     "op4_nearest_centroid": language_id.query,
     "op5_perfect_hash_lines": line_dedup.query,
     "op6_levenshtein_lexicon": toxicity.query,
+    "op7_streaming_viterbi": viterbi.query,
     "op10_stateful_exact": exact_dedup.query,
 }
 LLM_ORACLES = {
