@@ -17,9 +17,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tickloom.llm.common import ready, text_or_empty
+from tickloom.llm.common import ready, stored, text_or_empty
 from tickloom.session import work_path
 
+#: Groups of copies whose digests are broadcast: about 100 bytes each in a hash table, 20 MB in all.
+BROADCAST_GROUPS = 200_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -60,25 +62,34 @@ def held(spark: SparkSession, checkpoint: str) -> DataFrame:
                         F.col(n).alias("group_size"))
 
 
+def collisions(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """The digests whose rows differ in their bytes: every hit is compared with the kept row, fetched by its locator.
+
+    Only rows of groups are shuffled with their text. The groups' digests reach the rows by broadcast while there are
+    few of them (40 bytes each), else by a join like any other.
+    """
+    groups = state.filter("group_size > 1").select("digest", "keep_file", "keep_row")
+    if groups.count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
+    hits = stored(rows.join(groups, "digest").select(
+        "digest", "text", (F.col("file").eqNullSafe(F.col("keep_file")) & F.col("row").eqNullSafe(F.col("keep_row"))).alias("fetched")), "exact-hits")
+    fetched = hits.filter("fetched").select("digest", F.col("text").alias("keep_text"))
+    return stored(hits.filter("not fetched").join(fetched, "digest").filter("text <> keep_text").select("digest").distinct(), "exact-collisions")
+
+
 def resolve(spark: SparkSession, path: str, checkpoint: str, *, digest=sha256, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``path``."""
-    state = held(spark, checkpoint)
-    rows = _located(ready(spark).read.parquet(path), digest, id_col, text_col)
-    hits = rows.join(state.filter("group_size > 1"), "digest")
-    fetched = hits.filter("file = keep_file and row = keep_row").select("digest", F.col("text").alias("keep_text"))
-    collided = hits.join(fetched, "digest").filter("text <> keep_text").select("digest").distinct()
-    plain = (rows.drop("text").join(state, "digest").join(collided, "digest", "left_anti")
-             .select("doc_id", "keep_id", "group_size", "digest" if digest is sha256 else F.lit(None).cast("binary").alias("digest"),
-                     *([] if digest is sha256 else ["file", "row"])))
-    again = rows.join(collided, "digest", "left_semi")
-    groups = again.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    again = again.join(groups, "text").select("doc_id", "keep_id", "group_size", sha256(F.col("text")).alias("digest"))
-    if digest is not sha256:  # another digest was asked for: the texts' SHA-256 is taken from the rows themselves
-        own = rows.select("file", "row", sha256(F.col("text")).alias("own"))
-        plain = plain.join(own, ["file", "row"]).select("doc_id", "keep_id", "group_size", F.col("own").alias("digest"))
-    return plain.unionByName(again).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"))
+    state = stored(held(spark, checkpoint), "exact-held")
+    rows = _located(ready(spark).read.parquet(path), digest, id_col, text_col).withColumn("sha", sha256(F.col("text")))
+    collided = collisions(rows, state)
+    out = rows.select("doc_id", "digest", "sha").join(state.select("digest", "keep_id", "group_size"), "digest")
+    if not collided.isEmpty():  # these rows are grouped by their whole texts
+        out = out.join(collided, "digest", "left_anti")
+        again = rows.join(collided, "digest", "left_semi").select("doc_id", "sha", "text")
+        groups = again.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        out = out.drop("digest").unionByName(again.join(groups, "text").drop("text"))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+                      F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def exact_dedup(spark: SparkSession, path: str, *, checkpoint: str | None = None, **options) -> DataFrame:
