@@ -1,6 +1,7 @@
 """Helpers shared by the corpus operators: stored steps, Arrow maps over texts, hashing of byte windows."""
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, f"llm-{name}")
     df.write.parquet(path)
+    gc.collect()  # shuffle files go when the driver has let go of the finished step's plan
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
