@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.session import prepare, work_path
@@ -146,5 +147,43 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(start, offsets)
 
 
+class ByteValues:
+    """The hash values of bytes, taken when a slice is asked for."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        return BYTE_VALUE[self.data[part]]
+
+
+HASH_STEP, LONG_WORD = 1 << 20, 1 << 16
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, taken over about a megabyte of text at a time; very long words are hashed one by one."""
+    out, i = np.empty(len(start), np.uint64), 0
+    long = end - start > LONG_WORD
+    for k in np.flatnonzero(long):
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k]:end[k]].tobytes())
+    short = np.flatnonzero(~long)
+    start, end = start[short], end[short]
+    while i < len(short):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + HASH_STEP, "right")))
+        base = start[i]
+        if end[j - 1] - base > 2 * HASH_STEP:  # a long word in between
+            j = i + 1
+        out[short[i:j]] = window_hash(prefix_hash(data[base:end[j - 1]]), start[i:j] - base, end[i:j] - base)
+        i = j
+    return out
+
+
+def word_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and for each text the index of its first word (one more at the end)."""
+    data, offsets = bytes_of(texts)
+    start, end, first = word_spans(data, offsets)
+    return word_hashes(data, start, end), first
+
+
 def string_array(values: list) -> pa.Array:
     return pa.array(values, pa.string())

@@ -41,6 +41,7 @@ def feed(spark: SparkSession, path: str, checkpoint: str, *, digest=sha256, id_c
     """Take every file of ``path`` that the checkpoint has not seen into the state, then stop."""
     ready(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores: no reserved files
     source = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         source = source.option("maxFilesPerTrigger", files_per_trigger)

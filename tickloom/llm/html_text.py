@@ -30,10 +30,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tickloom.llm.common import map_batches, table
+from tickloom.llm.common import map_batches, stored, table
 
 #: A host needs so many different pages before its statistics remove anything; composite importance below LOW is noise.
 LEAST_PAGES, LOW, GAMMA = 4, 0.3, 0.9
+#: Unimportant paths (8 bytes each) that are broadcast at most, hosts counted as ten.
+BROADCAST_PATHS = 2_000_000
 
 _token = re.compile(
     r"<(?:!--(?:.*?)(?:--!?>|\Z)|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
@@ -222,7 +224,7 @@ def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html")
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), *(pa.array(r, pa.int64()) for r in rows[1:])], names=names)
 
     wanted = pages.filter(F.length(html_col) > 0).select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    rows = map_batches(wanted, run, "host string, page long, path long, parent long, kind long, value long").distinct()
+    rows = stored(map_batches(wanted, run, "host string, page long, path long, parent long, kind long, value long").distinct(), "style-nodes")
     counted = rows.groupBy("host", "path", "parent", "kind", "value").agg(F.count(F.lit(1)).alias("c"))
     uses = counted.groupBy("host", "path", "parent", "kind").agg(
         F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.avg(F.log("c")).alias("logc"))
@@ -269,7 +271,9 @@ def _unimportant(group: pa.Table) -> pa.Table:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    trees = style_trees(pages, url_col, html_col).withColumnRenamed("host", "_llm_host")
+    trees = stored(style_trees(pages, url_col, html_col).filter(F.size("low") > 0).withColumnRenamed("host", "_llm_host"), "style-trees")
+    if (trees.agg(F.sum(F.size("low") + 10)).first()[0] or 0) <= BROADCAST_PATHS:  # else the pages meet them by a shuffle on the host
+        trees = F.broadcast(trees)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = rows.join(trees, host_of(F.col("url")) == F.col("_llm_host"), "left").select("page_id", "url", "html", "low")
 

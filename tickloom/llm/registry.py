@@ -1,11 +1,12 @@
 """Registered queries of the corpus operators and, where SQL can express them, their DuckDB SQL."""
 from __future__ import annotations
 
-from tickloom.llm import decontaminate, exact_dedup, html_text, language_id, line_dedup, suffix_array, toxicity, viterbi
+from tickloom.llm import decontaminate, exact_dedup, html_text, language_id, line_dedup, suffix_array, suffix_tree, toxicity, viterbi
 
 LLM_QUERIES = {
     "op1_site_style_tree": html_text.query,
     "op2_wu_manber": decontaminate.query,
+    "op3_prefix_suffix_trees": suffix_tree.query,
     "op4_nearest_centroid": language_id.query,
     "op5_perfect_hash_lines": line_dedup.query,
     "op6_levenshtein_lexicon": toxicity.query,
@@ -15,6 +16,7 @@ LLM_QUERIES = {
 }
 LLM_ORACLES = {
     "op2_wu_manber": decontaminate.SQL.strip(),
+    "op3_prefix_suffix_trees": suffix_tree.SQL.strip(),
     "op5_perfect_hash_lines": line_dedup.SQL.strip(),
     "op9_prefix_doubling": suffix_array.SQL.strip(),
     "op10_stateful_exact": exact_dedup.SQL.strip(),

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.llm.common import map_batches
-from tickloom.llm.windows import runs
+from tickloom.llm.windows import anchor_of, prefix_sums, runs, stretch_hash
 
 START_BITS = 40
 START_MASK = (1 << START_BITS) - 1
@@ -75,7 +75,7 @@ def place_batch(key, sup, doc, at, n, gone) -> pa.RecordBatch:
         pa.array(np.concatenate([at[stay], gat])), pa.array(np.concatenate([n[stay], gn]))], names=["key", "sup", "doc", "at", "n"])
 
 
-def run_rows(docs: DataFrame, units: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], window: int, gram: int, own_document: bool) -> DataFrame:
+def run_rows(docs: DataFrame, units: Callable[[pa.Array], tuple], window: int, gram: int, own_document: bool) -> DataFrame:
     """The runs of all documents (columns doc, text); copies within one batch are already settled, which keeps
     the rows of a passage that very many documents share to one for each batch."""
     def run(batch):
@@ -108,6 +108,52 @@ def final(rows: DataFrame, own_document: bool) -> DataFrame:
     return rows.withColumn("rank", rank).filter("sup is null or rank > 1").select("doc", "at", "n")
 
 
+def pieces(units: np.ndarray, count: int, window: int, gram: int, block: int) -> list[tuple[int, int, int]]:
+    """(first position, number of positions, rank of the core) of the pieces of a run of ``count`` positions.
+
+    Position p has the distance anchor - p; the windows at the distances of one block share a core around the anchor.
+    """
+    sums = prefix_sums(units)
+    anchor = anchor_of(sums, count, window, gram)
+    blocks = np.arange((anchor - count + 1) // block, anchor // block + 1)
+    near, far = blocks * block, np.minimum(blocks * block + block - 1, window - gram)
+    first, last = np.maximum(0, anchor - far), np.minimum(count - 1, anchor - near)
+    core = stretch_hash(sums, anchor - near, anchor - far + window) + blocks.astype(np.uint64)
+    return list(zip(first.tolist(), (last - first + 1).tolist(), core.view(np.int64).tolist()))
+
+
+PIECE = "core long, doc long, at long, raw binary"
+
+
+def piece_rows(tested: DataFrame, parse: Callable, window: int, gram: int, block: int) -> DataFrame:
+    """Columns doc, doc_id, text, spans (the runs to be tested) become one row per piece; pieces whose core nobody
+    shares are left out. ``parse`` gives a text's units and a function for the bytes of a stretch of them."""
+    def run(batch):
+        rows: list[list] = [[], [], [], []]
+        marks, docs, texts = text_marks(batch.column(2)), batch.column(0).to_pylist(), batch.column(2)
+        for i, spans in enumerate(spans_of(batch, 3)):
+            if spans is None:
+                continue
+            own = spans[0] & ~np.int64(START_MASK) == marks[i]
+            if not own.any():
+                continue
+            units, raw = parse(texts.slice(i, 1))
+            for lo, n in zip((spans[0][own] & np.int64(START_MASK)).tolist(), spans[1][own].tolist()):
+                for first, count, core in pieces(units[lo:lo + n + window - 1], n, window, gram, block):
+                    for column, value in zip(rows, (core, docs[i], int(marks[i]) | lo + first, raw(lo + first, lo + first + count + window - 1))):
+                        column.append(value)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:3]), pa.array(rows[3], pa.binary())],
+                                          names=["core", "doc", "at", "raw"]) if rows[0] else None
+    rows = map_batches(tested, run, PIECE).repartition("core")
+    return rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("core"))).filter("c > 1").drop("c")
+
+
+def positions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows with so many positions each: the row of every position, and its number within the row."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def per_document(spans: DataFrame, name: str) -> DataFrame:
     """One row per document with its spans; they are never more than the document has windows."""
     return spans.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias(name)).withColumnRenamed("doc", f"{name}_doc")

@@ -23,53 +23,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm.common import BYTE_VALUE, bytes_of, map_batches, stored, table
-from tickloom.llm.repeats import PLACE, START_MASK, cover, final, judged, later, place_batch, run_rows, spans_of, table_of, text_marks, with_spans
-from tickloom.llm.windows import anchor_of, prefix_sums, stretch_hash
+from tickloom.llm.common import BYTE_VALUE, ByteValues, bytes_of, map_batches, stored, table
+from tickloom.llm.repeats import (PLACE, START_MASK, cover, final, judged, later, piece_rows, place_batch, positions, run_rows,
+                                  spans_of, table_of, text_marks, with_spans)
+from tickloom.llm.windows import prefix_sums, stretch_hash
 
 WINDOW, GRAM, BLOCK = 100, 24, 19
-PIECES = "core long, doc long, at long, raw binary"
 
 
-def byte_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def byte_units(texts: pa.Array) -> tuple[ByteValues, np.ndarray]:
     data, offsets = bytes_of(texts)
-    return BYTE_VALUE[data], offsets
+    return ByteValues(data), offsets
 
 
-def pieces(raw: bytes, count: int, window: int, gram: int, block: int) -> list[tuple[int, int, int]]:
-    """(first position, number of positions, rank of the core) of the pieces of a run of ``count`` positions.
-
-    Position p has the distance anchor - p; the strings at the distances of one block share a core around the anchor.
-    """
-    sums = prefix_sums(BYTE_VALUE[np.frombuffer(raw, np.uint8)])
-    anchor = anchor_of(sums, count, window, gram)
-    blocks = np.arange((anchor - count + 1) // block, anchor // block + 1)
-    near, far = blocks * block, np.minimum(blocks * block + block - 1, window - gram)
-    first, last = np.maximum(0, anchor - far), np.minimum(count - 1, anchor - near)
-    core = stretch_hash(sums, anchor - near, anchor - far + window) + blocks.astype(np.uint64)
-    return list(zip(first.tolist(), (last - first + 1).tolist(), core.view(np.int64).tolist()))
-
-
-def piece_rows(tested: DataFrame, window: int, gram: int, block: int) -> DataFrame:
-    """Columns doc, doc_id, text, spans (the runs to be tested) become one row per piece."""
-    def run(batch):
-        rows: list[list] = [[], [], [], []]
-        marks, docs, texts = text_marks(batch.column(2)), batch.column(0).to_pylist(), batch.column(2).cast(pa.large_binary())
-        for i, spans in enumerate(spans_of(batch, 3)):
-            if spans is None:
-                continue
-            own = spans[0] & ~np.int64(START_MASK) == marks[i]
-            text = texts[i].as_py()
-            for lo, n in zip((spans[0][own] & np.int64(START_MASK)).tolist(), spans[1][own].tolist()):
-                raw = text[lo:lo + n + window - 1]
-                for first, count, core in pieces(raw, n, window, gram, block):
-                    for column, value in zip(rows, (core, docs[i], int(marks[i]) | lo + first, raw[first:first + count + window - 1])):
-                        column.append(value)
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:3]), pa.array(rows[3], pa.binary())],
-                                          names=["core", "doc", "at", "raw"]) if rows[0] else None
-    return map_batches(tested, run, PIECES)
+def _parse(text: pa.Array):
+    data = bytes_of(text)[0]
+    return ByteValues(data), lambda a, b: data[a:b].tobytes()
 
 
 def position_rows(left: DataFrame, window: int) -> DataFrame:
@@ -78,8 +49,7 @@ def position_rows(left: DataFrame, window: int) -> DataFrame:
         data, offsets = bytes_of(batch.column(3))
         sums = prefix_sums(BYTE_VALUE[data])
         n = np.diff(offsets) - window + 1
-        row = np.repeat(np.arange(len(n)), n)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        row, step = positions(n)
         begin = offsets[:-1][row] + step
         one, two = stretch_hash(sums, begin, begin + window // 2), stretch_hash(sums, begin + window // 2, begin + window)
         doc, at = np.asarray(batch.column(1))[row], np.asarray(batch.column(2))[row] + step
@@ -91,8 +61,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
     """doc, at, n: all positions whose string starts earlier elsewhere, as stretches. ``docs``: see ``table_of``."""
     runs = stored(judged(run_rows(docs, byte_units, window, gram, True), True), "suffix-runs")
     tested = with_spans(docs, runs.filter("not gone")).filter(F.col("spans").isNotNull())
-    rows = piece_rows(tested, window, gram, block).repartition("core")
-    left = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("core"))).filter("c > 1").drop("c")
+    left = piece_rows(tested, _parse, window, gram, block)
     return runs.filter("gone").drop("gone").unionByName(stored(final(position_rows(left, window), True), "suffix-positions"))
 
 

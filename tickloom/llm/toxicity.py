@@ -5,7 +5,7 @@
    Beginnings of 5 to 7 letters compete with whole words; those that win are stems, which match all words they begin.
 2. A trie of the lexicon is walked together with the Levenshtein automaton of a word: the automaton's state is the
    row of edit distances, a branch ends when no entry is within the distance its terms allow (0 below 4 letters, 1
-   below 10, else 2). Before the walk a pigeonhole test on pieces of the terms rules most words out without losing any match.
+   below 12, else 2). Before the walk a pigeonhole test on pieces of the terms rules most words out without losing any match.
 3. Each hit is looked at in a window of words around it: quotation marks on both sides or a word of reporting
    or of talking about words make it a quotation, other hits are plain. Hits count by distance and context.
 4. A logistic regression over these counts gives the score. It is fitted on a bounded sample of training rows
@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tickloom.llm.common import map_batches, table, with_columns
 from tickloom.llm.language_id import held_out
 
-TERMS, SAMPLE, SURE, THRESHOLD = 5000, 40_000, 25.0, 0.3
+TERMS, SAMPLE, SURE, THRESHOLD = 5000, 20_000, 25.0, 0.3
 WINDOW = 4
 STEMS = (5, 6, 7)
-CACHE = 200_000  # words whose matches a worker remembers; the memory is emptied when full
+CACHE = 200_000  # words whose matches a worker remembers at least until then; beyond, the memory is emptied
 _word = re.compile(r"[^\W_]+")
 QUOTES = "\"'“”„‘’«»`"
 #: Words that announce a quotation or talk about a word.
@@ -42,7 +42,7 @@ REPORTING = frozenset("said says wrote writes called calls quote quoted quotes w
 
 
 def allowed(length: int) -> int:
-    return 0 if length < 4 else 1 if length < 10 else 2
+    return 0 if length < 4 else 1 if length < 12 else 2
 
 
 class Lexicon:
@@ -51,9 +51,12 @@ class Lexicon:
     def __init__(self, weights: dict[str, float]):
         self.stems = {t[:-1]: v for t, v in weights.items() if t[-1] == "*"}
         self.weights, self.trie = {t: v for t, v in weights.items() if t[-1] != "*"}, {}
-        self.pieces: dict[tuple[int, int], set[str]] = {}  # by position in the term and length
-        self.ends: dict[int, set[str]] = {}
+        heads: dict[int, set[str]] = {}
+        middles: dict[tuple[int, int], set[str]] = {}  # by position in the term and length
+        ends: dict[int, set[str]] = {}
         for term in self.weights:
+            if self.stem_weight(term) is not None:
+                continue  # the stem stands for its words, misspelled endings included
             node, d = self.trie, allowed(len(term))
             for c in term:
                 node["most"] = max(d, node.get("most", 0))
@@ -61,18 +64,30 @@ class Lexicon:
             node[""] = term
             node["most"] = max(d, node.get("most", 0))
             cut = [len(term) * i // (d + 1) for i in range(d + 2)]
-            for a, b in zip(cut, cut[1:]):
-                if b == len(term) and d:
-                    self.ends.setdefault(b - a, set()).add(term[a:])
-                else:
-                    self.pieces.setdefault((a, b - a), set()).add(term[a:b])
+            if d:
+                heads.setdefault(cut[1], set()).add(term[:cut[1]])
+                ends.setdefault(cut[-1] - cut[-2], set()).add(term[cut[-2]:])
+            for a, b in zip(cut[1:-1], cut[2:-1]):
+                middles.setdefault((a, b - a), set()).add(term[a:b])
+        self.heads, self.ends = sorted(heads.items()), sorted(ends.items())
+        self.middles = [(a + s, a + s + n, pieces) for (a, n), pieces in sorted(middles.items()) for s in (-2, -1, 0, 1, 2) if a + s >= 0]
         self.cache: dict[str, tuple[float, int] | None] = {}
 
+    def stem_weight(self, word: str) -> float | None:
+        return max((self.stems[word[:n]] for n in STEMS if len(word) > n and word[:n] in self.stems), default=None)
+
     def possible(self, word: str) -> bool:
         """False only if no term can be within its distance: one of d + 1 pieces must be intact, shifted by d at most."""
-        if any(word[-n:] in ends for n, ends in self.ends.items()):
-            return True
-        return any(word[a + s:a + s + n] in pieces for (a, n), pieces in self.pieces.items() for s in ((0,) if not a else (-2, -1, 0, 1, 2)) if a + s >= 0)
+        for n, pieces in self.heads:
+            if word[:n] in pieces:
+                return True
+        for n, pieces in self.ends:
+            if word[-n:] in pieces:
+                return True
+        for a, b, pieces in self.middles:
+            if word[a:b] in pieces:
+                return True
+        return False
 
     def walk(self, word: str) -> tuple[float, int] | None:
         """(weight, distance) of the nearest term; the heavier of equally near ones."""
@@ -95,15 +110,24 @@ class Lexicon:
         return best
 
     def match(self, word: str) -> tuple[float, int] | None:
+        """(weight, distance) of the term that the word is, begins with, or misspells."""
         if (weight := self.weights.get(word)) is not None:
             return weight, 0
-        if self.stems and (weight := max((self.stems.get(word[:n], -1.0) for n in STEMS), default=-1.0)) > 0:
+        if self.stems and (weight := self.stem_weight(word)) is not None:
             return weight, 0
-        if word not in self.cache:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[word] = self.walk(word) if len(word) > 2 and self.possible(word) else None
-        return self.cache[word]
+        return self.walk(word) if len(word) > 2 and self.possible(word) else None
+
+    def matches(self, words: set[str]) -> dict[str, tuple[float, int]]:
+        cache, found = self.cache, {}
+        if len(cache) > CACHE:
+            cache.clear()
+        for word in words:
+            hit = cache.get(word, False)
+            if hit is False:
+                hit = cache[word] = self.match(word)
+            if hit is not None:
+                found[word] = hit
+        return found
 
 
 def quoted(text: str, start: int, end: int) -> bool:
@@ -123,7 +147,7 @@ def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
     if not text:
         return out
     text = text.lower()
-    found = {w: m for w in set(_word.findall(text)) if (m := lexicon.match(w)) is not None}
+    found = lexicon.matches(set(_word.findall(text)))
     words = 1
     if found:
         for m in _word.finditer(text):
