@@ -1,7 +1,7 @@
 """Registered queries of the corpus operators and, where SQL can express them, their DuckDB SQL."""
 from __future__ import annotations
 
-from tickloom.llm import decontaminate, exact_dedup, html_text, language_id, line_dedup, suffix_array, suffix_tree, toxicity, viterbi
+from tickloom.llm import decontaminate, exact_dedup, html_text, language_id, line_dedup, ngram_join, suffix_array, suffix_tree, toxicity, viterbi
 
 LLM_QUERIES = {
     "op1_site_style_tree": html_text.query,
@@ -11,6 +11,7 @@ LLM_QUERIES = {
     "op5_perfect_hash_lines": line_dedup.query,
     "op6_levenshtein_lexicon": toxicity.query,
     "op7_streaming_viterbi": viterbi.query,
+    "op8_count_vector_rtree": ngram_join.query,
     "op9_prefix_doubling": suffix_array.query,
     "op10_stateful_exact": exact_dedup.query,
 }
@@ -18,6 +19,7 @@ LLM_ORACLES = {
     "op2_wu_manber": decontaminate.SQL.strip(),
     "op3_prefix_suffix_trees": suffix_tree.SQL.strip(),
     "op5_perfect_hash_lines": line_dedup.SQL.strip(),
+    "op8_count_vector_rtree": ngram_join.SQL.strip(),
     "op9_prefix_doubling": suffix_array.SQL.strip(),
     "op10_stateful_exact": exact_dedup.SQL.strip(),
 }
