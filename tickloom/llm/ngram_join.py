@@ -24,9 +24,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from tickloom.llm.common import LOWER, bytes_of, map_batches, mix, stored, table, word_hashes, word_spans
+from tickloom.llm.common import LOWER, bytes_of, map_batches, mix, stored, table, with_columns, word_hashes, word_spans
 from tickloom.llm.components import components
 
 WORDS, PERCENT = 4, 85
@@ -57,10 +57,7 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
                 total += own[k:n - words + 1 + k] * factors[k]
             out.append(np.unique(mix(total)))
         elif n:
-            total = np.uint64(n)
-            for k in range(n):
-                total = mix(np.array([total + own[k] * factors[k]]))[0]
-            out.append(np.array([total], np.uint64))
+            out.append(mix((own * np.array(factors[:n])).sum(keepdims=True) + np.uint64(n)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -247,34 +244,55 @@ def search_groups(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("bin").applyInArrow(run, "a long, b long").distinct()
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def _classes(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, set, n, part (smallest set of the component, null without shingles) of every row."""
     rows = stored(set_rows(docs), "sets")
     sets = rows.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"))
 
     around = Window.partitionBy("token")
     groups = prefix_rows(docs, frequent(docs), percent).repartition("token")
-    groups = groups.filter(F.col("token").isNotNull()).withColumn("low", F.min("set").over(around)).withColumn("high", F.max("set").over(around))
+    groups = groups.withColumn("low", F.min("set").over(around)).withColumn("high", F.max("set").over(around))
     groups = stored(groups.filter("low < high").select("token", "set", "n").distinct(), "groups")
 
     links = verified(bounded(first_pairs(groups, percent), sets, percent), docs, sets, percent)
     known = components(links).select(F.col("node").alias("set"), "component")
     parted = groups.join(known, "set", "left").withColumn("part", F.coalesce("component", "set")).drop("component")
-    mixed = parted.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("size")) \
-        .filter("low < high").select("token", "size")
+    mixed = parted.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token")
     mixed = stored(parted.join(mixed, "token").select("token", "set", "n", "part"), "mixed-groups")
     bins = max(1, -(-mixed.count() // BIN_ROWS))
     searched = mixed.join(sets.select("set", "point"), "set").withColumn("bin", F.pmod(F.xxhash64("token"), F.lit(bins)))
     more = verified(search_groups(searched, percent), docs, sets, percent)
 
     parts = components(links.unionByName(more)).select(F.col("node").alias("set"), "component")
-    named = rows.join(parts, "set", "left").withColumn("part", F.coalesce("component", "set"))
+    return rows.join(parts, "set", "left").withColumn("part", F.coalesce("component", "set")).select("doc_id", "set", "n", "part")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    named = _classes(_texts(docs, id_col, text_col), percent)
     smallest = named.filter(F.col("part").isNotNull()).groupBy("part").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "part", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, one of each component: its smallest id. Rows without shingles all stay."""
+    named = _classes(_texts(docs, id_col, text_col), percent).filter(F.col("part").isNotNull())
+    kept = named.groupBy("part").agg(F.min(F.struct("doc_id", "set")).alias("k")).select(F.col("k.doc_id").alias("_llm_id"), F.col("k.set").alias("_llm_kept"))
+
+    def run(batch):
+        sets = shingle_sets(batch.column(batch.schema.get_field_index(text_col)))
+        return with_columns(batch, _llm_set=pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()))
+    rows = map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("_llm_set", T.LongType())]))
+    same = (F.col("_llm_set") == F.col("_llm_kept")) & F.col(id_col).eqNullSafe(F.col("_llm_id"))
+    chosen = rows.join(kept, same, "left_semi").dropDuplicates([id_col, "_llm_set"])
+    return chosen.unionByName(rows.filter(F.col("_llm_set").isNull())).drop("_llm_set")
+
+
 SQL = r"""
 with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                 '[^\x20\x09-\x0D]+') as w from documents),

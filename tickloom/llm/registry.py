@@ -1,6 +1,7 @@
 """Registered queries of the corpus operators and, where SQL can express them, their DuckDB SQL."""
 from __future__ import annotations
 
+import corpus_pipeline
 from tickloom.llm import decontaminate, exact_dedup, html_text, language_id, line_dedup, ngram_join, suffix_array, suffix_tree, toxicity, viterbi
 
 LLM_QUERIES = {
@@ -14,6 +15,7 @@ LLM_QUERIES = {
     "op8_count_vector_rtree": ngram_join.query,
     "op9_prefix_doubling": suffix_array.query,
     "op10_stateful_exact": exact_dedup.query,
+    "pipeline": corpus_pipeline.run,
 }
 LLM_ORACLES = {
     "op2_wu_manber": decontaminate.SQL.strip(),
