@@ -1,7 +1,6 @@
 """Helpers shared by the corpus operators: stored steps, Arrow maps over texts, hashing of byte windows."""
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +14,9 @@ from tickloom.session import prepare, work_path
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Session settings of the library plus bounded Arrow batches."""
     prepare(spark)
@@ -28,12 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a step to the shared folder and read it back: its lineage ends there and it is computed once."""
+    """Write a step to the shared folder and read it back: its lineage ends there and it is computed once.
+
+    The step's shuffle files are deleted when it is written, so a job of many steps needs the disk of its largest.
+    """
     spark = df.sparkSession
     path = work_path(spark, f"llm-{name}")
-    df.write.parquet(path)
-    gc.collect()  # shuffle files go when the driver has let go of the finished step's plan
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
