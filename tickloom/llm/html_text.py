@@ -6,7 +6,8 @@ each node the pages of the host give
 * presentation importance: entropy of the styles of its children over the pages (a part that looks the same everywhere
   is a template), in units of log(number of pages), 1 for a single page;
 * content importance of a text node: 1 - mean over its distinct texts of log(pages with the text) / log(pages);
-* composite importance: a node with children mixes its presentation importance and its children's composite.
+* composite importance: a node with children mixes its presentation importance and its children's composite. A branch whose
+  nodes all have low composite importance is noise.
 
 Counts are Spark aggregates over (host, path, text or style, page); pages with the same bytes count once. One row per
 host with its unimportant paths then meets the pages of the host, and these branches are removed from each page.
@@ -101,10 +102,10 @@ class Page:
         while at < size:
             m = _token.search(source, at)
             if m is None:
-                self.run.append(source[at:])
+                self.add(source[at:])
                 break
             if m.start() > at:
-                self.run.append(source[at:m.start()])
+                self.add(source[at:m.start()])
             at = m.end()
             tag = m["tag"] or m["tag2"]
             if tag is None:
@@ -121,13 +122,19 @@ class Page:
                 at = end.start() if end else size
         self.flush()
 
+    def block(self) -> Element:
+        return next((e for e in reversed(self.stack) if e.tag in BLOCK), self.stack[0])
+
+    def add(self, text: str) -> None:
+        if not self.stack[-1].noise or self.block().noise:  # an inline part that is no text leaves its block whole
+            self.run.append(text)
+
     def flush(self) -> None:
         if self.run:
             text = " ".join(entities.unescape("".join(self.run)).split())
             self.run = []
             if text:
-                self.blocks.append((self.stack[-1] if self.stack[-1].tag in BLOCK or len(self.stack) == 1 else next(
-                    (e for e in reversed(self.stack) if e.tag in BLOCK), self.stack[0]), text))
+                self.blocks.append((self.block(), text))
 
     def pop_to(self, index: int) -> None:
         if any(e.tag in BLOCK for e in self.stack[index:]):
@@ -159,8 +166,6 @@ class Page:
         above = self.stack[-1]
         attrs = _attributes(raw)
         noise = _noisy(tag, attrs, above.main)
-        if noise != above.noise and tag not in BLOCK:
-            self.flush()  # an inline part that is no text does not run into its neighbours
         main = max(above.main, 2 if tag == "article" else 1 if tag == "main" or attrs.get("role") == "main" else 0)
         style = tag + "".join(f".{c}" for c in sorted(attrs.get("class", "").split()))
         element = Element(tag, f"{above.path}>{style}", above.noise or noise, main)
@@ -172,8 +177,6 @@ class Page:
         inline = tag not in BLOCK
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
-                if self.stack[i].noise and inline:
-                    self.flush()
                 self.pop_to(i)
                 return
             if inline and self.stack[i].tag in BLOCK and tag not in NEVER:
@@ -201,13 +204,7 @@ def main_text(source: str | None, unimportant: frozenset[int] = frozenset()) ->
     if best:
         return "\n".join(t for e, t in kept if e.main == best)
     if unimportant:
-        low: dict[str, bool] = {"": False}
-
-        def dropped(path: str) -> bool:
-            if path not in low:
-                low[path] = digest(path) in unimportant or dropped(path.rpartition(">")[0])
-            return low[path]
-        kept = [(e, t) for e, t in kept if not dropped(e.path)]
+        kept = [(e, t) for e, t in kept if digest(e.path) not in unimportant]
     return "\n".join(t for _, t in kept)
 
 
@@ -246,6 +243,7 @@ def _unimportant(group: pa.Table) -> pa.Table:
         else:  # -sum p log p over the styles, p = c / n
             style[r["path"]] = min(1, (math.log(r["n"]) - r["clogc"] / r["n"]) / logm) if logm else 1.0
     done: dict[int, float] = {}
+    noisy: dict[int, bool] = {}  # low itself, and all below
     for root in list(pages):
         stack = [root]
         while stack:
@@ -265,7 +263,8 @@ def _unimportant(group: pa.Table) -> pa.Table:
             inner = sum(w * v for w, v in parts) / sum(w for w, _ in parts) if parts else style.get(node, 1.0)
             share = GAMMA ** max(1, len(below))
             done[node] = (1 - share) * style[node] + share * inner if node in style and below else inner
-    low = sorted(p for p, v in done.items() if v < LOW and pages[p] >= LEAST_PAGES)
+            noisy[node] = done[node] < LOW and pages[node] >= LEAST_PAGES and all(noisy.get(c, True) for c in below)
+    low = sorted(p for p, v in noisy.items() if v)
     return pa.table({"host": pa.array([group.column("host")[0].as_py()], pa.string()), "low": pa.array([low], pa.list_(pa.int64()))})
 
 
