@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tickloom.session import work_path
+from tickloom.session import day_folders, drop_path, work_path
 from tickloom.sources import sinks as S
 from . import candles as C, merge as M
 
@@ -11,21 +11,21 @@ from . import candles as C, merge as M
 TICK_DAYS, MINUTE_DAYS = 400, 1095
 
 
-def expired_days(table: DataFrame, day: str, today: Column, keep_days: int) -> DataFrame:
-    """Day partitions past their retention; only directory names are read."""
-    return table.select(day).distinct().filter(F.col(day) < F.date_sub(today, keep_days))
+def _date(spark: SparkSession, value: Column):
+    return spark.range(1).select(value.cast("date")).first()[0]
 
 
-def retain(spark: SparkSession, path: str, day: str, today: Column, keep_days: int) -> int:
-    """Drop the day directories past their retention; kept days are not read or written.
+def expired_days(spark: SparkSession, path: str, day: str, today: Column, keep_days: int) -> DataFrame:
+    """Day partitions past their retention, by the directory names: one row per day of the table at most."""
+    rows = spark.createDataFrame([(d,) for d in day_folders(spark, path, day)], f"{day} string")
+    return rows.select(F.col(day).cast("date").alias(day)).filter(F.col(day) < F.date_sub(today, keep_days))
 
-    Only the list of day names comes to the driver, at most one per day of the table.
-    """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    days = [row[0] for row in expired_days(spark.read.parquet(path), day, today, keep_days).collect()]
+
+def retain(spark: SparkSession, path: str, day: str, today: Column, keep_days: int) -> int:
+    """Drop the day directories past their retention; kept days are not read or written."""
+    days = [row[0] for row in expired_days(spark, path, day, today, keep_days).collect()]
     for d in days:
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{day}={d}"), True)
+        drop_path(spark, f"{path}/{day}={d}")
     return len(days)
 
 
@@ -34,33 +34,60 @@ def compact(spark: SparkSession, path: str, day: str, before: Column, keys=("sym
 
     Rows are split by ranges of (day, series, time), so a hot symbol spreads over several files.
     """
+    limit = str(_date(spark, before))
+    if not any(d < limit for d in day_folders(spark, path, day)):
+        return
     stage = work_path(spark, "compact")
     old = spark.read.parquet(path).filter(F.col(day) < before)
     order = [F.col(day), *[F.col(k) for k in keys], F.col(ts).desc()]
     old.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(day).parquet(stage)
-    (spark.read.parquet(stage).sortWithinPartitions(*order).write.mode("overwrite")
+    (spark.read.schema(old.schema).parquet(stage).sortWithinPartitions(*order).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path))
+    drop_path(spark, stage)
+
 
+def _replace_days(spark: SparkSession, path: str, day: str, days: list[str], kept: DataFrame, name: str) -> None:
+    """Put ``kept`` in the place of these days; days without a row lose their directory."""
+    stage = work_path(spark, name)
+    kept.write.partitionBy(day).parquet(stage)
+    left = set(day_folders(spark, stage, day))
+    if left:
+        S.overwrite_days(spark.read.schema(kept.schema).parquet(stage), path, day)
+    for d in days:
+        if d not in left:
+            drop_path(spark, f"{path}/{day}={d}")
+    drop_path(spark, stage)
+
+
+def purge_source(spark: SparkSession, ticks: str, minutes: str, source: str, start: Column, end: Column, day: str = "day",
+                 daily: str | None = None) -> None:
+    """Remove one source in [start, end) from the ticks and re-aggregate what was rolled up from them.
 
-def purge_source(spark: SparkSession, ticks: str, minutes: str, source: str, start: Column, end: Column, day: str = "day") -> None:
-    """Remove one source in [start, end) from the ticks and re-aggregate only the touched minutes."""
+    Minutes that the range cuts are rolled up again from the ticks left in them. ``daily`` names the table of daily
+    candles (partitioned by ``day`` as well), whose touched days are rolled up again.
+    """
     in_range = (F.col("ts") >= start) & (F.col("ts") < end)
-    days = lambda c: (F.col(c) >= F.to_date(start)) & (F.col(c) <= F.to_date(end))
-    stage_t, stage_m = work_path(spark, "purge-ticks"), work_path(spark, "purge-minutes")
-    touched = spark.read.parquet(ticks).filter(days(day))
-    touched.filter(~(in_range & (F.col("source") == source))).write.partitionBy(day).parquet(stage_t)
-    _overwrite(spark.read.parquet(stage_t), ticks, day)
-    first, last = F.date_trunc("minute", start.cast("timestamp")).cast("timestamp_ntz"), end
+    bounds = str(_date(spark, start)), str(_date(spark, end))
+    held = lambda path: [d for d in day_folders(spark, path, day) if bounds[0] <= d <= bounds[1]]
+    touched = lambda path: spark.read.parquet(path).filter(F.col(day).between(*[F.lit(b).cast("date") for b in bounds]))
+    shape = {path: spark.read.parquet(path).schema for path in (ticks, minutes, daily) if path}
+
+    _replace_days(spark, ticks, day, held(ticks), touched(ticks).filter(~(in_range & (F.col("source") == source))), "purge-ticks")
+    # a table that lost all its days can still be read as empty
+    left = spark.read.schema(shape[ticks]).parquet(ticks).filter(F.col(day).between(*[F.lit(b).cast("date") for b in bounds]))
+
+    minute = lambda c: F.date_trunc("minute", c.cast("timestamp")).cast("timestamp_ntz")
+    first, last = minute(start), minute(end)
+    last = F.when(last < end, last + F.expr("INTERVAL 1 MINUTE")).otherwise(last)
     hit = (F.col("bucket") >= first) & (F.col("bucket") < last)
-    stored = spark.read.parquet(minutes).filter(days(day))
-    again = C.minute_ohlcv(spark.read.parquet(ticks).filter(days(day) & (F.col("ts") >= first) & (F.col("ts") < last)))
+    stored = touched(minutes)
+    again = C.minute_ohlcv(left.filter((F.col("ts") >= first) & (F.col("ts") < last)))
     again = again.withColumn(day, F.to_date("bucket")).select(*stored.columns)
-    stored.filter(~hit).unionByName(again).write.partitionBy(day).parquet(stage_m)
-    _overwrite(spark.read.parquet(stage_m), minutes, day)
-
+    _replace_days(spark, minutes, day, held(minutes), stored.filter(~hit).unionByName(again), "purge-minutes")
 
-def _overwrite(df: DataFrame, path: str, day: str) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    if daily:
+        again = C.daily_ohlcv(left).withColumn(day, F.col("trade_date"))
+        _replace_days(spark, daily, day, held(daily), again.select(*shape[daily].names), "purge-daily")
 
 
 def seed_live(spark: SparkSession, table: str, ticks: DataFrame, start: Column, end: Column) -> DataFrame:

@@ -27,8 +27,8 @@ def tick_stream(spark, sf, dense=False):
 @query("STR1_minute_candles", CANDLES)
 def minute_candles(spark, sf):
     path = work_path(spark, "candles")
-    J.drain(J.minute_candles(tick_stream(spark, sf, True)), "candles", J.batch_table(path), "update")
-    return J.newest_updates(spark, path, ["symbol", "source", "bucket"])
+    J.stored_candles_into(spark, tick_stream(spark, sf, True), path)
+    return spark.read.parquet(path).drop("day")
 
 
 @query("STR2_late_ticks_merge", OFFICIAL + f""", s AS ({STORED_FIX})
@@ -164,7 +164,7 @@ def retention(spark, sf):
 
 @query("MNT1_expired_days", f"WITH {A.SQL_TICKS} SELECT DISTINCT CAST(ts AS DATE) AS day FROM ticks WHERE CAST(ts AS DATE) < DATE '2025-02-15' - 400")
 def expired(spark, sf):
-    return MT.expired_days(spark.read.parquet(tick_table(spark, sf)), "day", D("2025-02-15"), MT.TICK_DAYS)
+    return MT.expired_days(spark, tick_table(spark, sf), "day", D("2025-02-15"), MT.TICK_DAYS)
 
 
 @query("MNT2_compaction", f"WITH {A.SQL_TICKS} SELECT event_id, symbol, source, ts, CAST(price AS DOUBLE) AS price FROM ticks")
@@ -174,13 +174,35 @@ def compaction(spark, sf):
     return spark.read.parquet(path).select("event_id", "symbol", "source", "ts", "price")
 
 
-@query("MNT3_purge_source", f"""{DENSE}, left_over AS (SELECT * FROM dense WHERE NOT (source = 'SIMULATOR' AND ts >= TIMESTAMP '2024-01-01 01:00:30' AND ts < TIMESTAMP '2024-01-01 02:30:00'))
-SELECT symbol, source, date_trunc('minute', ts) AS bucket, CAST(arg_min(price, ts) AS DOUBLE) AS open, CAST(sum(volume) AS DOUBLE) AS volume, count(*) AS trade_count FROM left_over GROUP BY 1, 2, 3""")
+PURGED = f"""{DENSE}, left_over AS (SELECT * FROM dense WHERE NOT (source = 'SIMULATOR' AND ts >= TIMESTAMP '2024-01-01 01:00:30' AND ts < TIMESTAMP '2024-01-01 02:30:10'))"""
+
+
+def purged(spark, sf):
+    """A source purged twice: a range whose ends cut minutes, and a day that holds nothing else."""
+    ticks, minutes, daily = work_path(spark, "ticks"), work_path(spark, "minutes"), work_path(spark, "daily")
+    t = A.ticks(spark, sf, dense=True)
+    t = t.unionByName(t.filter(F.col("source") == "SIMULATOR").withColumn("ts", F.col("ts") + F.expr("INTERVAL 3 DAYS")))
+    S.write_table(with_day(t), ticks, "day", ["symbol", "source", "ts"])
+    S.write_table(with_day(C.minute_ohlcv(t), "bucket"), minutes, "day")
+    S.write_table(with_day(C.daily_ohlcv(t), "trade_date"), daily, "day")
+    for start, end in (("2024-01-01 01:00:30", "2024-01-01 02:30:10"), ("2024-01-04 00:00:00", "2024-01-05 00:00:00")):
+        MT.purge_source(spark, ticks, minutes, "SIMULATOR", TS(start), TS(end), daily=daily)
+    return ticks, minutes, daily
+
+
+@query("MNT3_purge_source", PURGED + """ SELECT symbol, source, date_trunc('minute', ts) AS bucket, CAST(arg_min(price, ts) AS DOUBLE) AS open, CAST(sum(volume) AS DOUBLE) AS volume, count(*) AS trade_count FROM left_over GROUP BY 1, 2, 3""")
 def purge_source(spark, sf):
-    ticks, minutes = tick_table(spark, sf, True), work_path(spark, "minutes")
-    S.write_table(with_day(C.minute_ohlcv(A.ticks(spark, sf, dense=True)), "bucket"), minutes, "day")
-    MT.purge_source(spark, ticks, minutes, "SIMULATOR", TS("2024-01-01 01:00:30"), TS("2024-01-01 02:30:00"))
-    return spark.read.parquet(minutes).select("symbol", "source", "bucket", "open", "volume", "trade_count")
+    return spark.read.parquet(purged(spark, sf)[1]).select("symbol", "source", "bucket", "open", "volume", "trade_count")
+
+
+@query("MNT3_purged_ticks", PURGED + " SELECT event_id, symbol, source, ts FROM left_over")
+def purged_ticks(spark, sf):
+    return spark.read.parquet(purged(spark, sf)[0]).select("event_id", "symbol", "source", "ts")
+
+
+@query("MNT3_purged_daily", PURGED + """ SELECT symbol, CAST(ts AS DATE) AS trade_date, source, CAST(arg_max(price, ts) AS DOUBLE) AS close, count(*) AS tick_count FROM left_over GROUP BY 1, 2, 3""")
+def purged_daily(spark, sf):
+    return spark.read.parquet(purged(spark, sf)[2]).select("symbol", "trade_date", "source", "close", "tick_count")
 
 
 @query("MNT4_seed_range", OFFICIAL + f""", s AS ({STORED_FIX}), m AS (SELECT * FROM minutes WHERE bucket >= TIMESTAMP '2024-01-01 01:00:00' AND bucket < TIMESTAMP '2024-01-01 04:00:00')

@@ -62,6 +62,27 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tickloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def folder(spark: SparkSession, path: str):
+    """Hadoop file system of a path, and the path as one of its own."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a staged folder."""
+    files, where = folder(spark, path)
+    files.delete(where, True)
+
+
+def day_folders(spark: SparkSession, path: str, day: str) -> list[str]:
+    """Days of a table by its directory names; no file is opened."""
+    files, where = folder(spark, path)
+    if not files.exists(where):
+        return []
+    names = [entry.getPath().getName() for entry in files.listStatus(where) if entry.isDirectory()]
+    return sorted(name.split("=", 1)[1] for name in names if name.startswith(f"{day}="))
+
+
 def cut_lineage(df):
     """Reliable checkpoint, so a lost executor never replays the whole history of ``df``."""
     spark = df.sparkSession

@@ -1,8 +1,8 @@
 """Table writes: append-if-new, partition-wise merge, dead letters, retries, result tables.
 
-Plain Parquet has no MERGE. A merge reads only the touched day partitions, writes the merged rows to
-a staging table, and overwrites those partitions from the staging table, so no plan reads the files
-it replaces and a failed attempt can run again.
+Plain Parquet has no MERGE. A merge stages its batch, reads the day partitions the batch touches, writes the
+merged rows to a staging table, and overwrites the partitions with changes from it, so no plan reads the
+files it replaces and a failed attempt can run again.
 """
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tickloom.operators.merge import insert_missing
-from tickloom.session import work_path
+from tickloom.session import drop_path, work_path
 
 
 def by_day(df: DataFrame, day: str) -> DataFrame:
@@ -40,11 +40,21 @@ def write_table(df: DataFrame, path: str, day: str | None = None, order: list[st
     (writer.partitionBy(day) if day else writer).parquet(path)
 
 
-def touched(stored: DataFrame, incoming: DataFrame, day: str) -> DataFrame:
-    """Stored rows in the day range of ``incoming``; the bounds are scalar subqueries that prune directories."""
-    low = incoming.agg(F.min(day)).scalar()
-    high = incoming.agg(F.max(day)).scalar()
-    return stored.filter((F.col(day) >= low) & (F.col(day) <= high))
+def staged(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write a batch once, so that nothing later evaluates it again; the caller drops the folder."""
+    path = work_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def days_of(df: DataFrame, day: str) -> list:
+    """The distinct days, at most one value for each day of the table."""
+    return [row[0] for row in df.select(day).distinct().collect()]
+
+
+def touched(stored: DataFrame, days: list, day: str) -> DataFrame:
+    """Stored rows of exactly these days; the list prunes directories."""
+    return stored.filter(F.col(day).isin(days)) if days else stored.limit(0)
 
 
 def append_new(spark: SparkSession, incoming: DataFrame, path: str, key: list[str], day: str) -> None:
@@ -52,23 +62,35 @@ def append_new(spark: SparkSession, incoming: DataFrame, path: str, key: list[st
 
     The check reads the table itself, so a batch that runs again after a restart inserts nothing twice.
     """
-    fresh = incoming.dropDuplicates(key)
+    fresh, stage = staged(spark, incoming.dropDuplicates(key), "append")
+    new = fresh
     if table_exists(spark, path):
-        fresh = insert_missing(touched(spark.read.parquet(path), fresh, day), fresh, key)
-    by_day(fresh, day).write.mode("append").partitionBy(day).parquet(path)
+        new = insert_missing(touched(spark.read.parquet(path), days_of(fresh, day), day), fresh, key)
+    by_day(new, day).write.mode("append").partitionBy(day).parquet(path)
+    drop_path(spark, stage)
+
+
+def overwrite_days(df: DataFrame, path: str, day: str) -> None:
+    """Replace the day partitions that ``df`` holds."""
+    (by_day(df, day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path))
 
 
 def merge_into(spark: SparkSession, path: str, incoming: DataFrame, day: str,
                merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Merge ``incoming`` into the table at ``path``; returns the staged rows with their ``changed`` flag."""
+    """Merge ``incoming`` into the table at ``path``; returns the staged rows with their ``changed`` flag.
+
+    Only the days of ``incoming`` are read, and only those with a changed row are written.
+    """
+    new, batch = staged(spark, incoming, "incoming")
+    merged = merge(touched(spark.read.parquet(path), days_of(new, day), day), new)
     stage = work_path(spark, "stage")
-    stored = touched(spark.read.parquet(path), incoming, day)
-    merged = merge(stored, incoming)
     by_day(merged, day).write.partitionBy(day).parquet(stage)
-    staged = spark.read.schema(merged.schema).parquet(stage)  # also readable when nothing was merged
-    (by_day(staged.drop("changed"), day).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path))
-    return staged
+    rows = spark.read.schema(merged.schema).parquet(stage)  # also readable when nothing was merged
+    days = days_of(rows.filter("changed"), day)
+    if days:
+        overwrite_days(rows.filter(F.col(day).isin(days)).drop("changed"), path, day)
+    drop_path(spark, batch)
+    return rows
 
 
 def changed_count(staged: DataFrame) -> DataFrame:

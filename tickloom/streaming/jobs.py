@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.functions import pricing as P
 from tickloom.operators import candles as C, market as K, merge as M, normalize as N
-from tickloom.session import work_path
+from tickloom.session import drop_path, work_path
 from tickloom.sources import sinks as S
 
 # Horizons and limits of the live paths.
-CANDLE_HORIZON, REDELIVERY_WINDOW, MAX_RETRIES = "3 hours", "600 seconds", 3
+CANDLE_HORIZON, REDELIVERY_WINDOW, MAX_RETRIES, PRICE_TTL_SECONDS = "3 hours", "600 seconds", 3, 60
 TICK_KEY = ["symbol", "source", "trade_id", "ts"]
 
 
@@ -73,21 +73,28 @@ def minute_candles(ticks: DataFrame) -> DataFrame:
     return C.minute_ohlcv(with_event_time(ticks, CANDLE_HORIZON))
 
 
-def live_candles_into(spark: SparkSession, ticks: DataFrame, table: str) -> None:
+def live_candles_into(spark: SparkSession, ticks: DataFrame, table: str, checkpoint: str | None = None) -> None:
     """Candle updates merged into the stored table: a late tick re-opens its minute, official rows stay.
 
-    The updates of a batch are written once and merged from that table, so the stateful part of the
-    plan runs a single time per batch.
+    The merge stages the updates of a batch, so the stateful part of the plan runs a single time per batch; a batch
+    that comes again changes nothing.
     """
-    updates = work_path(spark, "candle-updates")
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch_table(updates)(batch, batch_id)
-        live = spark.read.parquet(f"{updates}/batch={batch_id}")
-        live = live.withColumn("bucket", F.col("bucket").cast("timestamp_ntz")).drop("trade_count")
+        live = batch.withColumn("bucket", F.col("bucket").cast("timestamp_ntz")).drop("trade_count")
         live = live.withColumn("day", F.to_date("bucket"))
         S.merge_into(spark, table, live, "day", lambda s, n: M.merge_live(s.drop("day"), n.drop("day")).withColumn("day", F.to_date("bucket")))
-    drain(minute_candles(ticks), "live-candles", write, "update")
+    drain(minute_candles(ticks), "live-candles", write, "update", checkpoint)
+
+
+def stored_candles_into(spark: SparkSession, ticks: DataFrame, table: str, checkpoint: str | None = None) -> None:
+    """The plain candle sink: one stored row per candle, replaced by its newer update."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        live = batch.withColumn("bucket", F.col("bucket").cast("timestamp_ntz")).withColumn("day", F.to_date("bucket"))
+        if not S.table_exists(spark, table):
+            S.overwrite_days(live, table, "day")
+            return
+        S.merge_into(spark, table, live, "day", lambda s, n: M.merge_newest(s, n, [*M.CANDLE_KEY, "day"]))
+    drain(minute_candles(ticks), "candles", write, "update", checkpoint)
 
 
 def without_redelivery(ticks: DataFrame, within: str = REDELIVERY_WINDOW) -> DataFrame:
@@ -95,55 +102,80 @@ def without_redelivery(ticks: DataFrame, within: str = REDELIVERY_WINDOW) -> Dat
     return with_event_time(ticks, within).dropDuplicatesWithinWatermark(TICK_KEY)
 
 
-def latest_prices_into(spark: SparkSession, ticks: DataFrame, prev_close: DataFrame, path: str) -> None:
-    """Newest price per symbol and batch with its change against the previous close.
+def newer(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """One row per symbol: the one with the newer time, the new one at equal times."""
+    cols = [c for c in new.columns if c != "symbol"]
+    both = stored.withColumn("_o", F.lit(0)).unionByName(new.select(*stored.columns).withColumn("_o", F.lit(1)))
+    return both.groupBy("symbol").agg(F.max_by(F.struct(*cols), F.struct("ts", "_o")).alias("r")).select("symbol", "r.*")
+
+
+def latest_prices_into(spark: SparkSession, ticks: DataFrame, prev_close: DataFrame, path: str, dead: str | None = None,
+                       checkpoint: str | None = None) -> None:
+    """Newest price per symbol with its change against the previous close, one row per symbol in the table.
 
-    Each task keeps one row per symbol before the shuffle, so a hot symbol costs no more than a quiet one.
+    Ticks with a price that is not positive go to the dead letters. Each task keeps one row per symbol before the shuffle,
+    so a hot symbol costs no more than a quiet one. The previous closes are stored once for all batches.
     """
+    closes, closes_path = S.staged(spark, prev_close, "prev-close")
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        snaps = K.snapshots(C.newest_trade(batch.filter(P.valid_price("price"))), prev_close)
-        batch_table(path)(snaps, batch_id)
-    drain(ticks, "latest-prices", write)
+        rows, stage = S.staged(spark, batch, "price-batch")
+        good = F.coalesce(P.valid_price("price"), F.lit(False))
+        if dead:
+            S.append_new(spark, rows.filter(~good).withColumn("day", F.to_date("ts")), dead, TICK_KEY, "day")
+        merge_keyed(spark, path, K.snapshots(C.newest_trade(rows.filter(good)), closes), newer)
+        drop_path(spark, stage)
+    drain(ticks, "latest-prices", write, checkpoint=checkpoint)
+    drop_path(spark, closes_path)
 
 
 def newest_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in ("symbol", "batch")]
-    return rows.groupBy("symbol").agg(F.max_by(F.struct(*rest), F.struct("ts", "batch")).alias("r")).select("symbol", "r.*")
+    return spark.read.parquet(path).drop("part")
+
 
+def live_snapshots(spark: SparkSession, path: str, now: Column, ttl_seconds: int = PRICE_TTL_SECONDS) -> DataFrame:
+    """Latest prices younger than their time to live."""
+    return K.active_snapshots(newest_snapshots(spark, path), now, ttl_seconds)
 
-def batch_latest_into(spark: SparkSession, events: DataFrame, path: str, dead: str) -> None:
+
+def batch_latest_into(spark: SparkSession, events: DataFrame, path: str, dead: str, checkpoint: str | None = None) -> None:
     """Micro-batch path: records that break the contract go to the dead letters, the rest gives one row per symbol."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = N.parse_events(batch, keep=("event_id",))
-        batch_table(dead)(parsed.filter(~F.col("is_valid")).select("event_id", "raw", "violations"), batch_id)
+        parsed, stage = S.staged(spark, N.parse_events(batch, keep=("event_id",)), "event-batch")
+        bad = parsed.filter(~F.col("is_valid")).select("event_id", "raw", "violations", F.lit(0).alias("part"))
+        S.append_new(spark, bad, dead, ["event_id", "raw"], "part")
         valid = parsed.filter("is_valid").select("event_id", "symbol", "source", "price", "volume", "exchange", "ts", "market_type")
-        batch_table(path)(C.newest_trade(valid), batch_id)
-    drain(events, "batch-latest", write)
+        merge_keyed(spark, path, C.newest_trade(valid), newer)
+        drop_path(spark, stage)
+    drain(events, "batch-latest", write, checkpoint=checkpoint)
 
 
 def store_ticks_into(spark: SparkSession, ticks: DataFrame, table: str, instruments: str, checkpoint: str | None = None) -> None:
     """Storage path: insert new ticks, then refresh the instruments seen in the batch.
 
-    Every batch writes its own version of the small instrument table, from the newest version before
-    it; what is stored decides, not the memory of this process, so a restart goes on where it stopped.
+    Both tables are merged by their own keys, so a batch may come again, from this checkpoint or a new one.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("day", F.to_date("ts"))
+        rows, stage = S.staged(spark, batch.withColumn("day", F.to_date("ts")), "tick-batch")
         S.append_new(spark, rows, table, TICK_KEY, "day")
-        merged = N.instruments_of(rows)
-        if S.table_exists(spark, instruments):
-            earlier = spark.read.parquet(instruments).filter(F.col("version") < batch_id)
-            newest = earlier.agg(F.max("version")).scalar()
-            merged = N.upsert_instruments(earlier.filter(F.col("version") == newest).drop("version"), merged)
-        merged.write.mode("overwrite").parquet(f"{instruments}/version={batch_id}")
+        merge_keyed(spark, instruments, N.instruments_of(rows), N.upsert_instruments)
+        drop_path(spark, stage)
     drain(ticks, "store-ticks", write, checkpoint=checkpoint)
 
 
+def merge_keyed(spark: SparkSession, path: str, new: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame],
+                key: str = "symbol", parts: int = 8) -> None:
+    """Merge rows into a small table with one row per key, kept in ``parts`` partitions by the key."""
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")
+    if not S.table_exists(spark, path):
+        S.overwrite_days(new.select("*", part), path, "part")
+        return
+    S.merge_into(spark, path, new.select("*", part), "part",
+                 lambda s, n: merge(s.drop("part"), n.drop("part")).select("*", part, F.lit(True).alias("changed")))
+
+
 def stored_instruments(spark: SparkSession, instruments: str) -> DataFrame:
-    """Newest version of the instrument table."""
-    versions = spark.read.parquet(instruments)
-    return versions.filter(F.col("version") == versions.agg(F.max("version")).scalar()).drop("version")
+    return spark.read.parquet(instruments).drop("part")
 
 
 def route(failed: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
@@ -152,13 +184,14 @@ def route(failed: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
     return failed.withColumn("route", F.when(again, "RETRY").otherwise("DLQ"))
 
 
-def route_into(spark: SparkSession, failed: DataFrame, dead: str, retry: str, round_no: int) -> None:
+def route_into(spark: SparkSession, failed: DataFrame, dead: str, retry: str, round_no: int, checkpoint: str | None = None) -> None:
     def write(batch: DataFrame, batch_id: int) -> None:
-        routed = route(batch)
+        routed, stage = S.staged(spark, route(batch), "routed-batch")
         batch_table(f"{dead}/round={round_no}")(routed.filter(F.col("route") == "DLQ").drop("route"), batch_id)
         again = routed.filter(F.col("route") == "RETRY").drop("route").withColumn("retry_count", F.col("retry_count") + 1)
         batch_table(f"{retry}/round={round_no}")(again, batch_id)
-    drain(failed, f"route-{round_no}", write)
+        drop_path(spark, stage)
+    drain(failed, f"route-{round_no}", write, checkpoint=checkpoint)
 
 
 def settled(minutes: DataFrame, now: Column, lookback_minutes: int, settle_minutes: int) -> DataFrame:
