@@ -8,6 +8,8 @@ from __future__ import annotations
 import numpy as np
 
 Z95 = 1.959963984540054
+#: Edge of the search: partial autocorrelations up to 0.9998. A series without noise has no optimum inside.
+EDGE = 50.0
 
 
 def _coefficients(u, order):
@@ -49,9 +51,9 @@ def _filter(y, phi, theta, const, begin):
     v, F = np.empty((n, batch, 2)), np.empty((n, batch))
     live = np.arange(n)[:, None] >= begin[None, :]
     ys = np.stack([y.T, live * const.astype(float)], 2)
-    late, settled = begin.max(), False
+    settled = np.zeros(batch, bool)  # row by row, so a fit does not depend on the rows beside it
     for t in range(n):
-        if not settled:
+        if not settled.all():
             f = P[:, 0, 0]
             left = ar[:, :, None] * P[:, :1, :]              # T P, using the companion form of T
             left[:, :-1] += P[:, 1:]
@@ -59,9 +61,8 @@ def _filter(y, phi, theta, const, begin):
             new = left[:, :, :1] * ar[:, None, :] + RR       # (T P) T' + R R'
             new[:, :, :-1] += left[:, :, 1:]
             new -= K[:, :, None] * (K * f[:, None])[:, None, :]
-            if t < late:
-                new = np.where(live[t][:, None, None], new, P)
-            settled = t > r + late and np.abs(new - P).max() < 1e-9
+            new = np.where((live[t] & ~settled)[:, None, None], new, P)
+            settled |= (t > r + begin) & (np.abs(new - P).max(axis=(1, 2)) < 1e-9)
             P = new
         e = ys[t] - a[:, :, 0]
         v[t], F[t] = e, np.where(live[t], f, 1.0)
@@ -107,10 +108,12 @@ def _profile(y, phi, theta, const, begin):
     return llf, mu, s2, a[:, 0] - mu[:, None] * a[:, 1]
 
 
-def fit(y, p, q, const, lengths=None, iterations=25, tolerance=1e-8):
+def fit(y, p, q, const, lengths=None, tolerance=1e-8):
     """Fit ARMA(p, q) (+ mean) to every row of ``y``; p, q, const hold one entry per row.
 
-    Rows shorter than the batch are right-aligned; ``lengths`` then gives their real sizes.
+    Rows shorter than the batch are right-aligned; ``lengths`` then gives their real sizes. A row is searched until neither
+    a quasi-Newton nor a plain gradient step improves its likelihood any more; every step must improve it by
+    ``tolerance``, so the search ends by itself. ``converged`` is false for a row whose likelihood was never finite.
     """
     y = np.asarray(y, float)
     batch, n = y.shape
@@ -126,20 +129,19 @@ def fit(y, p, q, const, lengths=None, iterations=25, tolerance=1e-8):
     k = kp + kq
     free = np.concatenate([np.arange(kp)[None, :] < p[:, None], np.arange(kq)[None, :] < q[:, None]], 1)
 
-    def values(stack):
-        """Objective of a stack of parameter sets per row, in one pass over time."""
-        sets = len(stack)
-        u = stack.reshape(sets * batch, k)
-        pp, qq = np.tile(p, sets), np.tile(q, sets)
-        phi, theta = _coefficients(u[:, :kp], pp), -_coefficients(u[:, kp:], qq)
+    def values(stack, at):
+        """Objective of a stack of parameter sets for the rows ``at``, in one pass over time."""
+        sets, rows = stack.shape[:2]
+        u = stack.reshape(sets * rows, k)
+        phi, theta = _coefficients(u[:, :kp], np.tile(p[at], sets)), -_coefficients(u[:, kp:], np.tile(q[at], sets))
         with np.errstate(all="ignore"):
-            llf = _profile(np.tile(z, (sets, 1)), phi, theta, np.tile(const, sets), np.tile(begin, sets))[0]
-        return np.where(np.isfinite(llf), -llf / np.tile(size, sets), 1e10).reshape(sets, batch)
+            llf = _profile(np.tile(z[at], (sets, 1)), phi, theta, np.tile(const[at], sets), np.tile(begin[at], sets))[0]
+        return np.where(np.isfinite(llf), -llf / np.tile(size[at], sets), 1e10).reshape(sets, rows)
 
-    def gradient(u):
+    def gradient(u, at):
         eye = np.eye(k)[:, None, :] * 1e-5
-        f = values(np.concatenate([u + eye, u - eye]))
-        return ((f[:k] - f[k:]) / 2e-5).T * free
+        f = values(np.concatenate([u + eye, u - eye]), at)
+        return ((f[:k] - f[k:]) / 2e-5).T * free[at]
 
     # a coarse start keeps the search out of poor optima
     starts = np.zeros((21, batch, k))
@@ -147,37 +149,43 @@ def fit(y, p, q, const, lengths=None, iterations=25, tolerance=1e-8):
     for i, (ar, ma) in enumerate(grid, 1):
         starts[i, :, 0], starts[i, :, kp] = ar, ma
     starts *= free
-    f = values(starts)
-    pick = f.argmin(0)
-    u, best = starts[pick, np.arange(batch)], f.min(0)
-    H, g = np.tile(np.eye(k), (batch, 1, 1)), gradient(u)
+    every = np.arange(batch)
+    f = values(starts, every)
+    u, best = starts[f.argmin(0), every], f.min(0)
+    H, g = np.tile(np.eye(k), (batch, 1, 1)), gradient(u, every)
+    plain = np.zeros(batch, bool)                 # the last step was a plain gradient step and failed, or is to be one
     shrink = 0.35 ** np.arange(8)
-    for _ in range(iterations):                   # BFGS, all rows and all step lengths together
-        d = -np.einsum("bij,bj->bi", H, g)
-        d = np.where(((d * g).sum(1) < 0)[:, None], d, -g)
+    todo = every[free.any(axis=1) & (best < 1e9)]
+    while len(todo):                              # BFGS on the rows still improving, all step lengths together
+        d = -np.einsum("bij,bj->bi", H[todo], g[todo])
+        d = np.where((((d * g[todo]).sum(1) < 0) & ~plain[todo])[:, None], d, -g[todo])
         d /= np.maximum(1.0, np.abs(d).max(1) / 2.0)[:, None]
-        cand = u + shrink[:, None, None] * d
-        f = values(cand)
+        cand = np.clip(u[todo] + shrink[:, None, None] * d, -EDGE, EDGE)
+        f = values(cand, todo)
         pick = f.argmin(0)
-        better = f.min(0) < best
-        nu = np.where(better[:, None], cand[pick, np.arange(batch)], u)
-        nf = np.minimum(best, f.min(0))
-        ng = gradient(nu)
-        s, yv = nu - u, ng - g
-        sy = (s * yv).sum(1)
-        ok = sy > 1e-12
-        rho = np.where(ok, 1.0 / np.where(ok, sy, 1.0), 0.0)
-        V = np.eye(k) - rho[:, None, None] * s[:, :, None] * yv[:, None, :]
-        H = np.where(ok[:, None, None], V @ H @ V.transpose(0, 2, 1) + rho[:, None, None] * s[:, :, None] * s[:, None, :], H)
-        small = np.max(best - nf) < tolerance
-        u, best, g = nu, nf, ng
-        if small:
-            break
+        better = best[todo] - f.min(0) > tolerance
+        stuck = todo[~better & plain[todo]]       # not even the plain gradient helps
+        retry = todo[~better & ~plain[todo]]
+        plain[retry] = True
+        H[retry] = np.eye(k)
+        moved = todo[better]
+        if len(moved):
+            nu = cand[pick, np.arange(len(todo))][better]
+            ng = gradient(nu, moved)
+            s, yv = nu - u[moved], ng - g[moved]
+            sy = (s * yv).sum(1)
+            ok = sy > 1e-12
+            rho = np.where(ok, 1.0 / np.where(ok, sy, 1.0), 0.0)
+            V = np.eye(k) - rho[:, None, None] * s[:, :, None] * yv[:, None, :]
+            H[moved] = np.where(ok[:, None, None], V @ H[moved] @ V.transpose(0, 2, 1) + rho[:, None, None] * s[:, :, None] * s[:, None, :], H[moved])
+            u[moved], best[moved], g[moved] = nu, f.min(0)[better], ng
+            plain[moved] = False
+        todo = np.setdiff1d(todo, stuck, assume_unique=True)
     phi, theta = _coefficients(u[:, :kp], p), -_coefficients(u[:, kp:], q)
     llf, mu, s2, state = _profile(z, phi, theta, const, begin)
     llf = llf - size * np.log(scale)
     return {"phi": phi, "theta": theta, "mu": mu * scale, "s2": s2 * scale ** 2, "state": state * scale[:, None],
-            "llf": llf, "aic": -2 * llf + 2 * (p + q + const + 1)}
+            "llf": llf, "aic": -2 * llf + 2 * (p + q + const + 1), "converged": best < 1e9}
 
 
 def forecast(model, steps, integrate_from=None):

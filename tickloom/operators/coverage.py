@@ -53,10 +53,13 @@ def known_symbols(daily: DataFrame, source: str = "BINANCE", market_type: str =
 
 def top_by_turnover(daily: DataFrame, traded: DataFrame, today: Column, n: int, days: int = 30,
                     source: str = "BINANCE") -> DataFrame:
-    """Top ``n`` traded, unpegged symbols by the sum of close times volume over the last days."""
+    """Top ``n`` traded, unpegged symbols by the sum of close times volume over the last days.
+
+    The product keeps all digits of both factors that a decimal can hold (at least six behind the point).
+    """
     recent = daily.filter((F.col("source") == source) & (F.col("trade_date") >= F.date_sub(today, days))
                           & ~F.col("symbol").isin(PEGGED))
-    turnover = F.sum((F.col("close").cast("decimal(18,4)") * F.col("volume").cast("decimal(18,4)"))).alias("quote_volume")
+    turnover = F.sum((F.col("close") * F.col("volume")).cast("decimal(38,6)")).alias("quote_volume")
     ranked = recent.groupBy("symbol").agg(turnover).join(traded.select("symbol").distinct(), "symbol", "left_semi")
     return ranked.orderBy(F.desc("quote_volume"), "symbol").limit(n)
 

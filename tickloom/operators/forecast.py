@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions import arma
 from tickloom.functions.timeparse import future_points, seconds
+from .series import validate
 from .signals import classify, threshold_pct
 
 # Model names, defaults, order grid, hold-out rules.
@@ -51,14 +52,14 @@ FORECASTERS = {PRICE_ARIMA: price_arima, LOG_RETURN_ARIMA: log_return_arima}
 
 
 def positions(series: DataFrame, keys: list[str], t: str, start: Column, end: Column, step: int | None) -> DataFrame:
-    """Add ``pos``: 0 at the first bar of [start, end], negative before it.
+    """Add ``pos``: 0 at the first bar of the range, negative before it.
 
-    On a gap-free grid (``step`` seconds) the position follows from the time alone. A calendar with
-    closed days needs a rank, over one row per day.
+    On a gap-free grid (``step`` seconds) the position follows from the time alone and the range is [start, end).
+    A calendar with closed days needs a rank, over one row per day, and the range is [start, end].
     """
     if step:
         first = F.ceil(seconds(start) / step) * step
-        return series.withColumn("pos", F.floor((seconds(t) - first) / step)).filter(F.col(t) <= end)
+        return series.withColumn("pos", F.floor((seconds(t) - first) / step)).filter(F.col(t) < end)
     w = Window.partitionBy(*keys)
     ranked = F.row_number().over(w.orderBy(t)) - 1 - F.count_if(F.col(t) < start).over(w)
     return series.filter(F.col(t) <= end).withColumn("pos", ranked.cast("long"))
@@ -87,6 +88,7 @@ def walk_forward(series: DataFrame, keys: list[str], t: str, value: str, models:
     if unknown:
         raise ValueError(f"unsupported prediction model: {unknown}")
     span = refit_every * BLOCKS_PER_CHUNK
+    series, refused = valid_series(series, keys, t, value, step, models)
     placed = positions(series.select(*keys, t, F.col(value).cast("double").alias("v")), keys, t, start, end, step)
     low = F.greatest(F.lit(0), F.floor(F.col("pos") / span))
     high = F.floor((F.col("pos") + max_history) / span)
@@ -133,7 +135,22 @@ def walk_forward(series: DataFrame, keys: list[str], t: str, value: str, models:
         names = [*keys, "model", "signal_time", "execution_time", "step", "reference_price", "predicted_price", "volatility_pct", "error"]
         return pd.DataFrame(rows, columns=names)
 
-    return chunks.groupBy(*keys, "chunk", "model").applyInPandas(run, schema)
+    return chunks.groupBy(*keys, "chunk", "model").applyInPandas(run, schema).unionByName(refused)
+
+
+def valid_series(series: DataFrame, keys: list[str], t: str, value: str, step: int | None, models: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The series that may be forecast, and one row with ``error`` per model for each of the others.
+
+    Minutes must follow each other without a gap; calendars with closed days may have gaps of any length.
+    """
+    rules = validate(series, keys, t, value, step or 86400, exact=step is not None, gaps=step is not None)
+    broken = rules.filter(F.col("violation").isNotNull())
+    none = lambda kind: F.lit(None).cast(kind)
+    when = dict(series.dtypes)[t]
+    refused = broken.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models]))).select(
+        *keys, "model", none(when).alias("signal_time"), none(when).alias("execution_time"), none("int").alias("step"),
+        *[none("double").alias(c) for c in ("reference_price", "predicted_price", "volatility_pct")], F.col("violation").alias("error"))
+    return series.join(broken.select(*keys), keys, "left_anti"), refused
 
 
 def ar_walk_forward(series: DataFrame, keys: list[str], t: str, value: str, start: Column, end: Column, step: int | None = None,
@@ -144,6 +161,7 @@ def ar_walk_forward(series: DataFrame, keys: list[str], t: str, value: str, star
     The coefficient of a block is a ratio of two sums over its history, so no task-side code is needed.
     On a gap-free grid the frames run over time spans with the history copied in front.
     """
+    series, refused = valid_series(series, keys, t, value, step, [AR_DIFF])
     placed = positions(series.select(*keys, t, F.col(value).cast("double").alias("v")), keys, t, start, end, step)
     part = list(keys)
     if step:
@@ -174,7 +192,7 @@ def ar_walk_forward(series: DataFrame, keys: list[str], t: str, value: str, star
     error = (F.when(F.col("history") < warmup, f"at least {warmup} observations are required")
              .when(~F.coalesce(guess > 0, F.lit(False)), "forecast returned invalid prediction values"))
     return df.select(*keys, F.lit(AR_DIFF).alias("model"), "signal_time", F.col(t).alias("execution_time"), "step", "reference_price",
-                     F.when(error.isNull(), guess).alias("predicted_price"), "volatility_pct", error.alias("error"))
+                     F.when(error.isNull(), guess).alias("predicted_price"), "volatility_pct", error.alias("error")).unionByName(refused)
 
 
 def decide(forecasts: DataFrame, multiplier: float | Column = VOL_MULTIPLIER, fee_bps: float = 10.0, slippage_bps: float = 5.0) -> DataFrame:
@@ -199,28 +217,37 @@ def align(bars: DataFrame, signals: DataFrame, keys: list[str], t: str) -> DataF
 
 # -- forecasts at the end of a series --------------------------------------------------------------
 
-def forecast_ends(series: DataFrame, keys: list[str], t: str, value: str, models: list[str], horizon: int, step: int) -> DataFrame:
-    """``horizon`` points with 95 % bounds per model, from the newest observations of a series.
+def forecast_ends(series: DataFrame, keys: list[str], t: str, value: str, models: list[str], horizon: int, step: int,
+                  orders: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
+    """``horizon`` points with 95 % bounds per model, from all observations of a series.
 
-    The caller bounds each series to the newest N rows (the load limit), so a group stays small.
+    A series is fitted in one task: daily bars, one row a day. Intraday series go through ``walk_forward``, whose
+    chunks are bounded; a step below one day is refused here. A series that cannot be fitted has one row with ``error``.
     """
+    if step < 86400:
+        raise ValueError("forecasts at the end of intraday series are walk-forward runs")
     jobs = series.select(*keys, t, F.col(value).cast("double").alias("v")).withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
     types = dict(series.dtypes)
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["model string", "step int", "yhat double", "yhat_lower double",
-                                                             "yhat_upper double", "last_value double", f"last_ts {types[t]}"])
+                                                             "yhat_upper double", "last_value double", f"last_ts {types[t]}", "error string"])
 
     def run(key, pdf):
         pdf = pdf.sort_values(t)
         v = pdf["v"].to_numpy(float)[None, :]
+        end = {"last_value": v[0, -1], "last_ts": pdf[t].iloc[-1]}
         try:
-            mean, low, high = FORECASTERS[key[-1]](v, horizon)
-        except (ValueError, np.linalg.LinAlgError):
-            return pd.DataFrame([], columns=[*keys, "model", "step", "yhat", "yhat_lower", "yhat_upper", "last_value", "last_ts"])
+            kind, order = (key[-1], None) if orders is None else (key[-1], orders.get(key[-1]))
+            mean, low, high = FORECASTERS[kind](v, horizon, **({"order": order} if order else {}))
+            if not np.isfinite(mean).all():
+                raise ValueError("forecast returned invalid prediction values")
+        except (ValueError, np.linalg.LinAlgError) as failure:
+            return pd.DataFrame({**{k: [x] for k, x in zip(keys, key)}, "model": key[-1], "step": None, "yhat": None, "yhat_lower": None,
+                                 "yhat_upper": None, **end, "error": str(failure)})
         return pd.DataFrame({**{k: [x] * horizon for k, x in zip(keys, key)}, "model": key[-1], "step": np.arange(1, horizon + 1),
-                             "yhat": mean[0], "yhat_lower": low[0], "yhat_upper": high[0], "last_value": v[0, -1], "last_ts": pdf[t].iloc[-1]})
+                             "yhat": mean[0], "yhat_lower": low[0], "yhat_upper": high[0], **end, "error": None})
 
     points = jobs.groupBy(*keys, "model").applyInPandas(run, schema)
-    return points.withColumn("ts", F.element_at(future_points("last_ts", step, horizon), F.col("step")))
+    return points.withColumn("ts", F.when(F.col("error").isNull(), F.element_at(future_points("last_ts", step, horizon), F.coalesce("step", F.lit(1)))))
 
 
 def order_scores(series: DataFrame, keys: list[str], t: str, value: str) -> DataFrame:
@@ -236,17 +263,17 @@ def order_scores(series: DataFrame, keys: list[str], t: str, value: str) -> Data
         y = pdf.sort_values(t)["v"].to_numpy(float)
         y = np.diff(y) if d else y
         qs = np.array(Q_VALUES)
-        m = arma.fit(np.tile(y, (len(qs), 1)), np.full(len(qs), p), qs, np.full(len(qs), d == 0), iterations=12, tolerance=1e-7)
+        m = arma.fit(np.tile(y, (len(qs), 1)), np.full(len(qs), p), qs, np.full(len(qs), d == 0))
         return pd.DataFrame({**{k: [x] * len(qs) for k, x in zip(keys, key)}, "p": p, "d": d, "q": qs, "aic": m["aic"]})
 
     return jobs.groupBy(*keys, "d", "p").applyInPandas(run, schema)
 
 
 def best_order(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Order with the smallest finite AIC; the earlier order wins a tie."""
-    ok = scores.filter(F.col("aic").isNotNull() & ~F.isnan("aic") & (F.abs("aic") < float("inf")))
-    best = ok.groupBy(*keys).agg(F.min(F.struct("aic", "p", "d", "q")).alias("b"))
-    return best.select(*keys, "b.p", "b.d", "b.q", "b.aic")
+    """Order with the smallest finite AIC; the earlier order wins a tie. (1, 1, 1) where no fit has a finite AIC."""
+    finite = F.col("aic").isNotNull() & ~F.isnan("aic") & (F.abs("aic") < float("inf"))
+    best = scores.groupBy(*keys).agg(F.min(F.when(finite, F.struct("aic", "p", "d", "q"))).alias("b"))
+    return best.select(*keys, *[F.coalesce(f"b.{c}", F.lit(1)).alias(c) for c in ("p", "d", "q")], "b.aic")
 
 
 def split_holdout(series: DataFrame, keys: list[str], t: str, log_return: bool = False) -> DataFrame:
@@ -260,18 +287,29 @@ def split_holdout(series: DataFrame, keys: list[str], t: str, log_return: bool =
     return df.filter(F.col("_n") - F.col("test_size") >= least).withColumn("is_test", F.col("_back") <= F.col("test_size")).drop("_n", "_back")
 
 
-def holdout(series: DataFrame, keys: list[str], t: str, value: str, model: str) -> DataFrame:
-    """Forecast the held-out end of each series in one go; the errors are aggregated by Spark."""
-    marked = split_holdout(series.select(*keys, t, F.col(value).cast("double").alias("v")), keys, t, model == LOG_RETURN_ARIMA)
+def holdout(series: DataFrame, keys: list[str], t: str, value: str, model: str, order: tuple[int, int, int] | None = None) -> DataFrame:
+    """Forecast the held-out end of each series in one go; the errors are aggregated by Spark.
+
+    Log returns need positive prices, other rows leave before the split. A series that cannot be fitted keeps its rows
+    with an ``error`` and without predictions.
+    """
+    rows = series.select(*keys, t, F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    if model == LOG_RETURN_ARIMA:
+        rows = rows.filter("v > 0")
+    marked = split_holdout(rows, keys, t, model == LOG_RETURN_ARIMA)
     types = dict(series.dtypes)
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"{t} {types[t]}", "predicted_price double", "actual_price double", "test_size int"])
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"{t} {types[t]}", "predicted_price double", "actual_price double", "test_size int", "error string"])
 
     def run(key, pdf):
         pdf = pdf.sort_values(t)
         test = pdf["is_test"].to_numpy(bool)
         v, steps = pdf["v"].to_numpy(float), int(test.sum())
-        mean = FORECASTERS[model](v[~test][None, :], steps)[0][0]
-        return pd.DataFrame({**{k: [x] * steps for k, x in zip(keys, key)}, t: pdf[t].to_numpy()[test], "predicted_price": mean,
-                             "actual_price": v[test], "test_size": steps})
+        mean, error = np.full(steps, np.nan), None
+        try:
+            mean = FORECASTERS[model](v[~test][None, :], steps, **({"order": order} if order else {}))[0][0]
+        except (ValueError, np.linalg.LinAlgError) as failure:
+            error = str(failure)
+        return pd.DataFrame({**{k: [x] * steps for k, x in zip(keys, key)}, t: pdf[t].to_numpy()[test], "predicted_price": mean if error is None else None,
+                             "actual_price": v[test], "test_size": steps, "error": error})
 
     return marked.groupBy(*keys).applyInPandas(run, schema)

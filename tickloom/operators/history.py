@@ -7,8 +7,6 @@ from tickloom.functions.pricing import once
 from .merge import insert_missing
 
 RUN_KEY = ["symbol", "interval", "horizon", "source", "base_ts"]
-# Column widths of the tables.
-SOURCE_WIDTH, MODEL_WIDTH = 32, 64
 
 _POINT = "struct<ts:string,yhat:string,yhat_lower:string,yhat_upper:string>"
 _MODEL = f"struct<model:string,trained_at:string,metrics:struct<mae:string,rmse:string>,forecast:array<{_POINT}>>"
@@ -24,7 +22,7 @@ def parse_responses(responses: DataFrame, value: str = "value") -> DataFrame:
     v = responses.withColumn("v", once(F.from_json(value, RESPONSE)))
     return (v.withColumn("base_ts", _time(F.col("v.last_ts"))).filter(F.col("base_ts").isNotNull())
             .withColumn("symbol", F.upper("symbol"))
-            .withColumn("source", F.substring(F.trim(F.coalesce("source", F.lit(""))), 1, SOURCE_WIDTH)))
+            .withColumn("source", F.trim(F.coalesce("source", F.lit("")))))
 
 
 def runs_of(parsed: DataFrame) -> DataFrame:
@@ -36,7 +34,7 @@ def runs_of(parsed: DataFrame) -> DataFrame:
 def points_of(parsed: DataFrame) -> DataFrame:
     """Forecast points: nameless models and unreadable points are skipped, repeated times keep the first."""
     models = parsed.select(*RUN_KEY, F.posexplode("v.models").alias("mpos", "m"))
-    named = models.withColumn("model", F.substring(F.trim(F.coalesce("m.model", F.lit(""))), 1, MODEL_WIDTH)).filter(F.col("model") != "")
+    named = models.withColumn("model", F.trim(F.coalesce("m.model", F.lit("")))).filter(F.col("model") != "")
     pts = named.select(*RUN_KEY, "model", "mpos", _time(F.col("m.trained_at")).alias("trained_at"),
                        F.col("m.metrics.mae").try_cast("double").alias("mae"), F.col("m.metrics.rmse").try_cast("double").alias("rmse"),
                        F.posexplode("m.forecast").alias("ppos", "p"))

@@ -90,30 +90,44 @@ def interpolate(grid: DataFrame, keys: list[str], ts: str, value: str, step: int
     return slots.select(*keys, from_seconds("_s").alias(ts), filled.alias(value))
 
 
+def by_row(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """``df`` with the times replaced by the number of the row in its series, in seconds since 1970, and the times beside
+    them: the steps of a calendar with closed days. Only for one row a day or fewer."""
+    row = F.row_number().over(Window.partitionBy(*keys).orderBy(ts))
+    return df.withColumn("_at", F.col(ts)).withColumn(ts, from_seconds(row.cast("long")))
+
+
 def clean(series: DataFrame, keys: list[str], ts: str, value: str, step: int, load_order: str | None = None,
           regular: bool = True) -> DataFrame:
     """Model input: last load wins, regular grid, outliers out, interpolated; short series dropped.
 
-    ``regular=False`` keeps a calendar with closed days as it is, without a grid.
+    ``regular=False`` keeps a calendar with closed days as it is, without a grid: outliers and gaps are then found and filled
+    in the order of the rows.
     """
     one = series.groupBy(*keys, ts).agg(F.max_by(value, load_order or value).alias(value))
-    grid = regular_grid(one, keys, ts, value, step) if regular else one
-    whole = interpolate(drop_outliers(grid, keys, ts, value, step), keys, ts, value, step) if regular else one
+    if regular:
+        grid = regular_grid(one, keys, ts, value, step)
+        whole = interpolate(drop_outliers(grid, keys, ts, value, step), keys, ts, value, step)
+    else:
+        rows = by_row(one, keys, ts)
+        filled = interpolate(drop_outliers(rows.drop("_at"), keys, ts, value, 1), keys, ts, value, 1)
+        whole = filled.join(rows.select(*keys, ts, "_at"), [*keys, ts]).select(*keys, F.col("_at").alias(ts), value)
     enough = whole.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= MIN_OBS).select(*keys)
     return whole.join(enough, keys, "left_semi")
 
 
-def validate(series: DataFrame, keys: list[str], ts: str, value: str, step: int, exact: bool) -> DataFrame:
+def validate(series: DataFrame, keys: list[str], ts: str, value: str, step: int, exact: bool, gaps: bool = True) -> DataFrame:
     """First violated rule per series, or NULL.
 
-    ``exact`` asks for a gap of exactly one step (minutes); otherwise no gap may exceed a step (days).
+    ``exact`` asks for a gap of exactly one step (minutes); otherwise no gap may exceed a step (days). Without ``gaps``
+    (a calendar with closed days) rows may lie any time apart.
     """
     v = F.col(value).cast("double")
     dup = series.groupBy(*keys, ts).agg(F.count("*").alias("_n"), F.min(v).alias("_v"),
                                         F.count_if(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))).alias("_bad"))
     linked = with_previous(dup, keys, ts, [ts], step * SPAN_ROWS)
     gap = seconds(ts) - seconds(f"prev_{ts}")
-    broken = (gap != step) if exact else (gap > step)
+    broken = F.lit(False) if not gaps else (gap != step) if exact else (gap > step)
     agg = linked.groupBy(*keys).agg(
         F.sum("_n").alias("rows"), F.count_if(F.col("_n") > 1).alias("duplicates"), F.sum("_bad").alias("invalid"),
         F.count_if(F.col("_v") <= 0).alias("not_positive"), F.count_if(broken).alias("gaps"))

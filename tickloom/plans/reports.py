@@ -13,7 +13,9 @@ FEE_BPS, SLIPPAGE_BPS = 10.0, 5.0
 
 
 def in_range(bars: DataFrame, t: str, start: Column, end: Column) -> DataFrame:
-    return bars.filter(F.col(t).between(start, end))
+    """Days of [start, end]; of a time column the bars of [start, end)."""
+    day = dict(bars.dtypes)[t] == "date"
+    return bars.filter((F.col(t) >= start) & ((F.col(t) <= end) if day else (F.col(t) < end)))
 
 
 def buy_and_hold_rows(bars: DataFrame, t: str, start: Column, end: Column) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators import candles as C, forecast as FC, metrics as M, series as R
-from tickloom.operators.dedup import newest_per_key
 from tickloom.plans import reports as P
 from tickloom.sources import adapters as A
 from .registry import query
@@ -29,12 +28,13 @@ t AS (SELECT *, idx - first_idx AS pos, (idx - first_idx) // 5 AS blk, (idx - fi
 h AS (SELECT symbol, blk, phi, vol, last, ld, sd, hist FROM t WHERE step = 1),
 g AS (SELECT t.symbol, t.blk, t.trade_date, t.step, t.c AS actual, t.open, h.sd AS signal_time, h.last AS ref, h.vol, h.hist,
   h.last + h.ld * list_sum(list_transform(range(1, t.step + 1), lambda j: pow(h.phi, j))) AS pred FROM t JOIN h USING (symbol, blk)),
-fc AS (SELECT *, (pred / ref - 1) * 100 AS ex FROM g WHERE pred > 0)"""
+gx AS (SELECT *, CASE WHEN hist < 50 THEN 'at least 50 observations are required' WHEN NOT coalesce(pred > 0, false) THEN 'forecast returned invalid prediction values' END AS error FROM g),
+fc AS (SELECT * REPLACE (CASE WHEN error IS NULL THEN pred END AS pred), CASE WHEN error IS NULL THEN (pred / ref - 1) * 100 END AS ex FROM gx)"""
 
 
 def _decide(mult):
     thr = f"(2.0 * 15 / 100 + {mult} * vol * sqrt(step))"
-    return f"CASE WHEN ex > {thr} THEN 'BUY' WHEN ex < -{thr} THEN 'SELL' ELSE 'HOLD' END"
+    return f"CASE WHEN ex IS NULL THEN NULL WHEN ex > {thr} THEN 'BUY' WHEN ex < -{thr} THEN 'SELL' ELSE 'HOLD' END"
 
 
 def ar_forecasts(spark, sf):
@@ -47,17 +47,25 @@ def dec(c, n):
 
 @query("FCT1_walk_forward_closed_form", AR + f""" SELECT symbol, signal_time, trade_date AS execution_time, step, {rs('ref', 'reference_price', 4, 10)},
  {rs('pred', 'predicted_price', 3, 10)}, {rs('ex', 'expected_return_pct', 4, 10)}, {rs('2.0 * 15 / 100 + 0.5 * vol * sqrt(step)', 'threshold_pct', 4, 10)},
- {_decide(0.5)} AS signal FROM fc""")
+ {_decide(0.5)} AS signal, error FROM fc""")
 def walk_forward_closed_form(spark, sf):
-    d = FC.decide(ar_forecasts(spark, sf).filter(F.col("error").isNull()))
+    d = FC.decide(ar_forecasts(spark, sf))
     return d.select("symbol", "signal_time", "execution_time", "step", dec("reference_price", 4), dec("predicted_price", 3),
-                    dec("expected_return_pct", 4), dec("threshold_pct", 4), "signal")
+                    dec("expected_return_pct", 4), dec("threshold_pct", 4), "signal", "error")
 
 
 def arima_forecasts(spark, sf, models):
     return FC.walk_forward(A.bars_daily(spark, sf), ["symbol"], "trade_date", "close", models, D(START), D(END))
 
 
+@query("FCT1_arima_rows", AR + f""", m AS (SELECT unnest(['ARIMA', 'LOG_RETURN_ARIMA']) AS model)
+SELECT symbol, m.model, signal_time, trade_date AS execution_time, step, {rs('ref', 'reference_price', 4, 10)}, {rs('vol', 'volatility_pct', 4, 10)} FROM gx, m""")
+def arima_rows(spark, sf):
+    """The rows of the ARIMA runs without the fitted prices."""
+    f = arima_forecasts(spark, sf, [FC.PRICE_ARIMA, FC.LOG_RETURN_ARIMA])
+    return f.select("symbol", "model", "signal_time", "execution_time", "step", dec("reference_price", 4), dec("volatility_pct", 4))
+
+
 @query("FCT1_walk_forward_arima")
 def walk_forward_arima(spark, sf):
     """Daily walk-forward of both ARIMA models over every symbol."""
@@ -79,7 +87,7 @@ nb AS (SELECT *, last_value(close IGNORE NULLS) OVER p AS pv, max(CASE WHEN clos
   first_value(close IGNORE NULLS) OVER n AS nv, min(CASE WHEN close IS NOT NULL THEN ts END) OVER n AS nt FROM gr
   WINDOW p AS ({MW} ROWS UNBOUNDED PRECEDING), n AS ({MW} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 b AS (SELECT symbol, source, ts, CASE WHEN close IS NOT NULL THEN close ELSE pv + (nv - pv) * (epoch(ts) - epoch(pt)) / (epoch(nt) - epoch(pt)) END AS c FROM nb
-  WHERE ts < TIMESTAMP '2030-01-01'),
+  WHERE ts < TIMESTAMP '2024-01-01 05:10:00'),
 d AS (SELECT *, c - lag(c) OVER ({MW}) AS d, ln(c / lag(c) OVER ({MW})) AS r FROM b), e AS (SELECT *, lag(d) OVER ({MW}) AS pd FROM d),
 st AS (SELECT *, CAST((epoch(ts) - epoch(TIMESTAMP '2024-01-01 01:30:00')) / 60 AS BIGINT) AS pos,
   sum(d * pd) OVER ({MW} ROWS BETWEEN 198 PRECEDING AND 1 PRECEDING) AS num, sum(CASE WHEN d IS NOT NULL THEN pd * pd END) OVER ({MW} ROWS BETWEEN 198 PRECEDING AND 1 PRECEDING) AS den,
@@ -89,95 +97,181 @@ t AS (SELECT *, pos // 5 AS blk, pos % 5 + 1 AS step FROM st WHERE pos >= 0),
 h AS (SELECT symbol, source, blk, CASE WHEN den > 0 THEN num / den ELSE 0 END AS phi, vol, last, ld, hist FROM t WHERE step = 1),
 g AS (SELECT t.symbol, t.source, t.ts, t.step, h.last AS ref, h.vol, h.hist,
   h.last + h.ld * list_sum(list_transform(range(1, t.step + 1), lambda j: pow(h.phi, j))) AS pred FROM t JOIN h USING (symbol, source, blk)),
-fc AS (SELECT *, (pred / ref - 1) * 100 AS ex FROM g WHERE pred > 0 AND hist >= 50)"""
+gx AS (SELECT *, CASE WHEN hist < 50 THEN 'at least 50 observations are required' WHEN NOT coalesce(pred > 0, false) THEN 'forecast returned invalid prediction values' END AS error FROM g),
+fc AS (SELECT * REPLACE (CASE WHEN error IS NULL THEN pred END AS pred), CASE WHEN error IS NULL THEN (pred / ref - 1) * 100 END AS ex FROM gx)"""
 
 
 @query("FCT2_intraday_closed_form", MINUTE_AR + f""" SELECT symbol, source, ts AS execution_time, step, {rs('ref', 'reference_price', 4, 10)},
- {rs('pred', 'predicted_price', 3, 10)}, {_decide(0.5)} AS signal FROM fc""")
+ {rs('pred', 'predicted_price', 3, 10)}, {_decide(0.5)} AS signal, error FROM fc""")
 def intraday_closed_form(spark, sf):
+    """The range is half-open and ends inside the data."""
     f = FC.ar_walk_forward(gap_free_minutes(spark, sf), ["symbol", "source"], "bucket", "close", TS("2024-01-01 01:30:00"),
-                           TS("2030-01-01 00:00:00"), step=60)
-    d = FC.decide(f.filter(F.col("error").isNull()))
-    return d.select("symbol", "source", "execution_time", "step", dec("reference_price", 4), dec("predicted_price", 3), "signal")
+                           TS("2024-01-01 05:10:00"), step=60)
+    d = FC.decide(f)
+    return d.select("symbol", "source", "execution_time", "step", dec("reference_price", 4), dec("predicted_price", 3), "signal", "error")
+
+
+@query("FCT2_refused_series", f"""WITH {A.SQL_DENSE}, {A.SQL_MINUTES}, l AS (SELECT symbol, source, close, bucket - lag(bucket) OVER (PARTITION BY symbol, source ORDER BY bucket) AS gap FROM minutes)
+SELECT symbol, source, 'ARIMA_110' AS model, 'missing rows' AS error FROM l GROUP BY 1, 2 HAVING count(*) FILTER (gap <> INTERVAL '1 minute') > 0""")
+def refused_series(spark, sf):
+    """Minutes with gaps are not forecast; each such series has one row that says why."""
+    m = C.minute_ohlcv(A.ticks(spark, sf, dense=True))
+    f = FC.ar_walk_forward(m, ["symbol", "source"], "bucket", "close", TS("2024-01-01 01:30:00"), TS("2024-01-01 05:10:00"), step=60)
+    return f.filter("execution_time is null").select("symbol", "source", "model", "error")
 
 
 @query("FCT2_intraday_arima")
 def intraday_arima(spark, sf):
     """Minute walk-forward; the position follows from the clock, so a long symbol splits into chunks."""
     f = FC.walk_forward(gap_free_minutes(spark, sf), ["symbol", "source"], "bucket", "close", [FC.PRICE_ARIMA, FC.LOG_RETURN_ARIMA],
-                        TS("2024-01-01 01:30:00"), TS("2030-01-01 00:00:00"), step=60)
+                        TS("2024-01-01 01:30:00"), TS("2024-01-01 05:10:00"), step=60)
     return FC.decide(f)
 
 
-def newest(spark, sf, n=2000):
-    """Newest rows of each series, the load limit of the forecast reads."""
-    return newest_per_key(A.bars_daily(spark, sf), ["symbol"], n, F.col("trade_date"))
+@query("FCT2_arima_rows", MINUTE_AR + f""", m AS (SELECT unnest(['ARIMA', 'LOG_RETURN_ARIMA']) AS model)
+SELECT symbol, source, m.model, ts AS execution_time, step, {rs('ref', 'reference_price', 4, 10)}, {rs('vol', 'volatility_pct', 4, 10)}, hist < 50 AS refused FROM fc, m""")
+def intraday_arima_rows(spark, sf):
+    """The rows of the ARIMA runs without the fitted prices."""
+    f = intraday_arima(spark, sf)
+    return f.select("symbol", "source", "model", "execution_time", "step", dec("reference_price", 4), dec("volatility_pct", 4), F.col("error").isNotNull().alias("refused"))
+
+
+KEY, DAILY = ["symbol"], ("trade_date", "close")
+RANDOM_WALK, DRIFT = {FC.PRICE_ARIMA: (0, 1, 0)}, {FC.LOG_RETURN_ARIMA: (0, 0, 0)}
+# Orders whose forecast is a closed form: (0, 1, 0) on prices repeats the last one, (0, 0, 0) on log returns adds their mean.
+ENDS = f"""WITH {A.SQL_BARS}, c AS (SELECT symbol, trade_date, CAST(close AS DOUBLE) AS v, CAST(close AS DOUBLE) - lag(CAST(close AS DOUBLE)) OVER ({W}) AS d,
+  ln(CAST(close AS DOUBLE) / lag(CAST(close AS DOUBLE)) OVER ({W})) AS r FROM bars),
+e AS (SELECT symbol, arg_max(v, trade_date) AS last, max(trade_date) AS last_ts, sqrt(avg(d * d)) AS sd, avg(r) AS mu, stddev_pop(r) AS sr FROM c GROUP BY 1),
+h AS (SELECT e.*, x.h FROM e, (SELECT unnest(range(1, 11)) AS h) x)"""
+POINTS = ["symbol", "model", "step", "ts", "last_ts", "error"]
+
+
+def points(df, digits=3):
+    return df.select(*POINTS, *[dec(c, digits) for c in ("yhat", "yhat_lower", "yhat_upper", "last_value")])
+
+
+def _point_sql(model, mean, half):
+    low, high = (f"last - {half}", f"last + {half}") if model == "ARIMA" else (f"last * exp({mean} - {half})", f"last * exp({mean} + {half})")
+    yhat = "last" if model == "ARIMA" else f"last * exp({mean})"
+    return f"""SELECT symbol, '{model}' AS model, CAST(h AS BIGINT) AS step, last_ts + CAST(h AS INTEGER) * INTERVAL 1 DAY AS ts, last_ts, CAST(NULL AS VARCHAR) AS error,
+ {rs(yhat, 'yhat', 3, 10)}, {rs(low, 'yhat_lower', 3, 10)}, {rs(high, 'yhat_upper', 3, 10)}, {rs('last', 'last_value', 3, 10)} FROM h"""
+
+
+WALK_SQL, DRIFT_SQL = _point_sql("ARIMA", "0", "1.959963984540054 * sd * sqrt(h)"), _point_sql("LOG_RETURN_ARIMA", "h * mu", "1.959963984540054 * h * sr")
+
+
+def ends(spark, sf, models, orders=None):
+    return FC.forecast_ends(A.bars_daily(spark, sf), KEY, *DAILY, models, 10, DAY_S, orders)
 
 
 @query("FCT3_price_arima")
 def price_arima(spark, sf):
-    return FC.forecast_ends(newest(spark, sf), ["symbol"], "trade_date", "close", [FC.PRICE_ARIMA], 10, DAY_S)
+    return ends(spark, sf, [FC.PRICE_ARIMA])
+
+
+@query("FCT3_random_walk", f"{ENDS} {WALK_SQL}")
+def random_walk(spark, sf):
+    return points(ends(spark, sf, [FC.PRICE_ARIMA], RANDOM_WALK))
 
 
 @query("FCT4_order_choice")
 def order_choice(spark, sf):
-    return FC.best_order(FC.order_scores(newest(spark, sf), ["symbol"], "trade_date", "close"), ["symbol"])
+    return FC.best_order(FC.order_scores(A.bars_daily(spark, sf), KEY, *DAILY), KEY)
+
+
+@query("FCT4_closed_form_scores", f"""WITH {A.SQL_BARS}, c AS (SELECT symbol, CAST(close AS DOUBLE) AS v, CAST(close AS DOUBLE) - lag(CAST(close AS DOUBLE)) OVER ({W}) AS d FROM bars),
+a AS (SELECT symbol, count(v) * (ln(2 * pi() * var_pop(v)) + 1) + 4 AS level, count(d) * (ln(2 * pi() * avg(d * d)) + 1) + 2 AS diff FROM c GROUP BY 1)
+SELECT symbol, 0::BIGINT AS d, {rs('level', 'aic', 3, 10)} FROM a UNION ALL SELECT symbol, 1::BIGINT, {rs('diff', 'aic', 3, 10)} FROM a""")
+def closed_form_scores(spark, sf):
+    """AIC of a constant level and of a random walk, as the order search scores them."""
+    scores = FC.order_scores(A.bars_daily(spark, sf), KEY, *DAILY).filter("p = 0 and q = 0")
+    return scores.select("symbol", F.col("d").cast("long").alias("d"), dec("aic", 3))
 
 
 @query("FCT5_log_return_arima")
 def log_return_arima(spark, sf):
-    return FC.forecast_ends(newest(spark, sf), ["symbol"], "trade_date", "close", [FC.LOG_RETURN_ARIMA], 10, DAY_S)
+    return ends(spark, sf, [FC.LOG_RETURN_ARIMA])
+
+
+@query("FCT5_drift", f"{ENDS} {DRIFT_SQL}")
+def drift(spark, sf):
+    return points(ends(spark, sf, [FC.LOG_RETURN_ARIMA], DRIFT))
+
+
+def holdout_errors(h):
+    return h.groupBy("symbol").agg(F.max("test_size").alias("test_size"), *M.error_measures(), F.max("error").alias("error"))
 
 
 def _register_holdout(name, model):
     @query(name)
     def run(spark, sf):
         """Hold-out errors per symbol."""
-        h = FC.holdout(newest(spark, sf), ["symbol"], "trade_date", "close", model)
-        return h.groupBy("symbol").agg(F.max("test_size").alias("test_size"), *M.error_measures())
+        return holdout_errors(FC.holdout(A.bars_daily(spark, sf), KEY, *DAILY, model))
 
 
 _register_holdout("FCT6_holdout_price", FC.PRICE_ARIMA)
 _register_holdout("FCT6_holdout_log_return", FC.LOG_RETURN_ARIMA)
 
 
-@query("FCT6_holdout_split", f"""WITH {A.SQL_BARS}, n AS (SELECT symbol, trade_date, CAST(close AS DOUBLE) AS close, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS back FROM bars
- QUALIFY back <= 2000), s AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM n)
+def _register_closed_holdout(name, model, order, share, yhat):
+    measures = [("mae", "avg(abs(v - y))"), ("rmse", "sqrt(avg(pow(v - y, 2)))"), ("mae_pct", "avg(abs((y - v) / v * 100))"), ("rmse_pct", "sqrt(avg(pow((y - v) / v * 100, 2)))")]
+    sql = f"""WITH {A.SQL_BARS}, c AS (SELECT symbol, trade_date, CAST(close AS DOUBLE) AS v, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS back FROM bars),
+s AS (SELECT *, {share} AS size FROM c), r AS (SELECT *, ln(v / lag(v) OVER ({W})) AS r FROM s), tr AS (SELECT symbol, arg_max(v, trade_date) AS last, avg(r) AS mu FROM r WHERE back > size GROUP BY 1),
+f AS (SELECT r.symbol, v, size, {yhat} AS y FROM r JOIN tr USING (symbol) WHERE back <= size)
+SELECT symbol, CAST(max(size) AS BIGINT) AS test_size, {', '.join(rs(e, n, 3, 10) for n, e in measures)}, CAST(NULL AS VARCHAR) AS error FROM f GROUP BY symbol"""
+
+    @query(name, sql)
+    def run(spark, sf):
+        e = holdout_errors(FC.holdout(A.bars_daily(spark, sf), KEY, *DAILY, model, order))
+        return e.select("symbol", "test_size", *[dec(c, 3) for c in ("mae", "rmse", "mae_pct", "rmse_pct")], "error")
+
+
+_register_closed_holdout("FCT6_holdout_random_walk", FC.PRICE_ARIMA, (0, 1, 0), "greatest(10, CAST(floor(n * 0.1) AS BIGINT))", "last")
+_register_closed_holdout("FCT6_holdout_drift", FC.LOG_RETURN_ARIMA, (0, 0, 0), "least(30, greatest(10, CAST(floor(n * 0.1) AS BIGINT)))", "last * exp(mu * (size - back + 1))")
+
+
+@query("FCT6_holdout_split", f"""WITH {A.SQL_BARS}, s AS (SELECT symbol, trade_date, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS back, count(*) OVER (PARTITION BY symbol) AS n FROM bars)
 SELECT symbol, trade_date, greatest(10, CAST(floor(n * 0.1) AS BIGINT)) AS test_size, back <= greatest(10, floor(n * 0.1)) AS is_test FROM s""")
 def holdout_split(spark, sf):
-    return FC.split_holdout(newest(spark, sf), ["symbol"], "trade_date").select("symbol", "trade_date", "test_size", "is_test")
+    return FC.split_holdout(A.bars_daily(spark, sf), KEY, "trade_date").select("symbol", "trade_date", "test_size", "is_test")
 
 
 @query("FCT7_model_comparison")
 def model_comparison(spark, sf):
-    """Both models on the same series, nested per run."""
-    p = FC.forecast_ends(newest(spark, sf), ["symbol"], "trade_date", "close", [FC.PRICE_ARIMA, FC.LOG_RETURN_ARIMA], 10, DAY_S)
-    models = p.groupBy("symbol", "last_ts", "last_value", "model").agg(
-        F.sort_array(F.collect_list(F.struct("ts", "yhat", "yhat_lower", "yhat_upper"))).alias("forecast"))
-    nested = models.groupBy("symbol", "last_ts", "last_value").agg(F.sort_array(F.collect_list(F.struct("model", "forecast"))).alias("models"))
+    """Both models on the same series, nested per run; a model that cannot be fitted has its error."""
+    p = ends(spark, sf, [FC.PRICE_ARIMA, FC.LOG_RETURN_ARIMA])
+    models = p.groupBy("symbol", "last_ts", "last_value", "model").agg(F.max("error").alias("error"),
+        F.sort_array(F.collect_list(F.when(F.col("error").isNull(), F.struct("ts", "yhat", "yhat_lower", "yhat_upper")))).alias("forecast"))
+    nested = models.groupBy("symbol", "last_ts", "last_value").agg(F.sort_array(F.collect_list(F.struct("model", "error", "forecast"))).alias("models"))
     return nested.withColumn("models", F.to_json("models"))
 
 
+@query("FCT7_closed_forms", f"{ENDS} {WALK_SQL} UNION ALL {DRIFT_SQL}")
+def closed_forms(spark, sf):
+    """The comparison of two models whose forecasts are closed forms, one row per point."""
+    return points(ends(spark, sf, [FC.PRICE_ARIMA, FC.LOG_RETURN_ARIMA], {**RANDOM_WALK, **DRIFT}))
+
+
 @query("UDF1_custom_forecaster", AR.replace("h.last + h.ld * list_sum(list_transform(range(1, t.step + 1), lambda j: pow(h.phi, j)))", "h.last * (1 + 0.01 * t.step)") +
-       f" SELECT symbol, trade_date AS execution_time, step, {rs('pred', 'predicted_price', 4, 10)} FROM g WHERE hist >= 50")
+       f" SELECT symbol, trade_date AS execution_time, step, {rs('pred', 'predicted_price', 4, 10)}, CAST(NULL AS VARCHAR) AS error FROM g WHERE hist >= 50")
 def custom_forecaster(spark, sf):
     """A forecaster of the user's own, plugged into the walk-forward run: one percent up per step."""
     import numpy as np
     up = {"UP": lambda history, steps: (history[:, -1:] * (1 + 0.01 * np.arange(1, steps + 1)), None, None)}
     f = FC.walk_forward(A.bars_daily(spark, sf), ["symbol"], "trade_date", "close", ["UP"], D(START), D(END), forecasters=up)
-    return f.filter(F.col("error").isNull()).select("symbol", "execution_time", "step", dec("predicted_price", 4))
+    return f.select("symbol", "execution_time", "step", dec("predicted_price", 4), "error")
 
 
 # -- joins over forecasts ------------------------------------------------------------------------
 
-@query("JON5_aligned_signals", AR + f""", s AS (SELECT symbol, trade_date, {_decide(0.5)} AS signal FROM fc),
-x AS (SELECT * FROM s WHERE day(trade_date) <> 10 UNION ALL SELECT symbol, trade_date, signal FROM s WHERE day(trade_date) = 20),
-n AS (SELECT symbol, trade_date, count(*) AS n, min(signal) AS signal FROM x GROUP BY 1, 2)
-SELECT b.symbol, b.trade_date, n.signal, CASE WHEN n.n IS NULL THEN 'missing prediction signal' WHEN n.n > 1 THEN 'duplicate prediction signal' END AS error
+@query("JON5_aligned_signals", AR + f""", s AS (SELECT symbol, trade_date, {_decide(0.5)} AS signal, error FROM fc),
+x AS (SELECT * FROM s WHERE day(trade_date) <> 10 UNION ALL SELECT symbol, trade_date, signal, error FROM s WHERE day(trade_date) = 20),
+n AS (SELECT symbol, trade_date, count(*) AS n, min(signal) AS signal, min(error) AS e FROM x GROUP BY 1, 2)
+SELECT b.symbol, b.trade_date, n.signal, CASE WHEN n.n IS NULL THEN 'missing prediction signal' WHEN n.n > 1 THEN 'duplicate prediction signal' ELSE n.e END AS error
 FROM bars b LEFT JOIN n USING (symbol, trade_date) WHERE b.trade_date >= DATE '{START}'""")
 def aligned_signals(spark, sf):
     """Signals of the 10th are missing and those of the 20th come twice."""
-    d = FC.decide(ar_forecasts(spark, sf).filter(F.col("error").isNull()))
+    d = FC.decide(ar_forecasts(spark, sf))
     day = F.dayofmonth("execution_time")
     faulty = d.filter(day != 10).unionByName(d.filter(day == 20))
     bars = P.in_range(A.bars_daily(spark, sf), "trade_date", D(START), D(END)).select("symbol", "trade_date")
@@ -186,12 +280,12 @@ def aligned_signals(spark, sf):
 
 def with_actual(spark, sf):
     actual = A.bars_daily(spark, sf).select("symbol", F.col("trade_date").alias("execution_time"), F.col("close").cast("double").alias("actual_price"))
-    return FC.decide(ar_forecasts(spark, sf).filter(F.col("error").isNull())).join(actual, ["symbol", "execution_time"])
+    return FC.decide(ar_forecasts(spark, sf)).join(actual, ["symbol", "execution_time"])
 
 
-@query("JON6_predicted_vs_actual", AR + f" SELECT symbol, trade_date AS execution_time, {rs('pred', 'predicted_price', 3, 10)}, {rs('actual', 'actual_price', 3, 10)} FROM fc")
+@query("JON6_predicted_vs_actual", AR + f" SELECT symbol, trade_date AS execution_time, {rs('pred', 'predicted_price', 3, 10)}, {rs('actual', 'actual_price', 3, 10)}, error FROM fc")
 def predicted_vs_actual(spark, sf):
-    return with_actual(spark, sf).select("symbol", "execution_time", dec("predicted_price", 3), dec("actual_price", 3))
+    return with_actual(spark, sf).select("symbol", "execution_time", dec("predicted_price", 3), dec("actual_price", 3), "error")
 
 
 @query("JON7_block_history", AR + """ SELECT symbol, blk AS block, hist AS history, signal_time AS last_bar, round(CAST(ref AS DECIMAL(28,10)), 4)::DOUBLE AS reference_price FROM g WHERE step = 1""")
@@ -208,20 +302,20 @@ def block_history(spark, sf):
 
 
 @query("AGG17_signal_counts", AR + f""", s AS (SELECT symbol, {_decide(0.5)} AS signal FROM fc)
-SELECT symbol, count(*) FILTER (signal = 'BUY') AS buy_count, count(*) FILTER (signal = 'HOLD') AS hold_count, count(*) FILTER (signal = 'SELL') AS sell_count FROM s GROUP BY 1""")
+SELECT symbol, count(*) FILTER (signal = 'BUY') AS buy_count, count(*) FILTER (signal = 'HOLD') AS hold_count, count(*) FILTER (signal = 'SELL') AS sell_count, count(*) FILTER (signal IS NULL) AS failed_count FROM s GROUP BY 1""")
 def signal_counts(spark, sf):
-    return M.signal_counts(FC.decide(ar_forecasts(spark, sf).filter(F.col("error").isNull())), "symbol")
+    return M.signal_counts(FC.decide(ar_forecasts(spark, sf)), "symbol")
 
 
 ERRORS = """avg(abs(pred - actual)) AS mae, sqrt(avg(pow(pred - actual, 2))) AS rmse,
  avg(abs((pred - actual) / actual * 100)) AS mae_pct, sqrt(avg(pow((pred - actual) / actual * 100, 2))) AS rmse_pct"""
 
 
-@query("AGG18_forecast_errors", AR + f""", m AS (SELECT symbol, {ERRORS} FROM fc GROUP BY symbol)
-SELECT symbol, {rs('mae', 'mae', 4, 10)}, {rs('rmse', 'rmse', 4, 10)}, {rs('mae_pct', 'mae_pct', 4, 10)}, {rs('rmse_pct', 'rmse_pct', 4, 10)} FROM m""")
+@query("AGG18_forecast_errors", AR + f""", m AS (SELECT symbol, {ERRORS}, count(error) AS failed_count FROM fc GROUP BY symbol)
+SELECT symbol, {rs('mae', 'mae', 4, 10)}, {rs('rmse', 'rmse', 4, 10)}, {rs('mae_pct', 'mae_pct', 4, 10)}, {rs('rmse_pct', 'rmse_pct', 4, 10)}, failed_count FROM m""")
 def forecast_errors(spark, sf):
-    m = with_actual(spark, sf).groupBy("symbol").agg(*M.error_measures())
-    return m.select("symbol", *[dec(c, 4) for c in ("mae", "rmse", "mae_pct", "rmse_pct")])
+    m = with_actual(spark, sf).groupBy("symbol").agg(*M.error_measures(), F.count("error").alias("failed_count"))
+    return m.select("symbol", *[dec(c, 4) for c in ("mae", "rmse", "mae_pct", "rmse_pct")], "failed_count")
 
 
 # -- reports -------------------------------------------------------------------------------------

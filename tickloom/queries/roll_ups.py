@@ -160,14 +160,22 @@ def known_symbols(spark, sf):
 
 
 @query("AGG12_top_by_turnover", f"""WITH {A.SQL_BARS}, traded AS (
- SELECT DISTINCT 'S' || CAST(s_suppkey % 10 AS VARCHAR) AS symbol FROM supplier WHERE s_acctbal > 0 AND s_nationkey < 12)
-SELECT symbol, CAST(sum(CAST(close AS DECIMAL(18,4)) * CAST(volume AS DECIMAL(18,4))) AS DOUBLE) AS quote_volume
-FROM bars WHERE trade_date >= DATE '2001-11-04' - 30 AND symbol IN (SELECT symbol FROM traded)
+ SELECT DISTINCT 'S' || CAST(s_suppkey % 10 AS VARCHAR) AS symbol FROM supplier WHERE s_acctbal > 0 AND s_nationkey < 12),
+coins AS (SELECT symbol, trade_date, CASE WHEN symbol = 'S3' THEN CAST(0.00002341 AS DECIMAL(24,8)) ELSE CAST(close AS DECIMAL(24,8)) END AS close,
+ CASE WHEN symbol = 'S3' THEN CAST(900000000000 AS DECIMAL(32,8)) ELSE CAST(volume AS DECIMAL(32,8)) END AS volume FROM bars)
+SELECT symbol, CAST(sum(CAST(CAST(close AS DECIMAL(18,8)) * CAST(volume AS DECIMAL(20,8)) AS DECIMAL(38,6))) AS DOUBLE) AS quote_volume
+FROM coins WHERE trade_date >= DATE '2001-11-04' - 30 AND symbol IN (SELECT symbol FROM traded UNION ALL SELECT 'S3')
 GROUP BY symbol ORDER BY quote_volume DESC, symbol LIMIT 5""")
 def top_by_turnover(spark, sf):
+    """One of the symbols is a cheap coin with a very large volume."""
     traded = (A.table(spark, sf, "supplier").filter((F.col("s_acctbal") > 0) & (F.col("s_nationkey") < 12))
               .select(F.concat(F.lit("S"), (F.col("s_suppkey") % 10).cast("string")).alias("symbol")))
-    return V.top_by_turnover(A.bars_daily(spark, sf), traded, D("2001-11-04"), 5)
+    traded = traded.unionByName(spark.range(1).select(F.lit("S3").alias("symbol")))
+    cheap = F.col("symbol") == "S3"
+    bars = A.bars_daily(spark, sf).withColumns({
+        "close": F.when(cheap, F.lit("0.00002341").cast("decimal(24,8)")).otherwise(F.col("close")),
+        "volume": F.when(cheap, F.lit("900000000000").cast("decimal(32,8)")).otherwise(F.col("volume"))})
+    return V.top_by_turnover(bars, traded, D("2001-11-04"), 5)
 
 
 @query("AGG13_top_by_quote_volume", """SELECT symbol, quote_volume FROM (

@@ -44,7 +44,7 @@ def parse_kline_page(pages: DataFrame, payload: str, now: Column, start: Column,
     return typed.filter((F.col("close_time") < now) & (F.col("bucket") >= start) & (F.col("bucket") < end))
 
 
-def load_ohlcv(candles: DataFrame, ts: str, limit: int = 2000, source: str | None = None) -> DataFrame:
+def load_ohlcv(candles: DataFrame, ts: str, limit: int, source: str | None = None) -> DataFrame:
     """Newest ``limit`` rows per symbol and source, numbers coerced to double (bad text to NULL)."""
     rows = candles if source is None else candles.filter(F.col("source") == source)
     num = lambda x: F.col(x).try_cast("double").alias(x)
