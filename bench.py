@@ -20,8 +20,9 @@ HEADLINE = [
     "WIN1_sma", "WIN10_macd_signal", "WIN14_ma_crossover", "WIN15_rsi_strategy", "WIN18_interpolated", "WIN28_run_summary",
     "FCT1_walk_forward_closed_form", "FCT2_intraday_closed_form", "FCT1_walk_forward_arima", "RPT1_performance_grid",
     "STR1_minute_candles", "STR4_dedupe_counts", "STR7_stored_ticks", "VAL8_missing_minutes", "VAL11_lag_alerts",
+    "MNT1_retention", "MNT2_compaction", "MNT3_purge_source", "VAL9_filled_minutes", "RPT5_daily_job", "DUP1_lowest_id", "FCT4_order_choice",
 ]
-HEAVY = {"FCT1_walk_forward_arima"}  # timed on the first run
+HEAVY = {"FCT1_walk_forward_arima", "FCT4_order_choice"}  # timed on the first run
 
 
 def main():
