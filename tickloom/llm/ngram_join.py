@@ -5,10 +5,10 @@ Documents are sets of hashed 4-word shingles; equal sets are one node (copies ne
 
 1. Routing: a set's shingles are put in one order for all sets (frequent ones last, then by hash). Linked sets share one of
    the first n - ceil(0.85 n) + 1 shingles of each, so sets meet in the groups of these shingles.
-2. First links: in each group every set is paired with the group's first and with its neighbour by size. These pairs are
-   bounded by count vectors, verified, and joined to components. A group of near copies is mostly one component now, and
-   no group emits all its pairs.
-3. Count-vector R-tree: shingles are hashed into ``GROUPS`` groups, the numbers per group are a set's point. Groups of step 1 whose
+2. First links: in each group every set is paired with the group's first. These pairs are bounded by count vectors, verified,
+   and joined to components. A group of near copies is mostly one component now, and no group emits all its pairs.
+3. Count-vector R-tree: shingles are hashed into ``GROUPS`` groups, the numbers per group are a set's point (the tree sums them
+   to ``COARSE`` coordinates; pairs that it finds are bounded again by all). Groups of step 1 whose
    members lie in several components are searched: points sorted by size are packed into leaves with bounding
    boxes; sum(min(a, b)) over the coordinates bounds the intersection of two points, and with the boxes' upper corners that of
    two leaves. Pairs of different components that pass the bound are verified on their shingles and joined.
@@ -30,13 +30,13 @@ from tickloom.llm.common import LOWER, bytes_of, map_batches, mix, stored, table
 from tickloom.llm.components import components
 
 WORDS, PERCENT = 4, 85
-GROUPS, LEAF = 64, 64
+GROUPS, COARSE, LEAF = 256, 64, 64
 #: Shingles in this many sets of an Arrow batch count as frequent; at most FREQUENT of them (8 bytes each) are broadcast.
 OFTEN, FREQUENT = 8, 500_000
 #: Document ids that are broadcast at most (8 bytes each); beyond, the texts meet them by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Rows of shingle groups that one task searches at a time.
-BIN_ROWS = 400_000
+BIN_ROWS = 100_000
 _factors = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -135,14 +135,12 @@ def near_in_size(a: str, b: str, percent: int):
 
 
 def first_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """a, b: each set of a group with the group's first set and with the next smaller one."""
-    by_size = Window.partitionBy("token").orderBy("n", "set")
-    rows = groups.select("set", "n", F.first("set").over(by_size).alias("s1"), F.first("n").over(by_size).alias("n1"),
-                         F.lag("set").over(by_size).alias("s2"), F.lag("n").over(by_size).alias("n2"))
-    pairs = rows.select("set", "n", F.explode(F.array(F.struct(F.col("s1").alias("s"), F.col("n1").alias("m")),
-                                                      F.struct(F.col("s2").alias("s"), F.col("n2").alias("m")))).alias("o"))
-    pairs = pairs.select("set", "n", "o.s", "o.m").filter(F.col("s").isNotNull() & (F.col("s") != F.col("set")) & near_in_size("n", "m", percent))
-    return pairs.select(F.least("set", "s").alias("a"), F.greatest("set", "s").alias("b")).distinct()
+    """a, b: each set of a group with the group's first by name, which is mostly the same set in all groups of near copies."""
+    first = groups.groupBy("token").agg(F.min("set").alias("s"))
+    size = groups.select(F.col("token"), F.col("set").alias("s"), F.col("n").alias("m"))
+    rows = groups.join(first.join(size, ["token", "s"]), "token")
+    pairs = rows.filter((F.col("s") != F.col("set")) & near_in_size("n", "m", percent))
+    return pairs.select(F.col("s").alias("a"), F.col("set").alias("b")).distinct()
 
 
 def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -172,7 +170,7 @@ def shingle_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 names.append(name)
                 raw.append(s.tobytes())
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(raw, pa.binary())], names=["set", "shingles"])
-    return map_batches(rows, run, "set long, shingles binary").dropDuplicates(["set"])
+    return map_batches(rows, run, "set long, shingles binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -194,11 +192,12 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -
 
 
 class RTree:
-    """Points packed into leaves by size; leaves and groups of leaves have the upper corners of their boxes."""
+    """Points packed into leaves by size; leaves have the upper corners of their boxes."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int, leaf: int = LEAF):
-        self.order = np.lexsort((*points.T[:2], sizes))
-        self.points, self.sizes, self.percent = points[self.order].astype(np.int32), sizes[self.order], percent
+        coarse = points.reshape(len(points), COARSE, -1).sum(axis=2, dtype=np.int32)
+        self.order = np.lexsort((*coarse.T[:2], sizes))
+        self.whole, self.points, self.sizes, self.percent = points[self.order], coarse[self.order], sizes[self.order], percent
         self.starts = np.arange(0, len(sizes), leaf)
         self.stops = np.append(self.starts[1:], len(sizes))
         self.corner = np.maximum.reduceat(self.points, self.starts)
@@ -223,7 +222,9 @@ class RTree:
                 ok = self._may_link(overlap, self.sizes[a][:, None], self.sizes[b][None, :]) & (part[a][:, None] != part[b][None, :])
                 x, y = np.nonzero(ok)
                 x, y = x + self.starts[i], y + self.starts[j]
-                keep = x < y
+                x, y = x[x < y], y[x < y]
+                overlap = np.minimum(self.whole[x], self.whole[y]).sum(axis=1, dtype=np.int64)
+                keep = self._may_link(overlap, self.sizes[x], self.sizes[y])
                 if keep.any():
                     yield self.order[x[keep]], self.order[y[keep]]
 
