@@ -33,8 +33,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Largest vocabulary file that is sent to the executors.
 MAX_BYTES = 64 << 20
-MEMO, MEMO_CHARS = 300_000, 48
-_stretch = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+MEMO, MEMO_CHARS = 150_000, 48
+INFINITY = float("inf")
 
 
 @dataclass
@@ -45,6 +45,8 @@ class Vocabulary:
     byte_score: float
     longest: int
     by_words: bool
+    suffixes: dict  # pieces by their characters from the last to the first; "" holds (ids, score)
+    stretch: re.Pattern  # what lies between two boundaries that no piece crosses
 
     @classmethod
     def load(cls, model: bytes) -> Vocabulary:
@@ -67,44 +69,65 @@ class Vocabulary:
     @classmethod
     def of(cls, pieces: dict[str, tuple[int, float]], byte_ids: list[int], texts: list[bytes]) -> Vocabulary:
         lowest = min((s for _, s in pieces.values() if s > -1e8), default=0.0)
-        return cls(pieces, byte_ids, texts, lowest - 10.0, max(map(len, pieces), default=1), not any(MARK in p.lstrip(MARK) for p in pieces))
+        suffixes: dict = {}
+        for piece, (i, score) in pieces.items():
+            node = suffixes
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = ((i,), score)
+        by_words = not any(MARK in p.lstrip(MARK) for p in pieces)
+        joined = set("".join(p for p in pieces if len(p) > 1))
+        alone = "".join(re.escape(chr(c)) for c in range(2, 128) if chr(c) not in joined)  # characters that no longer piece holds
+        pattern = f"{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]" if alone else f"{MARK}*[^{MARK}]+|{MARK}+"
+        return cls(pieces, byte_ids, texts, lowest - 10.0, max(map(len, pieces), default=1), by_words, suffixes, re.compile(pattern if by_words else "(?s:.+)"))
 
 
 class StreamingViterbi:
-    """Feed characters, take committed ids. ``None`` stands for a literal word mark."""
+    """Feed characters, take committed ids."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.at = 0
-        self.tail: list[str] = []  # the last characters, as many as the longest piece has
+        self.tail: list[str | None] = []  # the last characters, at least as many as the longest piece has
         # boundary: [score, boundary before, ids of the last piece, number of nodes behind it, exclusive or of these]
         self.nodes: dict[int, list] = {0: [0.0, -1, (), 0, 0]}
         self.root = 0
 
-    def feed(self, char: str, literal: bool = False) -> list[int]:
-        """Ids that are certain after this character."""
-        v, nodes = self.v, self.nodes
-        self.tail.append("\0" if literal else char)
-        if len(self.tail) > v.longest:
-            del self.tail[0]
-        self.at += 1
-        window, best = "".join(self.tail), None
-        for n in range(len(window), 0, -1):
-            known = None if literal else v.pieces.get(window[-n:])
-            if known is None:
-                if n > 1 or not literal and char in v.pieces:
-                    continue
+    def feed(self, text: str, literal: bool = False) -> list[int]:
+        """Ids that are certain after these characters. ``literal`` characters stand for themselves, in no piece."""
+        v, nodes, tail, at, longest = self.v, self.nodes, self.tail, self.at, self.v.longest
+        out: list[int] = []
+        for char in text:
+            tail.append(None if literal else char)
+            at += 1
+            best, score, ids = -1, -INFINITY, ()
+            node, n = v.suffixes, 0
+            if literal or char not in v.pieces:
                 raw = char.encode("utf-8", "surrogatepass")
-                known = (tuple(v.byte_ids[b] for b in raw), v.byte_score * len(raw))
-            before = nodes.get(self.at - n)
-            if before is not None and (best is None or before[0] + known[1] > best[0]):
-                best = [before[0] + known[1], self.at - n, known[0] if isinstance(known[0], tuple) else (known[0],), 0, 0]
-        nodes[self.at] = best
-        nodes[best[1]][3] += 1
-        nodes[best[1]][4] ^= self.at
-        return self._commit(self.at - v.longest)
-
-    def _commit(self, gone: int) -> list[int]:
+                best, score, ids = at - 1, nodes[at - 1][0] + v.byte_score * len(raw), tuple(v.byte_ids[b] for b in raw)
+            for k in range(len(tail) - 1, -1, -1):  # pieces that end here, the shortest first
+                node = node.get(tail[k])
+                if node is None:
+                    break
+                n += 1
+                known = node.get("")
+                if known is not None:
+                    before = nodes.get(at - n)
+                    if before is not None and before[0] + known[1] >= score:
+                        best, score, ids = at - n, before[0] + known[1], known[0]
+            nodes[at] = [score, best, ids, 0, 0]
+            before = nodes[best]
+            before[3] += 1
+            before[4] ^= at
+            if at - longest >= self.root:
+                self.at = at
+                self._commit(at - longest, out)
+            if len(tail) > 8 * longest:
+                del tail[:-longest]
+        self.at = at
+        return out
+
+    def _commit(self, gone: int, out: list[int]) -> None:
         """Boundaries up to ``gone`` can get no more successors: drop dead ends, then commit where one path is left."""
         nodes, node = self.nodes, gone
         while node > self.root and node in nodes and nodes[node][3] == 0:
@@ -112,13 +135,11 @@ class StreamingViterbi:
             nodes[before][3] -= 1
             nodes[before][4] ^= node
             node = before
-        out: list[int] = []
         while self.root <= gone and nodes[self.root][3] == 1:
             follower = nodes[self.root][4]
             del nodes[self.root]
             out.extend(nodes[follower][2])
             self.root = follower
-        return out
 
     def finish(self) -> list[int]:
         out, node = [], self.at
@@ -129,43 +150,50 @@ class StreamingViterbi:
         return [i for ids in reversed(out) for i in ids]
 
 
-def stretches(text: str, by_words: bool) -> Iterator[tuple[str, bool]]:
-    """(characters with spaces as word marks, whether they hold literal word marks as NUL) between sure boundaries."""
+def stretches(text: str, pattern: re.Pattern) -> Iterator[tuple[str, bool]]:
+    """(characters with spaces as word marks, whether literal word marks are escaped in them) between sure boundaries."""
     literal = MARK in text
     if literal:
         text = text.replace("\0", "\0\0").replace(MARK, "\0\1")  # NUL escapes: NUL NUL is a NUL, NUL SOH a literal mark
-    marked = MARK + text.replace(" ", MARK)
-    for part in _stretch.findall(marked) if by_words else (marked,):
+    for part in pattern.findall(MARK + text.replace(" ", MARK)):
         yield part, literal and "\0" in part
 
 
 class Encoder:
+    """Encodes texts; remembers the ids of short stretches in two generations, so that frequent ones stay."""
+
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.memo = vocabulary, {}
-
-    def _encode(self, part: str, escaped: bool) -> np.ndarray:
-        stream, out, chars = StreamingViterbi(self.v), [], iter(part)
-        for c in chars:
-            if escaped and c == "\0":
-                c, literal = (MARK, True) if next(chars) == "\1" else ("\0", False)
-                out += stream.feed(c, literal)
-            else:
-                out += stream.feed(c)
-        return np.array(out + stream.finish(), np.int32)
+        self.v, self.memo, self.older = vocabulary, {}, {}
+
+    def _encode(self, part: str, escaped: bool) -> bytes:
+        stream, out = StreamingViterbi(self.v), []
+        if not escaped:
+            out += stream.feed(part)
+        else:
+            chars = iter(part)
+            for c in chars:
+                if c == "\0":
+                    out += stream.feed(MARK, True) if next(chars) == "\1" else stream.feed("\0")
+                else:
+                    out += stream.feed(c)
+        return np.array(out + stream.finish(), np.int32).tobytes()
+
+    def _remembered(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self._encode(part, False)
+        if len(part) <= MEMO_CHARS:
+            if len(self.memo) >= MEMO:
+                self.memo, self.older = {}, self.memo
+            self.memo[part] = ids
+        return ids
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        memo, out = self.memo, []
-        for part, escaped in stretches(text, self.v.by_words):
-            ids = None if escaped else memo.get(part)
-            if ids is None:
-                ids = self._encode(part, escaped).tobytes()
-                if len(part) <= MEMO_CHARS and not escaped:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[part] = ids
-            out.append(ids)
+        out = []
+        for part, escaped in stretches(text, self.v.stretch):
+            out.append(self._encode(part, True) if escaped else self.memo.get(part) or self._remembered(part))
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
