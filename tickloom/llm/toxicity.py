@@ -1,6 +1,7 @@
 """Operator 6: toxicity from misspelled lexicon terms and their context.
 
-1. Lexicon: the words of labelled training texts are counted by label (one Spark aggregation over all of them);
+1. Lexicon: the words of labelled training texts are counted by label (one Spark aggregation over all of them, in which
+   near copies of a text share one vote);
    words that mark toxic texts far more often than chance (log-likelihood ratio) form the lexicon, at most ``TERMS``.
    Beginnings of 5 to 7 letters compete with whole words; those that win are stems, which match all words they begin.
 2. A trie of the lexicon is walked together with the Levenshtein automaton of a word: the automaton's state is the
@@ -20,19 +21,22 @@ score is the share of toxic training rows (0 without any); repeated rows get equ
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tickloom.llm.common import map_batches, table, with_columns
+from tickloom.llm.common import map_batches, mix, stored, table, with_columns
 from tickloom.llm.language_id import held_out
+from tickloom.llm.ngram_join import shingle_sets
 
 TERMS, SAMPLE, SURE, THRESHOLD = 5000, 20_000, 25.0, 0.3
 WINDOW = 4
 STEMS = (5, 6, 7)
+FAR = 99
+#: Labels that are broadcast at most, about 100 bytes each in a hash table.
+BROADCAST_LABELS = 1_000_000
 CACHE = 200_000  # words whose matches a worker remembers at least until then; beyond, the memory is emptied
 _word = re.compile(r"[^\W_]+")
 QUOTES = "\"'“”„‘’«»`"
@@ -102,10 +106,18 @@ class Lexicon:
                     if row[n] <= allowed(depth) and (best is None or (row[n], -self.weights[child]) < (best[1], -best[0])):
                         best = (self.weights[child], row[n])
                     continue
-                new = [row[0] + 1]
-                for i in range(n):
-                    new.append(min(row[i] + (word[i] != c), row[i + 1] + 1, new[i] + 1))
-                if min(new) <= child["most"]:
+                most = child["most"]  # only the distances in a band around the diagonal can stay that small
+                first, last = max(0, depth + 1 - most), min(n, depth + 1 + most)
+                if first > n:
+                    continue
+                new, least = [FAR] * (n + 1), FAR
+                for i in range(first, last + 1):
+                    value = row[i] + 1
+                    if i:
+                        value = min(value, row[i - 1] + (word[i - 1] != c), new[i - 1] + 1)
+                    new[i] = value
+                    least = min(least, value)
+                if least <= most:
                     stack.append((child, new, depth + 1))
         return best
 
@@ -198,31 +210,55 @@ def regress(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50)
     return beta
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """``rows`` marked for broadcast if they are few (a label is 24 bytes); the texts meet more of them by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_LABELS else rows
+
+
+def weighted(train: DataFrame) -> DataFrame:
+    """``train`` and a weight: near copies of one label share the vote of one text. Texts with the same two smallest hashes
+    of word triples (under two hash functions) count as near copies."""
+    def run(batch):
+        sets = shingle_sets(batch.column(2), 3)
+        keys = [np.array([mix(s ^ salt).min() if len(s) else 0 for s in sets], np.uint64).view(np.int64) for salt in (np.uint64(1), np.uint64(2))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(k) for k in keys)], names=["doc_id", "toxic", "k1", "k2"])
+    rows = train.select("doc_id", "toxic", "text")
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())])
+    keyed = stored(map_batches(rows, run, schema), "toxicity-keys")
+    sizes = keyed.groupBy("k1", "k2", "toxic").agg(F.count(F.lit(1)).alias("size"))
+    weights = keyed.join(sizes, ["k1", "k2", "toxic"]).groupBy("doc_id").agg(F.avg(1 / F.col("size")).alias("weight"))
+    return train.select("doc_id", "text", "toxic").join(small(stored(weights, "toxicity-weights")), "doc_id")
+
+
 def count_words(train: DataFrame) -> DataFrame:
-    """term, t, c: training texts of label 1 and 0 that hold the word."""
+    """term, t, c: weights of the training texts of label 1 and 0 that hold the word."""
     def run(batch):
-        toxic, clean = Counter(), Counter()
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        toxic, clean = {}, {}
+        for text, label, weight in zip(*(batch.column(k).to_pylist() for k in range(3))):
             words = set(_word.findall((text or "").lower()))
             words |= {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
-            (toxic if label else clean).update(words)
+            side = toxic if label else clean
+            for w in words:
+                side[w] = side.get(w, 0.0) + weight
         terms = list(toxic.keys() | clean.keys())
-        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[w] for w in terms], pa.int64()),
-                                           pa.array([clean[w] for w in terms], pa.int64())], names=["term", "t", "c"])
-    return map_batches(train.select("text", "toxic"), run, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic.get(w, 0.0) for w in terms], pa.float64()),
+                                           pa.array([clean.get(w, 0.0) for w in terms], pa.float64())], names=["term", "t", "c"])
+    counted = map_batches(train.select("text", "toxic", "weight"), run, "term string, t double, c double")
+    return counted.groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
 
 def fit(train: DataFrame, *, terms: int = TERMS, sample: int = SAMPLE) -> Model:
     """Learn from columns doc_id, text, toxic (0 or 1)."""
-    totals = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
+    train = weighted(train)
+    totals = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
+    n1, n0 = totals.get(1, 0.0), totals.get(0, 0.0)
     if not n1 or not n0:
         bias = 30.0 if n1 else -30.0
         return Model({}, np.append(np.zeros(FEATURES), bias))
-    t, c, total = F.col("t").cast("double"), F.col("c").cast("double"), float(n1 + n0)
+    t, c, total = F.col("t"), F.col("c"), n1 + n0
 
     def part(observed, expected):
-        return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(F.lit(0.0))
+        return F.when(observed > 1e-6, observed * F.log(observed / expected)).otherwise(F.lit(0.0))
 
     df = t + c
     ratio = 2 * (part(t, df * n1 / total) + part(c, df * n0 / total)
@@ -233,14 +269,15 @@ def fit(train: DataFrame, *, terms: int = TERMS, sample: int = SAMPLE) -> Model:
     weights = {r["term"]: float(np.log(r["p"] / max(1e-3, 1 - r["p"])) + np.log(n0 / n1)) for r in best}
 
     shared = train.sparkSession.sparkContext.broadcast(Model(weights, np.zeros(FEATURES + 1)))
-    picked = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = train.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id").distinct()
+    picked = train.join(small(stored(chosen, "toxicity-sample")), "doc_id", "left_semi")
 
     def run(batch):
         lexicon = shared.value.lexicon
         rows = [features(x, lexicon).tolist() for x in batch.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
-    rows = map_batches(picked.select("text", F.col("toxic").cast("int").alias("toxic")).repartition(train.sparkSession.sparkContext.defaultParallelism),
+    rows = map_batches(picked.select("text", F.col("toxic").cast("int").alias("toxic")),
                        run, "x array<double>, toxic int").collect()
     x = np.array([[*r["x"], 1.0] for r in rows])
     return Model(weights, regress(x, np.array([float(r["toxic"]) for r in rows])))
@@ -261,7 +298,7 @@ def rate(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "_
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic of the labelled documents outside the held-out fold (crc32 of the id mod 4 is 2)."""
     known = labels.filter(F.col("toxic").isNotNull() & ~held_out(folds=4, fold=2)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    return docs.select("doc_id", "text").join(small(known), "doc_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
