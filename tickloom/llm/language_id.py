@@ -7,7 +7,7 @@ spherical k-means over a bounded sample: the ``sample`` training rows of the lan
 A text takes the language of its nearest centroid by cosine, ties go to the language first in the alphabet.
 
 Rejection: a text without letters or of another kind than every centroid is rejected. Texts of ``LONG`` n-grams or
-more are rejected below half of the lowest per-cent cosine seen in the language's own sample, shorter ones (whose
+more are rejected below a quarter of the lowest per-cent cosine seen in the language's own sample, shorter ones (whose
 cosines are low by nature) only if they share next to nothing with any centroid.
 
 Only text and language of training rows are learned from; a prediction sees the text alone.
@@ -143,7 +143,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         c = kmeans(x, clusters)
         best = (x @ c.T).max(axis=1)
         long = best[grams >= LONG]
-        floor = float(np.quantile(long, 0.01)) / 2 if len(long) else 0.01
+        floor = float(np.quantile(long, 0.01)) / 4 if len(long) else 0.01
         return pa.table({"lang": [group.column("lang")[0].as_py()] * len(c), "c": [r.tobytes() for r in c], "floor": [floor] * len(c)})
 
     rows = picked.groupBy("lang").applyInArrow(centroids, "lang string, c binary, floor double").limit(MAX_LANGUAGES * clusters + 1).collect()
