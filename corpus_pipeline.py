@@ -41,7 +41,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
-    coded = viterbi.decode(viterbi.encode(docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))))
+    coded = viterbi.round_trip(docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")))
     return coded.select("doc_id", "lang", "source", F.size("_llm_ids").cast("long").alias("n_ids"), F.col("_llm_ids").alias("ids"),
                         (F.col("_llm_decoded") == F.col("text")).alias("lossless"))
 

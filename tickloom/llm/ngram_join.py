@@ -36,7 +36,7 @@ OFTEN, FREQUENT = 8, 500_000
 #: Document ids that are broadcast at most (8 bytes each); beyond, the texts meet them by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Rows of shingle groups that one task searches at a time.
-BIN_ROWS = 100_000
+BIN_ROWS = 50_000
 _factors = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 

@@ -249,9 +249,20 @@ def decode(docs: DataFrame, vocabulary: str = VOCABULARY, ids_col: str = "_llm_i
     return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
+def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text", ids_col: str = "_llm_ids", decoded_col: str = "_llm_decoded") -> DataFrame:
+    """All columns of ``docs``, the ids of the text and the text decoded from them, in one pass."""
+    model = _model(docs.sparkSession, vocabulary)
+
+    def run(batch):
+        e = encoder(model.value)
+        ids = [e.encode(t) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+        return with_columns(batch, **{ids_col: _lists(ids), decoded_col: pa.array([e.decode(x) for x in ids], pa.string())})
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(decoded_col, T.StringType())]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids, their number, the hash of the decoded text, and whether it is the text again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = decode(encode(docs, ids_col="ids"), ids_col="ids", text_col="decoded")
+    out = round_trip(docs, ids_col="ids", decoded_col="decoded")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"),
                       (F.col("decoded") == F.col("text")).alias("lossless"))
