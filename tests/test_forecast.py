@@ -139,3 +139,12 @@ def test_calendar_with_closed_days_is_cleaned(spark):
                   ["k"], "d", "v", 86400, regular=False).orderBy("d").collect()
     assert [r.d for r in out] == days and max(r.v for r in out) < 102
     assert abs(out[20].v - (out[19].v + out[21].v) / 2) < 1e-9
+
+
+def test_registered_intraday_runs_reach_the_last_minute(spark):
+    from tickloom.queries import QUERIES, forecasting as Q
+    sf, key = "/root/testdata/sf0.01", ["symbol", "source"]
+    last = {tuple(r) for r in Q.gap_free_minutes(spark, sf).groupBy(*key).agg(F.max("bucket")).collect()}
+    for name in ("FCT2_intraday_closed_form", "FCT2_arima_rows"):
+        assert {tuple(r) for r in QUERIES[name](spark, sf).groupBy(*key).agg(F.max("execution_time")).collect()} == last
+    assert max(r[0] for r in QUERIES["FCT2_intraday_half_open"](spark, sf).select("execution_time").collect()) == dt.datetime(2024, 1, 1, 5, 9)

@@ -80,14 +80,19 @@ def gap_free_minutes(spark, sf):
 
 
 MW = "PARTITION BY symbol, source ORDER BY ts"
-MINUTE_AR = f"""WITH {A.SQL_DENSE}, {A.SQL_MINUTES}, lim AS (SELECT symbol, source, min(bucket) AS lo, max(bucket) AS hi FROM minutes GROUP BY 1, 2),
+#: The runs take all minutes from FROM_MINUTE on (LAST_MINUTE lies behind the data); a query of its own ends inside the data.
+FROM_MINUTE, LAST_MINUTE, INSIDE = "2024-01-01 01:30:00", "2030-01-01 00:00:00", "2024-01-01 05:10:00"
+
+
+def minute_ar(end):
+    return f"""WITH {A.SQL_DENSE}, {A.SQL_MINUTES}, lim AS (SELECT symbol, source, min(bucket) AS lo, max(bucket) AS hi FROM minutes GROUP BY 1, 2),
 slots AS (SELECT symbol, source, unnest(generate_series(lo, hi, INTERVAL 1 MINUTE)) AS ts FROM lim),
 gr AS (SELECT s.symbol, s.source, s.ts, CAST(close AS DOUBLE) AS close FROM slots s LEFT JOIN minutes m ON s.symbol = m.symbol AND s.source = m.source AND s.ts = m.bucket),
 nb AS (SELECT *, last_value(close IGNORE NULLS) OVER p AS pv, max(CASE WHEN close IS NOT NULL THEN ts END) OVER p AS pt,
   first_value(close IGNORE NULLS) OVER n AS nv, min(CASE WHEN close IS NOT NULL THEN ts END) OVER n AS nt FROM gr
   WINDOW p AS ({MW} ROWS UNBOUNDED PRECEDING), n AS ({MW} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 b AS (SELECT symbol, source, ts, CASE WHEN close IS NOT NULL THEN close ELSE pv + (nv - pv) * (epoch(ts) - epoch(pt)) / (epoch(nt) - epoch(pt)) END AS c FROM nb
-  WHERE ts < TIMESTAMP '2024-01-01 05:10:00'),
+  WHERE ts < TIMESTAMP '{end}'),
 d AS (SELECT *, c - lag(c) OVER ({MW}) AS d, ln(c / lag(c) OVER ({MW})) AS r FROM b), e AS (SELECT *, lag(d) OVER ({MW}) AS pd FROM d),
 st AS (SELECT *, CAST((epoch(ts) - epoch(TIMESTAMP '2024-01-01 01:30:00')) / 60 AS BIGINT) AS pos,
   sum(d * pd) OVER ({MW} ROWS BETWEEN 198 PRECEDING AND 1 PRECEDING) AS num, sum(CASE WHEN d IS NOT NULL THEN pd * pd END) OVER ({MW} ROWS BETWEEN 198 PRECEDING AND 1 PRECEDING) AS den,
@@ -101,16 +106,27 @@ gx AS (SELECT *, CASE WHEN hist < 50 THEN 'at least 50 observations are required
 fc AS (SELECT * REPLACE (CASE WHEN error IS NULL THEN pred END AS pred), CASE WHEN error IS NULL THEN (pred / ref - 1) * 100 END AS ex FROM gx)"""
 
 
-@query("FCT2_intraday_closed_form", MINUTE_AR + f""" SELECT symbol, source, ts AS execution_time, step, {rs('ref', 'reference_price', 4, 10)},
- {rs('pred', 'predicted_price', 3, 10)}, {_decide(0.5)} AS signal, error FROM fc""")
-def intraday_closed_form(spark, sf):
-    """The range is half-open and ends inside the data."""
-    f = FC.ar_walk_forward(gap_free_minutes(spark, sf), ["symbol", "source"], "bucket", "close", TS("2024-01-01 01:30:00"),
-                           TS("2024-01-01 05:10:00"), step=60)
+MINUTE_ROWS = f""" SELECT symbol, source, ts AS execution_time, step, {rs('ref', 'reference_price', 4, 10)},
+ {rs('pred', 'predicted_price', 3, 10)}, {_decide(0.5)} AS signal, error FROM fc"""
+
+
+def intraday_rows(spark, sf, end):
+    f = FC.ar_walk_forward(gap_free_minutes(spark, sf), ["symbol", "source"], "bucket", "close", TS(FROM_MINUTE), TS(end), step=60)
     d = FC.decide(f)
     return d.select("symbol", "source", "execution_time", "step", dec("reference_price", 4), dec("predicted_price", 3), "signal", "error")
 
 
+@query("FCT2_intraday_closed_form", minute_ar(LAST_MINUTE) + MINUTE_ROWS)
+def intraday_closed_form(spark, sf):
+    return intraday_rows(spark, sf, LAST_MINUTE)
+
+
+@query("FCT2_intraday_half_open", minute_ar(INSIDE) + MINUTE_ROWS)
+def intraday_half_open(spark, sf):
+    """The range is half-open and ends inside the data."""
+    return intraday_rows(spark, sf, INSIDE)
+
+
 @query("FCT2_refused_series", f"""WITH {A.SQL_DENSE}, {A.SQL_MINUTES}, l AS (SELECT symbol, source, close, bucket - lag(bucket) OVER (PARTITION BY symbol, source ORDER BY bucket) AS gap FROM minutes)
 SELECT symbol, source, 'ARIMA_110' AS model, 'missing rows' AS error FROM l GROUP BY 1, 2 HAVING count(*) FILTER (gap <> INTERVAL '1 minute') > 0""")
 def refused_series(spark, sf):
@@ -124,11 +140,11 @@ def refused_series(spark, sf):
 def intraday_arima(spark, sf):
     """Minute walk-forward; the position follows from the clock, so a long symbol splits into chunks."""
     f = FC.walk_forward(gap_free_minutes(spark, sf), ["symbol", "source"], "bucket", "close", [FC.PRICE_ARIMA, FC.LOG_RETURN_ARIMA],
-                        TS("2024-01-01 01:30:00"), TS("2024-01-01 05:10:00"), step=60)
+                        TS(FROM_MINUTE), TS(LAST_MINUTE), step=60)
     return FC.decide(f)
 
 
-@query("FCT2_arima_rows", MINUTE_AR + f""", m AS (SELECT unnest(['ARIMA', 'LOG_RETURN_ARIMA']) AS model)
+@query("FCT2_arima_rows", minute_ar(LAST_MINUTE) + f""", m AS (SELECT unnest(['ARIMA', 'LOG_RETURN_ARIMA']) AS model)
 SELECT symbol, source, m.model, ts AS execution_time, step, {rs('ref', 'reference_price', 4, 10)}, {rs('vol', 'volatility_pct', 4, 10)}, hist < 50 AS refused FROM fc, m""")
 def intraday_arima_rows(spark, sf):
     """The rows of the ARIMA runs without the fitted prices."""
