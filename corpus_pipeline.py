@@ -2,7 +2,7 @@
 
 1. language ID: documents that the classifier rejects go (no letters, or unlike every learned language);
 2. line de-duplication: lines that five documents or more share stay in one of them only;
-3. near duplicates: of documents linked by their word n-grams the smallest doc_id stays;
+3. near duplicates: of documents linked by their 5-word shingles (Jaccard 0.8 or more) the smallest doc_id stays;
 4. benchmark decontamination: documents that hold a window of a benchmark item go;
 5. SentencePiece ids of what is left, with the proof that decoding gives the text again.
 
@@ -31,7 +31,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, words=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 """Each stage on the rows the stage before it kept, against the operators' plain versions."""
+import random
 import sys
 from pathlib import Path
 
@@ -44,3 +45,35 @@ def test_empty_table(spark):
     for name, stage in P.STAGES:
         docs = stored(stage(spark, docs, SF), name)
     assert docs.count() == 0
+
+
+def plain_kept(rows, words=5, percent=80):
+    """Smallest doc_id of each component of the plain sets of word 5-grams, links at a Jaccard index of 0.8."""
+    sets = []
+    for _, t in rows:
+        x = t.lower().split()
+        sets.append({tuple(x[i:i + words]) for i in range(max(1, len(x) - words + 1))})
+    label, changed = [i for i, _ in rows], True
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    return sorted(set(label))
+
+
+def test_near_duplicates_by_five_words(spark):
+    r = random.Random(3)
+    rows = []
+    for base in ([f"w{r.randrange(400)}" for _ in range(r.choice([4, 40, 90, 200]))] for _ in range(25)):
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(3):
+            x = list(base)
+            for _ in range(r.randint(0, 5)):
+                x[r.randrange(len(x))] = f"w{r.randrange(400)}"
+            rows.append((len(rows), " ".join(x)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], table(spark, SF, "documents").schema)
+    got = sorted(x["doc_id"] for x in P.near_duplicates(spark, docs, SF).collect())
+    assert got == plain_kept(rows) != plain_kept(rows, 4, 85)

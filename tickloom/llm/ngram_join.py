@@ -1,7 +1,8 @@
 """Operator 8: similarity join on word n-grams with count-vector R-trees.
 
 Documents are sets of hashed 4-word shingles; equal sets are one node (copies never form pairs). Two sets link when
-100 * intersection >= 85 * union.
+100 * intersection >= 85 * union. These are the values of the query; ``words`` and ``percent`` give others (the pipeline's stage
+takes 5 and 80), and 4 and 0.85 below stand for them.
 
 1. Routing: a set's shingles are put in one order for all sets (frequent ones last, then by hash). Linked sets share one of
    the first n - ceil(0.85 n) + 1 shingles of each, so sets meet in the groups of these shingles.
@@ -16,9 +17,9 @@ Documents are sets of hashed 4-word shingles; equal sets are one node (copies ne
 Every link between sets of different components passes step 3, so the components are exact. The order in step 1 rests on
 shingles found in many sets of one Arrow batch, counted over all batches; any order gives the same result.
 
-Defined cases: null, empty and blank texts have the empty set and are alone; texts of one to three words have one shingle; repeated rows
-and equal texts are one component; rows that repeat a doc_id are judged by their own text; an empty table gives no rows;
-other columns are not read.
+Defined cases: null, empty and blank texts have the empty set and are alone; texts of one to three words (fewer than ``words``)
+have one shingle; repeated rows and equal texts are one component; rows that repeat a doc_id are judged by their own text; an
+empty table gives no rows; other columns are not read.
 """
 from __future__ import annotations
 
@@ -79,10 +80,10 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
-def set_rows(docs: DataFrame) -> DataFrame:
+def set_rows(docs: DataFrame, words: int) -> DataFrame:
     """doc (as given), set (null without shingles), n, point of every row."""
     def run(batch):
-        sets = shingle_sets(batch.column(1))
+        sets = shingle_sets(batch.column(1), words)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
                                            pa.array([len(s) for s in sets], pa.int64()), pa.array([point(s).tobytes() for s in sets], pa.binary())],
                                           names=["doc_id", "set", "n", "point"])
@@ -94,10 +95,10 @@ def _distinct(sets: list[np.ndarray]) -> dict[int, np.ndarray]:
     return {set_id(s): s for s in sets if len(s)}
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
+def frequent(docs: DataFrame, words: int) -> np.ndarray:
     """Sorted shingles that many sets share, the most frequent ``FREQUENT``."""
     def run(batch):
-        sets = list(_distinct(shingle_sets(batch.column(0))).values())
+        sets = list(_distinct(shingle_sets(batch.column(0), words)).values())
         values, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         often = n >= OFTEN
         return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often])], names=["token", "n"])
@@ -106,13 +107,13 @@ def frequent(docs: DataFrame) -> np.ndarray:
     return np.sort(rows.column("token").to_numpy().view(np.uint64))
 
 
-def prefix_rows(docs: DataFrame, last: np.ndarray, percent: int) -> DataFrame:
+def prefix_rows(docs: DataFrame, last: np.ndarray, words: int, percent: int) -> DataFrame:
     """token, set, n: the first shingles of each distinct set of a batch."""
     shared = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batch):
         late, out, names, sizes, counts = shared.value, [], [], [], []
-        for name, s in _distinct(shingle_sets(batch.column(0))).items():
+        for name, s in _distinct(shingle_sets(batch.column(0), words)).items():
             k = prefix_length(len(s), percent)
             if len(late):
                 at = np.searchsorted(late, s)
@@ -157,7 +158,7 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a long, b long")
 
 
-def shingle_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def shingle_rows(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """set, shingles (sorted, 8 bytes each) of the wanted sets; ``wanted``: set, doc_id of one document that has it."""
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
@@ -165,7 +166,7 @@ def shingle_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batch):
         names, raw = [], []
-        for s, name in zip(shingle_sets(batch.column(0)), batch.column(1).to_pylist()):
+        for s, name in zip(shingle_sets(batch.column(0), words), batch.column(1).to_pylist()):
             if len(s) and set_id(s) == name:  # rows may repeat a doc_id with another text
                 names.append(name)
                 raw.append(s.tobytes())
@@ -173,11 +174,11 @@ def shingle_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_batches(rows, run, "set long, shingles binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """u, v of the pairs that link, by their whole sets."""
     pairs = stored(pairs, "bounded-pairs")
     needed = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    whole = stored(shingle_rows(docs, stored(sets.join(needed, "set").select("set", "doc_id"), "needed-sets")), "shingles")
+    whole = stored(shingle_rows(docs, stored(sets.join(needed, "set").select("set", "doc_id"), "needed-sets"), words), "shingles")
 
     def run(batch):
         keep = []
@@ -249,44 +250,44 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def _classes(docs: DataFrame, percent: int) -> DataFrame:
+def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, set, n, part (smallest set of the component, null without shingles) of every row."""
-    rows = stored(set_rows(docs), "sets")
+    rows = stored(set_rows(docs, words), "sets")
     sets = rows.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"))
 
     around = Window.partitionBy("token")
-    groups = prefix_rows(docs, frequent(docs), percent).repartition("token")
+    groups = prefix_rows(docs, frequent(docs, words), words, percent).repartition("token")
     groups = groups.withColumn("low", F.min("set").over(around)).withColumn("high", F.max("set").over(around))
     groups = stored(groups.filter("low < high").select("token", "set", "n").distinct(), "groups")
 
-    links = verified(bounded(first_pairs(groups, percent), sets, percent), docs, sets, percent)
+    links = verified(bounded(first_pairs(groups, percent), sets, percent), docs, sets, words, percent)
     known = components(links).select(F.col("node").alias("set"), "component")
     parted = groups.join(known, "set", "left").withColumn("part", F.coalesce("component", "set")).drop("component")
     mixed = parted.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token")
     mixed = stored(parted.join(mixed, "token").select("token", "set", "n", "part"), "mixed-groups")
     bins = max(1, -(-mixed.count() // BIN_ROWS))
     searched = mixed.join(sets.select("set", "point"), "set").withColumn("bin", F.pmod(F.xxhash64("token"), F.lit(bins)))
-    more = verified(search_groups(searched, percent), docs, sets, percent)
+    more = verified(search_groups(searched, percent), docs, sets, words, percent)
 
     parts = components(links.unionByName(more)).select(F.col("node").alias("set"), "component")
     return rows.join(parts, "set", "left").withColumn("part", F.coalesce("component", "set")).select("doc_id", "set", "n", "part")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT) -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    named = _classes(_texts(docs, id_col, text_col), percent)
+    named = _classes(_texts(docs, id_col, text_col), words, percent)
     smallest = named.filter(F.col("part").isNotNull()).groupBy("part").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "part", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, one of each component: its smallest id. Rows without shingles all stay."""
-    named = _classes(_texts(docs, id_col, text_col), percent).filter(F.col("part").isNotNull())
+    named = _classes(_texts(docs, id_col, text_col), words, percent).filter(F.col("part").isNotNull())
     kept = named.groupBy("part").agg(F.min(F.struct("doc_id", "set")).alias("k")).select(F.col("k.doc_id").alias("_llm_id"), F.col("k.set").alias("_llm_kept"))
 
     def run(batch):
-        sets = shingle_sets(batch.column(batch.schema.get_field_index(text_col)))
+        sets = shingle_sets(batch.column(batch.schema.get_field_index(text_col)), words)
         return with_columns(batch, _llm_set=pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()))
     rows = map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("_llm_set", T.LongType())]))
     same = (F.col("_llm_set") == F.col("_llm_kept")) & F.col(id_col).eqNullSafe(F.col("_llm_id"))
