@@ -50,3 +50,30 @@ def test_copies_of_an_article_stay(spark):
     rows = [(k, "http://a.example/x", page(f"<nav>{k}</nav><article><p>the same article</p></article>")) for k in range(30)]
     out = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r["text"] for r in out} == {"the same article"}
+
+
+def texts(spark, bodies):
+    rows = [(k, f"http://a.example/{k}", page(b)) for k, b in enumerate(bodies)]
+    out = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [out[k] for k in range(len(rows))]
+
+
+def test_style_tree_decides_inside_an_article(spark):
+    bodies = [f"<div class=strip><p>All our stories</p></div><article><h1>Title {'abcdefgh'[k]}</h1><p>story <b>{k}</b></p>"
+              f"<div class=box><p>Read us every day</p></div></article><p>more on {k}</p>" for k in range(8)]
+    assert texts(spark, bodies) == [f"Title {'abcdefgh'[k]}\nstory {k}\nmore on {k}" for k in range(8)]
+
+
+def test_text_outside_a_small_article_stays():
+    assert H.main_text(page("<main><h1>T</h1><p>long text</p><article><p>teaser</p></article></main>")) == "T\nlong text\nteaser"
+    assert H.main_text(page("<h1>T</h1><p>long text</p><article><p>teaser</p></article>")) == "T\nlong text\nteaser"
+
+
+def test_copies_of_an_article_with_a_counter_stay(spark):
+    bodies = [f"<div class=hello><p>Hello {'abcdefghij'[k]}</p></div><article><p>the same article</p><p>{k} views</p></article>" for k in range(10)]
+    assert all("the same article" in t for t in texts(spark, bodies))
+
+
+def test_paragraphs_with_inline_marks_stay(spark):
+    bodies = [f"<article><p>{'abcdefgh'[k]} <a><b>x</b></a><em><i>y</i></em><span><b>z</b></span><u><b>w</b></u></p></article>" for k in range(8)]
+    assert texts(spark, bodies) == [f"{'abcdefgh'[k]} xyzw" for k in range(8)]

@@ -7,15 +7,17 @@ each node the pages of the host give
   is a template), in units of log(number of pages), 1 for a single page;
 * content importance of a text node: 1 - mean over its distinct texts of log(pages with the text) / log(pages);
 * composite importance: a node with children mixes its presentation importance and its children's composite. A branch whose
-  nodes all have low composite importance is noise.
+  nodes all have low composite importance, and low content importance where they hold text, is noise.
 
 Counts are Spark aggregates over (host, path, text or style, page); pages with the same bytes count once. One row per
-host with its unimportant paths then meets the pages of the host, and these branches are removed from each page.
+host with its unimportant paths then meets the pages of the host, and these branches are removed from each page, inside labelled
+parts too. Inside an ``article`` (``main``) pages with the same article (labelled) text but for its digits count once, so
+copies of an article on one host stay and what different articles repeat goes.
 
-What a page itself labels decides first: scripts, styles, forms, menus, headers, footers, asides, hidden parts, and elements whose
-class, id or role names a menu, advert, notice, comment and so on are never text; an ``article`` (else ``main``) that is
-left is the main text, and no site statistics remove its blocks (copies of an article on one host would). Pages without
-such a label keep the body's blocks that are in no branch of low importance.
+What a page labels itself is evidence: scripts, styles, forms, menus, headers, footers, asides, hidden parts, and elements whose
+class, id or role names a menu, advert, notice, comment and so on are never text. On a page with text in an ``article`` or
+``main``, text outside them is kept too, but its branch is noise below the higher bound ``LOW_OUTSIDE``. On hosts with too few
+pages for statistics all blocks that are not so named stay.
 
 Defined cases: null, empty or letterless html gives the empty text; broken markup is read leniently (unclosed elements end with
 their parent, unknown end tags are ignored, a cut-off tag is dropped); a null url is a host of its own name ''; repeated
@@ -33,8 +35,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.llm.common import map_batches, stored, table
 
-#: A host needs so many different pages before its statistics remove anything; composite importance below LOW is noise.
-LEAST_PAGES, LOW, GAMMA = 4, 0.3, 0.9
+#: A host needs so many different pages before its statistics remove anything; importance below LOW is noise (below LOW_OUTSIDE
+#: beside a labelled part).
+LEAST_PAGES, LOW, LOW_OUTSIDE, GAMMA = 4, 0.3, 0.5, 0.9
 #: Unimportant paths (8 bytes each) that are broadcast at most, hosts counted as ten.
 BROADCAST_PATHS = 2_000_000
 
@@ -42,7 +45,7 @@ _token = re.compile(
     r"<(?:!--(?:.*?)(?:--!?>|\Z)|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 _attr = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_names = re.compile(r"[a-z]+")
+_names, _digits = re.compile(r"[a-z]+"), re.compile(r"\d+")
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption "
@@ -187,35 +190,37 @@ def digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def statistics(source: str) -> list[tuple[int, int, int, int]]:
-    """(path, parent path, kind, value): kind 0 a text of the node, kind 1 the styles of its children. Hashed."""
+def statistics(source: str) -> list[tuple[int, int, int, int, int]]:
+    """(page, path, parent path, kind, value): kind 0 a text of the node, kind 1 the styles of its children. Hashed.
+
+    The page is named by its bytes, for nodes in a labelled part by the text of that part.
+    """
     page = Page(source)
-    out = {(digest(e.path), digest(e.path.rpartition(">")[0]), 0, digest(t)) for e, t in page.blocks}
-    out |= {(digest(e.path), digest(e.path.rpartition(">")[0]), 1, digest(" ".join(dict.fromkeys(e.children)))) for e in page.elements if e.children}
+    prints = (digest(source), *(digest(_digits.sub("", "\n".join(t for e, t in page.blocks if e.main >= k and not e.noise))) for k in (1, 2)))
+    out = {(prints[e.main], digest(e.path), digest(e.path.rpartition(">")[0]), 0, digest(t)) for e, t in page.blocks}
+    out |= {(prints[e.main], digest(e.path), digest(e.path.rpartition(">")[0]), 1, digest(" ".join(dict.fromkeys(e.children))))
+            for e in page.elements if e.children}
     return sorted(out)
 
 
-def main_text(source: str | None, unimportant: frozenset[int] = frozenset()) -> str:
+def main_text(source: str | None, unimportant: frozenset[int] = frozenset(), outside: frozenset[int] = frozenset()) -> str:
+    """Text without the noise of the page and the paths ``unimportant``, beside a labelled part those of ``outside``."""
     if not source:
         return ""
-    page = Page(source)
-    kept = [(e, t) for e, t in page.blocks if not e.noise]
-    best = max((e.main for e, _ in kept), default=0)
-    if best:
-        return "\n".join(t for e, t in kept if e.main == best)
-    if unimportant:
-        kept = [(e, t) for e, t in kept if digest(e.path) not in unimportant]
+    kept = [(e, t) for e, t in Page(source).blocks if not e.noise]
+    if unimportant or outside:
+        labelled = any(e.main for e, _ in kept)
+        kept = [(e, t) for e, t in kept if digest(e.path) not in (outside if labelled and not e.main else unimportant)]
     return "\n".join(t for _, t in kept)
 
 
 def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, low: the hashed paths of low composite importance of each host with enough different pages."""
+    """host, low, outside: the hashed paths of low importance of each host with enough different pages, by both bounds."""
     def run(batch):
         rows: list[list] = [[], [], [], [], [], []]
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            fingerprint = digest(source)
             for node in statistics(source):
-                for column, value in zip(rows, (host, fingerprint, *node)):
+                for column, value in zip(rows, (host, *node)):
                     column.append(value)
         names = ["host", "page", "path", "parent", "kind", "value"]
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), *(pa.array(r, pa.int64()) for r in rows[1:])], names=names)
@@ -225,10 +230,10 @@ def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     counted = rows.groupBy("host", "path", "parent", "kind", "value").agg(F.count(F.lit(1)).alias("c"))
     uses = counted.groupBy("host", "path", "parent", "kind").agg(
         F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.avg(F.log("c")).alias("logc"))
-    sizes = rows.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
+    sizes = rows.filter(F.col("path") == digest("")).select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
     held = rows.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count(F.lit(1)).alias("m"))
     nodes = uses.join(held, ["host", "path"]).join(sizes, "host").select("host", "path", "parent", "kind", "n", "clogc", "logc", "m")
-    return nodes.groupBy("host").applyInArrow(_unimportant, "host string, low array<bigint>")
+    return nodes.groupBy("host").applyInArrow(_unimportant, "host string, low array<bigint>, outside array<bigint>")
 
 
 def _unimportant(group: pa.Table) -> pa.Table:
@@ -243,7 +248,7 @@ def _unimportant(group: pa.Table) -> pa.Table:
         else:  # -sum p log p over the styles, p = c / n
             style[r["path"]] = min(1, (math.log(r["n"]) - r["clogc"] / r["n"]) / logm) if logm else 1.0
     done: dict[int, float] = {}
-    noisy: dict[int, bool] = {}  # low itself, and all below
+    noisy: dict[float, dict[int, bool]] = {LOW: {}, LOW_OUTSIDE: {}}  # low itself, and all below
     for root in list(pages):
         stack = [root]
         while stack:
@@ -263,21 +268,25 @@ def _unimportant(group: pa.Table) -> pa.Table:
             inner = sum(w * v for w, v in parts) / sum(w for w, _ in parts) if parts else style.get(node, 1.0)
             share = GAMMA ** max(1, len(below))
             done[node] = (1 - share) * style[node] + share * inner if node in style and below else inner
-            noisy[node] = done[node] < LOW and pages[node] >= LEAST_PAGES and all(noisy.get(c, True) for c in below)
-    low = sorted(p for p, v in noisy.items() if v)
-    return pa.table({"host": pa.array([group.column("host")[0].as_py()], pa.string()), "low": pa.array([low], pa.list_(pa.int64()))})
+            for bound, found in noisy.items():
+                found[node] = (max(done[node], content.get(node, 0)) < bound and pages[node] >= LEAST_PAGES
+                               and all(found.get(c, True) for c in below))
+    low, outside = ([sorted(p for p, v in found.items() if v)] for found in noisy.values())
+    return pa.table({"host": pa.array([group.column("host")[0].as_py()], pa.string()), "low": pa.array(low, pa.list_(pa.int64())),
+                     "outside": pa.array(outside, pa.list_(pa.int64()))})
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    trees = stored(style_trees(pages, url_col, html_col).filter(F.size("low") > 0).withColumnRenamed("host", "_llm_host"), "style-trees")
-    if (trees.agg(F.sum(F.size("low") + 10)).first()[0] or 0) <= BROADCAST_PATHS:  # else the pages meet them by a shuffle on the host
+    trees = stored(style_trees(pages, url_col, html_col).filter(F.size("outside") > 0).withColumnRenamed("host", "_llm_host"), "style-trees")
+    if (trees.agg(F.sum(F.size("low") + F.size("outside") + 10)).first()[0] or 0) <= BROADCAST_PATHS:  # else the pages meet them by a shuffle on the host
         trees = F.broadcast(trees)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = rows.join(trees, host_of(F.col("url")) == F.col("_llm_host"), "left").select("page_id", "url", "html", "low")
+    rows = rows.join(trees, host_of(F.col("url")) == F.col("_llm_host"), "left").select("page_id", "url", "html", "low", "outside")
 
     def run(batch):
-        texts = [main_text(h, frozenset(low or ())) for h, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        texts = [main_text(h, frozenset(low or ()), frozenset(outside or ()))
+                 for h, low, outside in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                           names=["page_id", "url", "text", "n_chars"])
     kind = rows.schema["page_id"].dataType.simpleString()
