@@ -111,3 +111,13 @@ def test_benchmark(spark, seed, block):
     assert {x["n_words"] for x in out} == {1}
     assert not any(x["_llm_contaminated"] for x in D.mark(docs, bench.limit(0)).collect())
     assert D.mark(docs.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("block", [D.BLOCK_BYTES, 1])
+def test_items_without_an_id_mark_words(spark, block):
+    bench = spark.createDataFrame([(None, "x y z"), (None, None), (5, "y z q"), (None, "y z q")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a x y z b"), (2, "x y z q"), (3, "a b")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["_llm_n_hit"], r["_llm_n_items"], r["_llm_items_sha256"], r["_llm_contaminated"])
+                 for r in D.mark(docs, bench, block_bytes=block).collect())
+    named = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == [(1, 3, 0, named(""), True), (2, 4, 1, named("5"), True), (3, 0, 0, named(""), False)]

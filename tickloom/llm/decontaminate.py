@@ -13,8 +13,9 @@ Words: A-Z lower-cased, then runs of ASCII letters, digits and all code points a
 bytes, so the search works on bytes.
 
 Defined cases: null or empty texts have no words and are not contaminated; items without words are never found; items
-with the same words or the same item_id are found together (an item_id counts once); every document row is judged on
-its own, repeated rows alike; an empty benchmark hits nothing, an empty table gives no rows. All other columns pass.
+with the same words or the same item_id are found together (an item_id counts once); items without an item_id mark words
+and contamination, but have no name and do not count in n_items; every document row is judged on its own, repeated rows
+alike; an empty benchmark hits nothing, an empty table gives no rows. All other columns pass.
 """
 from __future__ import annotations
 
@@ -73,14 +74,14 @@ class Patterns:
             at += 1
 
 
-def tables(items: list[tuple[str, str | None]], window: int) -> list[Patterns]:
+def tables(items: list[tuple[str | None, str | None]], window: int) -> list[Patterns]:
     by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = {}
     for item, text in items:
         words = words_of(text)
         m = min(window, len(words))
         for i in range(len(words) - m + 1 if m else 0):
             names = by_length.setdefault(m, {}).setdefault(tuple(words[i:i + m]), [])
-            if item not in names:
+            if item is not None and item not in names:
                 names.append(item)
     return [Patterns(m, p) for m, p in sorted(by_length.items())]
 
@@ -88,7 +89,7 @@ def tables(items: list[tuple[str, str | None]], window: int) -> list[Patterns]:
 _built: dict[str, list[Patterns]] = {}  # the newest block's tables, kept by a Python worker from task to task
 
 
-def built(token: str, items: list[tuple[str, str | None]], window: int) -> list[Patterns]:
+def built(token: str, items: list[tuple[str | None, str | None]], window: int) -> list[Patterns]:
     if token not in _built:
         _built.clear()
         _built[token] = tables(items, window)
@@ -103,12 +104,10 @@ def search(words: list[bytes], searched: list[Patterns], spans: list[list[int]],
             found.update(items)
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """The items in blocks; the driver holds one block at a time."""
     block, size = [], 0
     for row in benchmark.select(F.col(item_col).cast("string"), text_col).toLocalIterator():
-        if row[0] is None:
-            continue
         if block and size + len(row[1] or "") > block_bytes:
             yield block
             block, size = [], 0
