@@ -1,6 +1,7 @@
 """Helpers shared by the corpus operators: stored steps, Arrow maps over texts, hashing of byte windows."""
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -155,6 +156,21 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(start, offsets)
 
 
+#: A text is split into words in pieces of this many bytes.
+PIECE = 1 << 20
+_space = re.compile(b"[" + re.escape(SPACES) + b"]")
+
+
+def word_pieces(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in lists; a long text is split piece by piece, at white space."""
+    a = 0
+    while a < len(raw):
+        stop = _space.search(raw, a + PIECE)
+        b = stop.start() if stop else len(raw)
+        yield raw[a:b].split()
+        a = b
+
+
 class ByteValues:
     """The hash values of bytes, taken when a slice is asked for."""
 

@@ -2,7 +2,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tickloom.llm import decontaminate, exact_dedup, html_text, language_id, line_dedup, ngram_join, suffix_array, suffix_tree, toxicity, viterbi
+from tickloom.llm import (
+    bk_tree, decontaminate, exact_dedup, filter_audit, html_text, language_id, line_dedup, merkle, ngram_join, suffix_array, suffix_tree, toxicity, viterbi)
 
 LLM_QUERIES = {
     "op1_site_style_tree": html_text.query,
@@ -15,6 +16,9 @@ LLM_QUERIES = {
     "op8_count_vector_rtree": ngram_join.query,
     "op9_prefix_doubling": suffix_array.query,
     "op10_stateful_exact": exact_dedup.query,
+    "op11_sparse_matrix_audit": filter_audit.query,
+    "op12_merkle_descent": merkle.query,
+    "op13_bk_trees": bk_tree.query,
     "pipeline": corpus_pipeline.run,
 }
 LLM_ORACLES = {
@@ -24,4 +28,6 @@ LLM_ORACLES = {
     "op8_count_vector_rtree": ngram_join.SQL.strip(),
     "op9_prefix_doubling": suffix_array.SQL.strip(),
     "op10_stateful_exact": exact_dedup.SQL.strip(),
+    "op11_sparse_matrix_audit": filter_audit.SQL.strip(),
+    "op12_merkle_descent": merkle.SQL.strip(),
 }
