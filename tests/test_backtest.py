@@ -107,3 +107,50 @@ def test_rsi_scan_matches_loop(spark, period):
         want.append(100.0 if l == 0 else 100 - 100 / (1 + g / l))
     assert all((a is None) == (b is None) for a, b in zip(got, want))
     assert max(abs(a - b) for a, b in zip(got, want) if b is not None) < 1e-8
+
+
+@pytest.mark.parametrize("span_rows", [1, 7, 64])
+def test_books_cut_into_spans_equal_whole_books(spark, monkeypatch, span_rows):
+    """Positions, products, entries and peaks pass from span to span, whatever the spans hold."""
+    rnd = random.Random(span_rows)
+    rows = [(rnd.uniform(50, 150), rnd.uniform(50, 150), rnd.choice(["BUY", "SELL", *["HOLD"] * 6])) for _ in range(200)]
+    many = bars(spark, rows).unionByName(bars(spark, rows[100:], "late")).unionByName(bars(spark, [(1, 1, "HOLD")] * 30, "idle"))
+
+    def figures():
+        curve = B.equity_curve(many, ["symbol"], "d", True, 10, 5, 10000.0, step)
+        flat = [(r.symbol, str(r.d), r.fill, r.held, round(float(r.equity), 5), round(float(r.drawdown_pct), 4), r.pnl_pct and round(float(r.pnl_pct), 4)) for r in curve.collect()]
+        return sorted(flat, key=str), sorted((r.symbol, r.seq, str(r.d), r.side) for r in B.trades(curve, ["symbol"], "d", step).collect())
+    step = 86400
+    whole = figures()
+    monkeypatch.setattr(B, "SPAN_ROWS", span_rows * 24)
+    step = 3600  # spans of ``span_rows`` days
+    assert figures() == whole
+
+
+def test_signals_of_minute_books_do_not_depend_on_spans(spark, monkeypatch):
+    rnd, closes = random.Random(4), [200.0]
+    while len(closes) < 900:
+        closes.append(closes[-1] + rnd.gauss(0, 1))
+    df = spark.createDataFrame([("b", i, c) for i, c in enumerate(closes)], "symbol string, i int, close double").select(
+        "symbol", F.timestamp_seconds(F.col("i") * 60).cast("timestamp_ntz").alias("ts"), "close")
+
+    def signals():
+        out = []
+        for name, params in (("BUY_AND_HOLD", {}), ("MA_CROSSOVER", {"shortPeriod": 3, "longPeriod": 40}), ("RSI", {"period": 14})):
+            out.append([r.signal for r in G.signals_for(name, df, ["symbol"], "ts", params, 60).orderBy("ts").collect()])
+        out.append([r.signal for r in G.delayed(G.signals_for("RSI", df, ["symbol"], "ts", step=60), ["symbol"], "ts", F.lit("HOLD"), 60).orderBy("ts").collect()])
+        return out
+    whole = signals()
+    monkeypatch.setattr(G, "SPAN_ROWS", 50)
+    assert signals() == whole and all(len(set(s)) > 1 for s in whole)
+
+
+def test_a_long_book_spreads_over_tasks(spark):
+    """No window of the run is keyed by the book alone except over one row per span."""
+    df = spark.range(0, 40_000).select(F.lit("b").alias("symbol"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"),
+                                       (F.lit(100) + F.sin("id")).alias("open"), (F.lit(100) + F.cos("id")).alias("close"))
+    curve = B.equity_curve(G.signals_for("RSI", df, ["symbol"], "ts", step=60), ["symbol"], "ts", step=60)
+    plan = curve._jdf.queryExecution().optimizedPlan().toString()
+    keyed_by_book = [line for line in plan.splitlines() if "Window [" in line and line.rstrip().split("], [")[-2:][0].count("#") == 1]
+    assert all("_span" in line or "_chunk" in line for line in keyed_by_book) and "Window [" in plan
+    assert B.summary(curve, ["symbol"], "ts").first().bar_count == 40_000

@@ -1,7 +1,7 @@
 """Streams over several files; results independent of partitioning and of hot keys."""
 from pyspark.sql import functions as F
 
-from tickloom.operators import candles as C, dedup as U, neighbors as NB, series as R
+from tickloom.operators import candles as C, dedup as U, series as R, spans as SP
 from tickloom.queries import QUERIES
 from tickloom.session import work_path
 from tickloom.sources import adapters as A
@@ -44,14 +44,17 @@ def test_minute_rollup_is_a_hash_aggregate(spark, sf):
     assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
-def test_span_neighbors_equal_plain_window(spark):
+def test_span_context_equals_plain_windows(spark):
     from pyspark.sql import Window
-    df = spark.range(5000).select((F.col("id") % 3).alias("k"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"), F.col("id").alias("v"))
+    df = spark.range(5000).select((F.col("id") % 3).alias("k"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"),
+                                  F.when(F.col("id") % 17 == 5, F.col("id")).alias("v"))
     w = Window.partitionBy("k").orderBy("ts")
-    plain = df.withColumns({"prev_v": F.lag("v").over(w)})
-    assert same(NB.with_previous(df, ["k"], "ts", ["v"], 3600), plain)
-    plain = df.withColumns({"next_v": F.lead("v").over(w)})
-    assert same(NB.with_next(df, ["k"], "ts", ["v"], 3600), plain)
+    up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    plain = df.withColumns({"prev_v": F.lag("v").over(w), "next_ts": F.lead("ts").over(w), "i": (F.row_number().over(w) - 1).cast("long"),
+                            "last_x": F.last("v", ignorenulls=True).over(up), "first_x": F.first("v", ignorenulls=True).over(down)})
+    for span in (3600, 500, 10 ** 9):
+        got = SP.with_context(df, ["k"], "ts", span, prev=("v",), following=("ts",), known={"x": F.col("v")}, number="i")
+        assert same(got, plain)
 
 
 def test_cleaning_does_not_depend_on_span(spark, monkeypatch):

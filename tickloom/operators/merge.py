@@ -56,21 +56,35 @@ def merge_exchange(stored: DataFrame, official: DataFrame) -> DataFrame:
     return merge_rows(stored, incoming, CANDLE_KEY, rule)
 
 
-def merge_daily_exchange(stored: DataFrame, official: DataFrame, market_type: str) -> DataFrame:
+def _computed(incoming: DataFrame, stored: DataFrame, at: Column | None) -> DataFrame:
+    """``computed_at`` of new rows, if the stored table has that column."""
+    if "computed_at" not in stored.columns:
+        return incoming
+    kind = dict(stored.dtypes)["computed_at"]
+    return incoming.withColumn("computed_at", (F.current_timestamp() if at is None else at).cast(kind))
+
+
+def merge_daily_exchange(stored: DataFrame, official: DataFrame, market_type: str, computed_at: Column | None = None) -> DataFrame:
     """Official daily candles keyed by the UTC date of their bucket; they always win."""
     one = fullest_minute(official)
     incoming = one.select(
         "symbol", F.col("bucket").cast("date").alias("trade_date"), "source", F.lit(market_type).alias("market_type"),
         "open", "high", "low", "close", "volume", F.col("trade_count").alias("tick_count"),
         F.lit("EXCHANGE").alias("origin"))
-    return merge_rows(stored, incoming, DAILY_KEY, F.lit(True))
+    return merge_rows(stored, _computed(incoming, stored, computed_at), DAILY_KEY, F.lit(True))
 
 
-def merge_daily_rollup(stored: DataFrame, rollup: DataFrame) -> DataFrame:
-    """Daily candles rolled up from ticks: they never overwrite an official row."""
-    incoming = _fill(rollup, stored)
-    return merge_rows(stored, incoming, DAILY_KEY, ~F.col("o.origin").eqNullSafe("EXCHANGE"),
-                      keep_when_updated=("origin",))
+def merge_daily_rollup(stored: DataFrame, rollup: DataFrame, computed_at: Column | None = None, only_changes: bool = False) -> DataFrame:
+    """Daily candles rolled up from ticks: they never overwrite an official row.
+
+    With ``only_changes`` a row whose values are stored already stays as it is, its ``computed_at`` too, so that a job that
+    runs again changes nothing.
+    """
+    incoming = _computed(_fill(rollup, stored), stored, computed_at)
+    rule = ~F.col("o.origin").eqNullSafe("EXCHANGE")
+    if only_changes:
+        rule = rule & _distinct([*LIVE_VALUES, "market_type", "tick_count"])
+    return merge_rows(stored, incoming, DAILY_KEY, rule, keep_when_updated=("origin",))
 
 
 def merge_newest(stored: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:

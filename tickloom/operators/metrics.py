@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .ranks import exact_quantiles
+
 QUANTILES = [0.5, 0.9, 0.95, 0.99]
 
 
@@ -84,7 +86,9 @@ def counter_means(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
 
 def medians_against(runs: DataFrame, baseline: str) -> DataFrame:
     """Median per condition and metric over repeated runs, and the baseline's median divided by it."""
-    med = runs.groupBy("condition", "metric").agg(F.median(F.col("value").cast("double")).alias("median"))
+    med = exact_quantiles(runs, ["condition", "metric"], F.col("value"), {"median": 0.5})
+    known = runs.select("condition", "metric").distinct()  # conditions without a value have a null median
+    med = known.join(med, ["condition", "metric"], "left")
     base = med.filter(F.col("condition") == baseline).select("metric", F.col("median").alias("_b"))
     return med.join(base, "metric", "left").select(
         "condition", "metric", "median", F.when(F.col("median") != 0, F.col("_b") / F.col("median")).alias("ratio"))
@@ -116,9 +120,10 @@ def probe_stats(calls: DataFrame, *keys: str) -> DataFrame:
     """Calls, outcomes and the exact min, median and max of successful calls."""
     ok = F.trim("http") == "200"
     secs = F.when(ok, F.col("seconds").try_cast("double"))
-    return calls.groupBy(*keys).agg(
-        F.count("*").alias("calls"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.min(secs).alias("min_s"),
-        F.percentile(secs, F.lit(0.5)).alias("median_s"), F.max(secs).alias("max_s"))
+    counts = calls.groupBy(*keys).agg(
+        F.count("*").alias("calls"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.min(secs).alias("min_s"), F.max(secs).alias("max_s"))
+    return counts.join(exact_quantiles(calls, list(keys), secs, {"median_s": 0.5}), list(keys), "left").select(
+        *keys, "calls", "ok", "failed", "min_s", "median_s", "max_s")
 
 
 def log_levels(logs: DataFrame) -> DataFrame:

@@ -1,12 +1,10 @@
-"""Previous / next row of a series without one task per series.
+"""Time spans of a series, and the rows around a span's edges that its frames reach.
 
-A plain ``lag`` puts the whole history of a symbol into one task. Here a series is cut into time
-spans: the window runs inside (key, span), and the rows at a span edge take their neighbour from a
-table with one row per span.
+A plain window puts the whole history of a symbol into one task. With spans it runs inside (key, span).
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tickloom.functions.timeparse import seconds
 
@@ -15,32 +13,6 @@ def with_span(df: DataFrame, ts: str, span_seconds: int) -> DataFrame:
     return df.withColumn("_span", F.floor(seconds(ts) / span_seconds))
 
 
-def _with_neighbor(df, keys, ts, cols, span_seconds, forward: bool, prefix: str) -> DataFrame:
-    df = with_span(df, ts, span_seconds)
-    inner = Window.partitionBy(*keys, "_span").orderBy(ts)
-    outer = Window.partitionBy(*keys).orderBy("_span")
-    step = F.lead if forward else F.lag
-    edge_of = F.min_by if forward else F.max_by
-    edges = df.groupBy(*keys, "_span").agg(*[edge_of(c, ts).alias(f"_e_{c}") for c in cols])
-    edges = edges.select(*keys, "_span", *[step(f"_e_{c}").over(outer).alias(f"_edge_{c}") for c in cols])
-    df = df.withColumns({f"_in_{c}": step(c).over(inner) for c in cols})
-    df = df.withColumn("_has", step(F.lit(1)).over(inner).isNotNull())
-    joined = df.join(edges, [*keys, "_span"], "left")
-    for c in cols:
-        joined = joined.withColumn(f"{prefix}{c}", F.when(F.col("_has"), F.col(f"_in_{c}")).otherwise(F.col(f"_edge_{c}")))
-    return joined.drop("_span", "_has", *[f"_in_{c}" for c in cols], *[f"_edge_{c}" for c in cols])
-
-
-def with_previous(df: DataFrame, keys, ts: str, cols, span_seconds: int) -> DataFrame:
-    """Add ``prev_<col>`` for each column, in time order per key."""
-    return _with_neighbor(df, list(keys), ts, list(cols), span_seconds, False, "prev_")
-
-
-def with_next(df: DataFrame, keys, ts: str, cols, span_seconds: int) -> DataFrame:
-    """Add ``next_<col>`` for each column, in time order per key."""
-    return _with_neighbor(df, list(keys), ts, list(cols), span_seconds, True, "next_")
-
-
 def with_halo(df: DataFrame, ts: str, span_seconds: int, before_seconds: int, after_seconds: int) -> DataFrame:
     """Copy rows near a span edge into the neighbouring span(s), marked ``_halo``.
 

@@ -1,6 +1,6 @@
 """Close series: regular grid, outliers, interpolation, returns, volatility, validation.
 
-Minute series can be long, so their windows run over time spans (see ``neighbors``); a span holds a
+Minute series can be long, so their windows run over time spans (see ``spans``); a span holds a
 bounded number of rows however much of the data one symbol owns.
 """
 from __future__ import annotations
@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.timeparse import from_seconds, seconds
-from .neighbors import with_halo, with_next, with_previous
+from .neighbors import with_halo
+from .spans import SPAN_ROWS, span_of, with_context
 
-SPAN_ROWS = 4096
 # Outlier rule and the least number of observations a model needs.
 OUTLIER_WINDOW, OUTLIER_MIN, OUTLIER_Z, MIN_OBS = 20, 5, 8.0, 50
 
@@ -46,48 +46,64 @@ def regular_grid(series: DataFrame, keys: list[str], ts: str, value: str, step:
 
     Each observation fills the gap up to the next one, so no row ever needs the whole series.
     """
-    nxt = with_next(series.select(*keys, ts, value), keys, ts, [ts], step * SPAN_ROWS)
+    nxt = with_context(series.select(*keys, ts, value), keys, ts, span_of(step, SPAN_ROWS), following=(ts,))
     start, stop = seconds(ts), F.coalesce(seconds(f"next_{ts}") - step, seconds(ts))
     slots = nxt.select(*keys, F.col(ts).alias("_obs"), value, F.explode(F.sequence(start, stop, F.lit(step).cast("long"))).alias("_s"))
     at = from_seconds("_s")
     return slots.select(*keys, at.alias(ts), F.when(at == F.col("_obs").cast("timestamp_ntz"), F.col(value)).alias(value))
 
 
-def drop_outliers(grid: DataFrame, keys: list[str], ts: str, value: str, step: int, z: float = OUTLIER_Z) -> DataFrame:
-    """NULL the values far from the centred rolling median of 20 grid rows.
+def _marked(grid: DataFrame, keys: list[str], ts: str, value: str, step: int, z: float) -> DataFrame:
+    """The grid without its outliers, still dealt by key and ``_span``.
 
-    The rule is |residual| > z times the sample deviation of all residuals of the series, and holds
-    for series with more than ten observations.
+    The deviation of a series' residuals comes from one row per span (count, mean, squared deviations), so the rows never meet by
+    their bare key.
     """
-    half = OUTLIER_WINDOW // 2
+    half, span = OUTLIER_WINDOW // 2, span_of(step, SPAN_ROWS)
     v = F.col(value).cast("double")
-    spread = with_halo(grid, ts, step * SPAN_ROWS, half * step, half * step)
+    spread = with_halo(grid, ts, span, half * step, half * step) if span else grid.withColumns({"_span": F.lit(0), "_halo": F.lit(False)})
     w = Window.partitionBy(*keys, "_span").orderBy(ts).rowsBetween(-half, half - 1)
     med = F.when(F.count(v).over(w) >= OUTLIER_MIN, F.percentile(v, F.lit(0.5)).over(w))
-    resid = spread.withColumn("_resid", v - med).filter(~F.col("_halo")).drop("_halo", "_span")
-    stats = resid.groupBy(*keys).agg(F.stddev_samp("_resid").alias("_sd"), F.count(value).alias("_n"))
-    marked = resid.join(stats, keys)
+    # dealt once more, so that the medians are not computed for each of the steps that read the residuals
+    resid = spread.withColumn("_resid", v - med).filter(~F.col("_halo")).drop("_halo").repartition(*keys, "_span")
+    spans = resid.groupBy(*keys, "_span").agg(F.count("_resid").alias("_c"), F.avg("_resid").alias("_m"),
+                                              (F.var_pop("_resid") * F.count("_resid")).alias("_q"), F.count(value).alias("_o"))
+    whole = Window.partitionBy(*keys)
+    total = F.sum("_c").over(whole)
+    spans = spans.withColumn("_mean", F.sum(F.col("_m") * F.col("_c")).over(whole) / total)
+    squares = F.sum(F.col("_q") + F.col("_c") * F.pow(F.col("_m") - F.col("_mean"), 2)).over(whole)
+    stats = spans.select(*keys, "_span", F.when(total > 1, F.sqrt(squares / (total - 1))).alias("_sd"), F.sum("_o").over(whole).alias("_n"))
     out = (F.col("_n") > 10) & (F.col("_sd") > 0) & (F.abs("_resid") > F.col("_sd") * z)
-    return marked.withColumn(value, F.when(~F.coalesce(out, F.lit(False)), F.col(value))).drop("_resid", "_sd", "_n")
+    return resid.join(stats, [*keys, "_span"]).withColumn(value, F.when(~F.coalesce(out, F.lit(False)), F.col(value))).drop("_resid", "_sd", "_n")
+
+
+def drop_outliers(grid: DataFrame, keys: list[str], ts: str, value: str, step: int, z: float = OUTLIER_Z) -> DataFrame:
+    """NULL the values far from the centred rolling median of 20 grid rows.
+
+    The rule is |residual| > z times the sample deviation of all residuals of the series, and holds
+    for series with more than ten observations.
+    """
+    return _marked(grid, keys, ts, value, step, z).drop("_span")
 
 
 def interpolate(grid: DataFrame, keys: list[str], ts: str, value: str, step: int) -> DataFrame:
-    """Time-linear between observations, the nearest one before the first and after the last."""
-    v = F.col(value).cast("double")
-    ends = grid.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    obs = grid.filter(F.col(value).isNotNull()).select(*keys, ts, v.alias(value))
-    span = step * SPAN_ROWS
-    linked = with_previous(with_next(obs, keys, ts, [ts, value], span), keys, ts, [ts], span).join(ends, keys)
-    here, nxt = seconds(ts), seconds(f"next_{ts}")
-    first = F.col(f"prev_{ts}").isNull()
-    start = F.when(first, seconds("_lo")).otherwise(here)
-    stop = F.coalesce(nxt - step, seconds("_hi"))
-    slots = linked.withColumns({"_h": here, "_n": nxt}).withColumn(
-        "_s", F.explode(F.sequence(start, stop, F.lit(step).cast("long"))))
-    inside = (F.col("_s") > F.col("_h")) & F.col("_n").isNotNull()
-    share = (F.col("_s") - F.col("_h")) / (F.col("_n") - F.col("_h"))
-    filled = F.when(inside, F.col(value) + (F.col(f"next_{value}") - F.col(value)) * share).otherwise(F.col(value))
-    return slots.select(*keys, from_seconds("_s").alias(ts), filled.alias(value))
+    """Time-linear between observations, the nearest one before the first and after the last.
+
+    Both neighbours of every row come from one pass over the spans. A series without any observation gives no rows.
+    """
+    v, at = F.col(value).cast("double"), seconds(ts)
+    seen = F.when(v.isNotNull(), F.struct(at.alias("s"), v.alias("v")))
+    span = [c for c in grid.columns if c == "_span"]
+    both = with_context(grid.select(*keys, ts, v.alias(value), *span), keys, ts, span_of(step, SPAN_ROWS), known={"seen": seen})
+    a, b = F.col("last_seen"), F.col("first_seen")
+    share = (at - a["s"]) / (b["s"] - a["s"])
+    filled = F.when(v.isNotNull(), v).when(a.isNotNull() & b.isNotNull(), a["v"] + (b["v"] - a["v"]) * share).otherwise(F.coalesce(a["v"], b["v"]))
+    return both.filter(a.isNotNull() | b.isNotNull()).select(*keys, F.col(ts).cast("timestamp_ntz").alias(ts), filled.alias(value))
+
+
+def fill_gaps(grid: DataFrame, keys: list[str], ts: str, value: str, step: int, z: float = OUTLIER_Z) -> DataFrame:
+    """Outliers out, then interpolated: the rows are dealt by key and span once for both."""
+    return interpolate(_marked(grid, keys, ts, value, step, z), keys, ts, value, step)
 
 
 def by_row(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
@@ -107,10 +123,10 @@ def clean(series: DataFrame, keys: list[str], ts: str, value: str, step: int, lo
     one = series.groupBy(*keys, ts).agg(F.max_by(value, load_order or value).alias(value))
     if regular:
         grid = regular_grid(one, keys, ts, value, step)
-        whole = interpolate(drop_outliers(grid, keys, ts, value, step), keys, ts, value, step)
+        whole = fill_gaps(grid, keys, ts, value, step)
     else:
         rows = by_row(one, keys, ts)
-        filled = interpolate(drop_outliers(rows.drop("_at"), keys, ts, value, 1), keys, ts, value, 1)
+        filled = fill_gaps(rows.drop("_at"), keys, ts, value, 1)
         whole = filled.join(rows.select(*keys, ts, "_at"), [*keys, ts]).select(*keys, F.col("_at").alias(ts), value)
     enough = whole.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= MIN_OBS).select(*keys)
     return whole.join(enough, keys, "left_semi")
@@ -125,7 +141,7 @@ def validate(series: DataFrame, keys: list[str], ts: str, value: str, step: int,
     v = F.col(value).cast("double")
     dup = series.groupBy(*keys, ts).agg(F.count("*").alias("_n"), F.min(v).alias("_v"),
                                         F.count_if(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))).alias("_bad"))
-    linked = with_previous(dup, keys, ts, [ts], step * SPAN_ROWS)
+    linked = with_context(dup, keys, ts, span_of(step, SPAN_ROWS), prev=(ts,))
     gap = seconds(ts) - seconds(f"prev_{ts}")
     broken = F.lit(False) if not gaps else (gap != step) if exact else (gap > step)
     agg = linked.groupBy(*keys).agg(

@@ -1,13 +1,14 @@
 """Strategies: functions from ordered bars to a signal column, without look-ahead.
 
-``STRATEGIES`` is the registry; a strategy takes (bars, book keys, time column, parameters) and adds
-``signal``.
+``STRATEGIES`` is the registry; a strategy takes (bars, book keys, time column, parameters, seconds from bar to bar) and
+adds ``signal``. Books of any length run in spans of bars (see ``spans``).
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .recurrence import decayed_sums
+from .spans import DAY, SPAN_ROWS, span_of, with_context, with_row_chunks
 
 # Default parameters.
 DEFAULTS = {
@@ -17,50 +18,51 @@ DEFAULTS = {
 }
 
 
-def buy_and_hold(bars: DataFrame, keys: list[str], t: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(t)
-    return bars.withColumn("signal", F.when(F.row_number().over(w) == 1, "BUY").otherwise("HOLD"))
+def buy_and_hold(bars: DataFrame, keys: list[str], t: str, step: int = DAY) -> DataFrame:
+    seen = with_context(bars.withColumn("_one", F.lit(1)), keys, t, span_of(step, SPAN_ROWS), prev=("_one",))
+    return seen.withColumn("signal", F.when(F.col("prev__one").isNull(), "BUY").otherwise("HOLD")).drop("_one", "prev__one")
 
 
-def crossover_signal(w, short: int, long: int, close: str = "close") -> tuple[dict, Column]:
-    """Helper columns and the signal of a moving-average crossover."""
-    if not 1 <= short < long:
+def ma_crossover(bars: DataFrame, keys: list[str], t: str, shortPeriod: int = 5, longPeriod: int = 20, step: int = DAY) -> DataFrame:
+    """Crossings of two moving averages. Rows are numbered and cut into chunks that bring the rows their frames reach back to."""
+    if not 1 <= shortPeriod < longPeriod:
         raise ValueError("require 1 <= shortPeriod < longPeriod")
-    price = F.col(close).cast("double")
-    cols = {"_s": F.avg(price).over(w.rowsBetween(-(short - 1), 0)), "_l": F.avg(price).over(w.rowsBetween(-(long - 1), 0))}
+    numbered = with_context(bars, keys, t, span_of(step, SPAN_ROWS), number="_i")
+    whole = span_of(step) is None
+    cut = numbered if whole else with_row_chunks(numbered, "_i", max(SPAN_ROWS, longPeriod + 1), longPeriod)
+    w = Window.partitionBy(*keys).orderBy(t) if whole else Window.partitionBy(*keys, "_chunk").orderBy(t)
+    price = F.col("close").cast("double")
+    cut = cut.withColumns({"_s": F.avg(price).over(w.rowsBetween(-(shortPeriod - 1), 0)), "_l": F.avg(price).over(w.rowsBetween(-(longPeriod - 1), 0))})
     ps, pl = F.lag("_s").over(w), F.lag("_l").over(w)
     golden = (ps <= pl) & (F.col("_s") > F.col("_l"))
     dead = (ps >= pl) & (F.col("_s") < F.col("_l"))
-    ready = F.row_number().over(w) > long
-    return cols, F.when(ready & golden, "BUY").when(ready & dead, "SELL").otherwise("HOLD")
-
-
-def ma_crossover(bars: DataFrame, keys: list[str], t: str, shortPeriod: int = 5, longPeriod: int = 20) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(t)
-    cols, signal = crossover_signal(w, shortPeriod, longPeriod)
-    return bars.withColumns(cols).withColumn("signal", signal).drop("_s", "_l")
-
-
-def with_rsi(bars: DataFrame, keys: list[str], t: str, period: int) -> DataFrame:
-    """Wilder RSI over the full history; NULL up to the seed row, which only seeds."""
-    w = Window.partitionBy(*keys).orderBy(t)
-    d = F.col("close").cast("double") - F.lag(F.col("close").cast("double")).over(w)
-    zero = F.lit(0.0)
-    seen = bars.withColumns({"_i": F.row_number().over(w) - 1, "_g": F.greatest(d, zero), "_b": F.greatest(-d, zero)})
-    frame = w.rowsBetween(-(period - 1), 0)
-    at_seed = F.col("_i") == period
-    x = lambda c: F.when(F.col("_i") < period, zero).when(at_seed, F.avg(c).over(frame)).otherwise(F.col(c) / period)
-    fed = seen.withColumns({"_xg": x("_g"), "_xb": x("_b")})
-    run = decayed_sums(fed, keys, "_i", {"_ag": "_xg", "_ab": "_xb"}, (period - 1) / period)
+    ready = F.col("_i") >= longPeriod
+    signal = F.when(ready & golden, "BUY").when(ready & dead, "SELL").otherwise("HOLD")
+    out = cut.withColumn("signal", signal)
+    return (out if whole else out.filter(~F.col("_halo"))).drop("_s", "_l", "_i", "_chunk", "_halo")
+
+
+def with_rsi(bars: DataFrame, keys: list[str], t: str, period: int, step: int = DAY) -> DataFrame:
+    """Wilder RSI over the full history; NULL up to the seed row, which only seeds.
+
+    The seed is the mean of the first ``period`` moves. Fed as moves grown by what the decay takes from them until the seed row, they
+    sum to that mean there, so no row has to find its series' beginning.
+    """
+    bars = bars.withColumn("_close", F.col("close").cast("double"))
+    seen = with_context(bars, keys, t, span_of(step, SPAN_ROWS), prev=("_close",), number="_i")
+    d, zero, a = F.col("_close") - F.col("prev__close"), F.lit(0.0), (period - 1) / period
+    grown = F.when(F.col("_i") <= period, F.pow(F.lit(a), (F.col("_i") - period).cast("double"))).otherwise(1.0)
+    fed = seen.withColumns({"_xg": F.greatest(d, zero) / period * grown, "_xb": F.greatest(-d, zero) / period * grown})
+    run = decayed_sums(fed, keys, "_i", {"_ag": "_xg", "_ab": "_xb"}, a)
     value = F.when(F.col("_ab") == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + F.col("_ag") / F.col("_ab")))
-    return run.withColumn("rsi", F.when(F.col("_i") > period, value)).drop("_i", "_g", "_b", "_xg", "_xb", "_ag", "_ab")
+    return run.withColumn("rsi", F.when(F.col("_i") > period, value)).drop("_i", "_close", "prev__close", "_xg", "_xb", "_ag", "_ab")
 
 
 def rsi_signals(bars: DataFrame, keys: list[str], t: str, period: int = 14, oversold: float = 30.0,
-                overbought: float = 70.0) -> DataFrame:
+                overbought: float = 70.0, step: int = DAY) -> DataFrame:
     if period < 2 or not 0 < oversold < overbought < 100:
         raise ValueError("require period >= 2 and 0 < oversold < overbought < 100")
-    r = with_rsi(bars, keys, t, period)
+    r = with_rsi(bars, keys, t, period, step)
     signal = F.when(F.col("rsi") <= oversold, "BUY").when(F.col("rsi") >= overbought, "SELL").otherwise("HOLD")
     return r.withColumn("signal", signal).drop("rsi")
 
@@ -68,8 +70,8 @@ def rsi_signals(bars: DataFrame, keys: list[str], t: str, period: int = 14, over
 STRATEGIES = {"BUY_AND_HOLD": buy_and_hold, "MA_CROSSOVER": ma_crossover, "RSI": rsi_signals}
 
 
-def signals_for(strategy: str, bars: DataFrame, keys: list[str], t: str, params: dict | None = None) -> DataFrame:
-    """Signals of a named strategy; text parameters are read as numbers."""
+def signals_for(strategy: str, bars: DataFrame, keys: list[str], t: str, params: dict | None = None, step: int = DAY) -> DataFrame:
+    """Signals of a named strategy; text parameters are read as numbers. ``step``: seconds from bar to bar."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unsupported strategy: {strategy}")
     chosen = {}
@@ -79,13 +81,13 @@ def signals_for(strategy: str, bars: DataFrame, keys: list[str], t: str, params:
             chosen[name] = type(default)(raw)
         except (TypeError, ValueError):
             raise ValueError(f"Parameter '{name}' must be a number, got: {raw}") from None
-    return STRATEGIES[strategy](bars, keys, t, **chosen)
+    return STRATEGIES[strategy](bars, keys, t, step=step, **chosen)
 
 
-def delayed(signals: DataFrame, keys: list[str], t: str, initial: Column) -> DataFrame:
+def delayed(signals: DataFrame, keys: list[str], t: str, initial: Column, step: int = DAY) -> DataFrame:
     """Signal of bar i-1 executes on bar i; the first bar takes ``initial``."""
-    w = Window.partitionBy(*keys).orderBy(t)
-    return signals.withColumn("signal", F.coalesce(F.lag("signal").over(w), initial))
+    linked = with_context(signals, keys, t, span_of(step, SPAN_ROWS), prev=("signal",))
+    return linked.withColumn("signal", F.coalesce("prev_signal", initial)).drop("prev_signal")
 
 
 def classify(expected_pct: Column, threshold_pct: Column) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.pricing import sane_candle
 from tickloom.functions.timeparse import seconds
+from .neighbors import with_halo
 
 # Readiness limits.
 MIN_HISTORY, EXTREME_MOVE = 50, 0.5
@@ -85,9 +86,9 @@ def intraday_readiness(minutes: DataFrame, start: Column, end: Column, minimum_h
 LAG_HIGH, LAG_GROWING, MARGIN_LOW, LAG_AT_RISK = 50000, 10000, 1000, 100
 
 
-def _held(cond: str, group: str, seconds_: int) -> Column:
+def _held(cond: str, seconds_: int) -> Column:
     """The condition is true at every sample of the last ``seconds_``, and samples reach back that far."""
-    w = Window.partitionBy(group).orderBy("_t").rangeBetween(-seconds_, 0)
+    w = Window.partitionBy("group_id", "_span").orderBy("_t").rangeBetween(-seconds_, 0)
     return F.every(cond).over(w) & (F.min("_t").over(w) <= F.col("_t") - seconds_)
 
 
@@ -95,12 +96,13 @@ def lag_alerts(samples: DataFrame) -> DataFrame:
     """Alert states per group and sample time.
 
     ``samples``: group_id, partition, ts, lag, margin. They are summed per group and time first, so the
-    windows see one row per group and sample time.
+    windows see one row per group and sample time. A group's samples are cut into days; each day brings the half hour before
+    it, as far as a growth alert looks back (a quarter of slopes, each over a quarter of samples).
     """
     at_risk = F.min(F.when(F.col("lag") > LAG_AT_RISK, F.col("margin")))
     g = samples.groupBy("group_id", "ts").agg(F.sum("lag").alias("total_lag"), at_risk.alias("min_margin"))
-    g = g.withColumn("_t", seconds("ts"))
-    quarter = Window.partitionBy("group_id").orderBy("_t").rangeBetween(-900, 0)
+    g = with_halo(g, "ts", 86400, 1800, 0).withColumn("_t", seconds("ts"))
+    quarter = Window.partitionBy("group_id", "_span").orderBy("_t").rangeBetween(-900, 0)
     # time relative to the row keeps the slope exact for large epochs; a shift does not change it
     slope = F.regr_slope(F.col("total_lag").cast("double"), (F.col("_t") - F.lit(1_700_000_000)).cast("double")).over(quarter)
     g = g.withColumn("slope", slope)
@@ -108,5 +110,5 @@ def lag_alerts(samples: DataFrame) -> DataFrame:
         "_high": F.col("total_lag") > LAG_HIGH,
         "_grow": F.coalesce((F.col("slope") > 0) & (F.col("total_lag") > LAG_GROWING), F.lit(False)),
         "_cliff": F.coalesce(F.col("min_margin") < MARGIN_LOW, F.lit(False))})
-    return g.select("group_id", "ts", "total_lag", _held("_high", "group_id", 300).alias("lag_high"),
-                    _held("_grow", "group_id", 900).alias("lag_growing"), _held("_cliff", "group_id", 120).alias("near_retention"))
+    held = g.withColumns({"lag_high": _held("_high", 300), "lag_growing": _held("_grow", 900), "near_retention": _held("_cliff", 120)})
+    return held.filter(~F.col("_halo")).select("group_id", "ts", "total_lag", "lag_high", "lag_growing", "near_retention")

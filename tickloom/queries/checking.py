@@ -284,7 +284,7 @@ def outliers(spark, sf):
 @query("WIN18_interpolated", SPIKED + f" SELECT symbol, ts, {rs('close', 'close', 4, 10)} FROM ip")
 def interpolated(spark, sf):
     grid = R.regular_grid(spiked(spark, sf), ["symbol"], "ts", "close", DAY_S)
-    out = R.interpolate(R.drop_outliers(grid, ["symbol"], "ts", "close", DAY_S), ["symbol"], "ts", "close", DAY_S)
+    out = R.fill_gaps(grid, ["symbol"], "ts", "close", DAY_S)
     return out.select("symbol", "ts", F.round(F.col("close").cast("decimal(28,10)"), 4).alias("close"))
 
 

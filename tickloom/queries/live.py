@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import backtest as B, candles as C, maintenance as MT, normalize as N, signals as G
 from tickloom.plans import daily as DP, repair as RP
-from tickloom.session import work_path
-from tickloom.sources import adapters as A, sinks as S
-from tickloom.streaming import jobs as J
+from tickloom.session import drop_path, work_path
+from tickloom.sources import adapters as A, commits as CM, sinks as S
+from tickloom.streaming import jobs as J, prices as PS
 from .merging import FAILED, MERGE2_SQL, NUMS, OFFICIAL, STORED_FIX, daily_stored, failed_records, official_daily, official_minutes, with_day
 from .normalizing import event_rows
 from .registry import query
 from .shapes import D, NTZ, TS, stored_candles
-from .technical import CROSS, KEYS, W, _curve, _engine, r, rs
+from .technical import BASE, CROSS, FRAMES, K, KEYS, RSI, W, _curve, _engine, _mean, r, rs
 
 DENSE = f"WITH {A.SQL_DENSE}, {A.SQL_MINUTES}"
 CANDLES = f"{DENSE} SELECT symbol, source, bucket, {NUMS}, trade_count FROM minutes"
@@ -85,6 +85,32 @@ def latest_prices(spark, sf):
     return J.newest_snapshots(spark, path).select("symbol", "price", "ts", "change", "change_percent")
 
 
+BAD_PRICES = f"""WITH {A.SQL_TICKS}, prev AS (SELECT symbol, arg_max(price, ts) AS prev_close FROM ticks WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1),
+g AS (SELECT * FROM ticks WHERE event_id % 30 <> 0), n AS (SELECT symbol, arg_max(price, (ts, event_id)) AS price, max(ts) AS ts FROM g GROUP BY 1)"""
+
+
+def expiring(spark, sf):
+    """The tick stream with every thirtieth price zero, kept as state that expires after 60 seconds without a tick."""
+    t = A.ticks(spark, sf)
+    prev = t.filter(F.col("ts") < TS("2024-01-20 00:00:00")).groupBy("symbol").agg(F.max_by("price", "ts").alias("prev_close"))
+    price = F.when(F.col("event_id") % 30 == 0, F.lit(0).cast("decimal(24,8)")).otherwise(F.col("price"))
+    path, dead = work_path(spark, "expiring"), work_path(spark, "dead-prices")
+    PS.expiring_prices_into(spark, tick_stream(spark, sf).withColumn("price", price), prev, path, dead)
+    return path, dead
+
+
+@query("STR5_expiring_prices", BAD_PRICES + """ SELECT symbol, CAST(price AS DOUBLE) AS price, ts, CAST(price - prev_close AS DOUBLE) AS change,
+ CAST(round(round(CAST(CAST(price - prev_close AS DOUBLE) / CAST(prev_close AS DOUBLE) AS DECIMAL(30,12)), 4) * 100, 2) AS DOUBLE) AS change_percent,
+ date_trunc('millisecond', ts) + INTERVAL 60 SECOND > (SELECT date_trunc('millisecond', max(ts)) FROM g) AS active FROM n JOIN prev USING (symbol)""")
+def expiring_prices(spark, sf):
+    return spark.read.parquet(expiring(spark, sf)[0]).select("symbol", "price", "ts", "change", "change_percent", "active")
+
+
+@query("STR5_dead_prices", f"WITH {A.SQL_TICKS} SELECT event_id, symbol, source, trade_id, ts FROM ticks WHERE event_id % 30 = 0")
+def dead_prices(spark, sf):
+    return spark.read.parquet(expiring(spark, sf)[1]).select("event_id", "symbol", "source", "trade_id", "ts")
+
+
 def _event_stream(spark, sf):
     schema = A.table(spark, sf, "events").schema
     return event_rows(J.read_files(spark, sf, schema, "events.parquet").select(*A.tick_columns()))
@@ -104,9 +130,10 @@ def topic_records(spark, sf):
     path, dead = work_path(spark, "ok"), work_path(spark, "dead")
 
     def write(batch, batch_id):
-        parsed = N.parse_events(batch, keep=("event_id",))
-        J.batch_table(path)(parsed.filter("is_valid").drop("violations"), batch_id)
-        J.batch_table(dead)(parsed.filter("NOT is_valid").select("event_id", "raw"), batch_id)
+        parsed, stage = S.staged(spark, N.parse_events(batch, keep=("event_id",)).withColumn("part", F.col("event_id") % 4), "topic-batch")
+        S.append_new(spark, parsed.filter("is_valid").drop("violations"), path, ["event_id", "raw"], "part")
+        S.append_new(spark, parsed.filter("NOT is_valid").select("event_id", "raw", "part"), dead, ["event_id", "raw"], "part")
+        drop_path(spark, stage)
 
     J.drain(_event_stream(spark, sf), "topic", write)
     n = lambda p, o: spark.read.parquet(p).agg(F.lit(o).alias("outcome"), F.count("*").alias("n"))
@@ -133,17 +160,30 @@ ROUTED = FAILED + """, k AS (SELECT retry_count, CASE code WHEN 'TIMEOUT' THEN '
  WHEN 'ILLEGAL_ARGUMENT' THEN 'VALIDATION_ERROR' WHEN 'DATA_ACCESS' THEN 'STORAGE_ERROR' WHEN 'OTHER' THEN 'PROCESSING_ERROR' ELSE 'UNKNOWN_ERROR' END AS error_type FROM e)"""
 
 
-@query("STR8_dead_letters", ROUTED + """ SELECT error_type, CAST(CASE WHEN error_type IN ('STORAGE_CONNECTION_ERROR', 'STORAGE_ERROR', 'TIMEOUT_ERROR')
- THEN greatest(retry_count, 3) ELSE retry_count END AS BIGINT) AS retry_count, count(*) AS n FROM k GROUP BY 1, 2""")
-def routed_failures(spark, sf):
-    """Failures routed by a stream; the retry table is streamed again until no attempt is left."""
+def routed(spark, sf, runs=1):
+    """Failures routed by a stream; the retry store is streamed until no attempt is left. More runs start with new checkpoints."""
     source, dead, retry = work_path(spark, "failed"), work_path(spark, "dead"), work_path(spark, "retry")
-    failed = failed_records(spark, sf).select("offset", "symbol", "value", "error_type", "error_message", "retry_count")
+    failed = failed_records(spark, sf).select(F.lit("ticks").alias("topic"), "partition", "offset", "symbol", "value", "error_type", "error_message", "retry_count")
     S.write_table(failed, source)
-    for attempt in range(J.MAX_RETRIES + 1):
-        path = source if attempt == 0 else f"{retry}/round={attempt - 1}/*"
-        J.route_into(spark, J.read_files(spark, path, failed.schema), dead, retry, attempt)
-    return spark.read.parquet(dead).groupBy("error_type", "retry_count").agg(F.count("*").alias("n"))
+    for _ in range(runs):
+        J.route_into(spark, J.read_files(spark, source, failed.schema), dead, retry)
+        J.retry_all(spark, failed.schema, dead, retry)
+    return spark.read.parquet(dead)
+
+
+DEAD_LETTERS = ROUTED + """ SELECT error_type, CAST(CASE WHEN error_type IN ('STORAGE_CONNECTION_ERROR', 'STORAGE_ERROR', 'TIMEOUT_ERROR')
+ THEN greatest(retry_count, 3) ELSE retry_count END AS BIGINT) AS retry_count, count(*) AS n FROM k GROUP BY 1, 2"""
+
+
+@query("STR8_dead_letters", DEAD_LETTERS)
+def routed_failures(spark, sf):
+    return routed(spark, sf).groupBy("error_type", "retry_count").agg(F.count("*").alias("n"))
+
+
+@query("STR8_replayed", DEAD_LETTERS)
+def replayed_failures(spark, sf):
+    """The whole source once more with new checkpoints: every dead letter is still there, and there once."""
+    return routed(spark, sf, 2).groupBy("error_type", "retry_count").agg(F.count("*").alias("n"))
 
 
 # -- upkeep --------------------------------------------------------------------------------------
@@ -270,6 +310,51 @@ def filled_minutes(spark, sf):
     return RP.fill(candles, official_minutes(m), traded, *span())[0].select("symbol", "source", "bucket", "origin")
 
 
+@query("VAL9_repair_run", REPAIR + """, o AS (SELECT gp.symbol, count(one.bucket) AS offered FROM gp LEFT JOIN one ON one.symbol = gp.symbol AND one.source = 'BINANCE'
+  AND one.bucket >= gp.start_at AND one.bucket < TIMESTAMP '2024-01-01 05:00:00' WHERE expected > present GROUP BY 1)
+SELECT count(*) AS symbols_checked, count(*) FILTER (expected > present) AS symbols_with_gaps, CAST(sum(greatest(0, expected - present)) AS BIGINT) AS missing_minutes,
+ CAST(coalesce(sum(offered), 0) AS BIGINT) AS filled,
+ CAST(coalesce(sum(CASE WHEN expected > present THEN greatest(0, expected - coalesce(offered, 0)) END), 0) AS BIGINT) AS unfillable FROM gp LEFT JOIN o USING (symbol)""")
+def repair_run(spark, sf):
+    """The repair on a stored table: only days of the range are read, only changed days written."""
+    m, candles, traded = repair_inputs(spark, sf)
+    table = work_path(spark, "stored")
+    S.write_table(with_day(candles, "bucket"), table, "day")
+    return RP.fill_into(spark, table, official_minutes(m), traded, *span())
+
+
+CONFIRM = OFFICIAL + f""", s AS ({STORED_FIX}), dy AS (SELECT symbol, CAST(ts AS DATE) AS trade_date, source, market_type, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low,
+ arg_max(price, ts) AS close, count(*) AS tick_count FROM dense GROUP BY ALL)"""
+
+
+def confirmed(spark, sf):
+    """2024-01-01 confirmed on two stored tables by one commit; a second run finds the same and changes nothing."""
+    t = A.ticks(spark, sf, dense=True)
+    m, days = C.minute_ohlcv(t), C.daily_ohlcv(t)
+    root = work_path(spark, "confirmed")
+    daily = days.withColumn("origin", F.lit(None).cast("string"))
+    RP.store_candles(spark, root, stored_candles(m), daily)
+    official = days.select("symbol", "source", F.col("trade_date").cast(NTZ).alias("bucket"), "open", "high", "low",
+                           (F.col("close") + 1).cast("decimal(24,8)").alias("close"), "volume", F.col("tick_count").alias("trade_count"))
+    runs = [RP.confirm_day_into(spark, root, official_minutes(m), official, t.select("symbol").distinct(), "2024-01-01") for _ in range(2)]
+    return root, runs
+
+
+@query("VAL10_committed_days", CONFIRM + """ SELECT symbol, trade_date, source, CAST(close + CASE WHEN source = 'BINANCE' AND trade_date = DATE '2024-01-01' THEN 1 ELSE 0 END AS DOUBLE) AS close,
+ CASE WHEN source = 'BINANCE' AND trade_date = DATE '2024-01-01' THEN 'EXCHANGE' END AS origin, tick_count FROM dy""")
+def committed_days(spark, sf):
+    root, _ = confirmed(spark, sf)
+    return RP.stored_days(spark, root).select("symbol", "trade_date", "source", "close", "origin", "tick_count")
+
+
+@query("VAL10_committed_minutes", MERGE2_SQL + """ SELECT symbol, source, bucket, CASE WHEN ours THEN r.close ELSE s0.close END AS close, CASE WHEN ours THEN r.origin ELSE s0.origin END AS origin
+ FROM (SELECT *, source = 'BINANCE' AND bucket < TIMESTAMP '2024-01-02' AS ours FROM r) r
+ LEFT JOIN (SELECT symbol, source, bucket, CAST(close AS DOUBLE) AS close, origin FROM s) s0 USING (symbol, source, bucket) WHERE ours OR s0.symbol IS NOT NULL""")
+def committed_minutes(spark, sf):
+    root, _ = confirmed(spark, sf)
+    return RP.stored_minutes(spark, root).select("symbol", "source", "bucket", "close", "origin")
+
+
 @query("VAL10_confirmed_minutes", MERGE2_SQL + """ SELECT symbol, source, bucket, CASE WHEN source = 'BINANCE' THEN r.close ELSE s0.close END AS close,
  CASE WHEN source = 'BINANCE' THEN r.origin ELSE s0.origin END AS origin FROM r LEFT JOIN (SELECT symbol, source, bucket, CAST(close AS DOUBLE) AS close, origin FROM s) s0 USING (symbol, source, bucket)
  WHERE source = 'BINANCE' OR s0.symbol IS NOT NULL""")
@@ -297,6 +382,55 @@ def daily_job(spark, sf):
     return DP.run(spark, A.ticks(spark, sf))["validation"]
 
 
+DAILY_BARS = f"""{DAILY_TICKS}, bars AS (SELECT d.symbol, d.trade_date, arg_min(d.open, d.source) AS open, arg_min(d.high, d.source) AS high, arg_min(d.low, d.source) AS low,
+ arg_min(d.close, d.source) AS close, arg_min(v.volume, d.source) AS volume FROM dy d JOIN (SELECT symbol, CAST(ts AS DATE) AS trade_date, market_type, source, sum(volume) AS volume
+ FROM ticks GROUP BY 1, 2, 3, 4) v USING (symbol, trade_date, market_type, source) GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER ({W}) AS rn, lag(close) OVER ({W}) AS pc FROM bars)"""
+
+
+def daily_tables(spark, sf, twice=False):
+    """All days but the last two loaded at once, these two by the daily job, the last one twice if asked."""
+    root, ticks = work_path(spark, "daily"), spark.read.parquet(tick_table(spark, sf))
+    at = TS("2025-01-01 00:00:00")
+    *first, before, last = sorted(str(row[0]) for row in ticks.select("day").distinct().collect())
+    DP.backfill(spark, ticks, root, first[-1], at)
+    for day in (before, last, *([last] if twice else [])):
+        DP.run_day(spark, ticks, root, day, at)
+    return root, last
+
+
+@query("RPT5_target_date_candles", DAILY_TICKS + """ SELECT symbol, trade_date, source, market_type, CAST(open AS DOUBLE) AS open, CAST(high AS DOUBLE) AS high,
+ CAST(low AS DOUBLE) AS low, CAST(close AS DOUBLE) AS close, TIMESTAMP '2025-01-01' AS computed_at FROM dy""")
+def target_date_candles(spark, sf):
+    root, _ = daily_tables(spark, sf, twice=True)
+    return spark.read.parquet(f"{root}/candles").select("symbol", "trade_date", "source", "market_type", "open", "high", "low", "close", "computed_at")
+
+
+@query("RPT5_target_date_indicators", FRAMES.replace(BASE, DAILY_BARS) + f""", k0 AS (SELECT *, min(low) OVER ({W} ROWS 13 PRECEDING) AS lo, max(high) OVER ({W} ROWS 13 PRECEDING) AS hi,
+ CASE WHEN close > pc THEN CAST(floor(volume) AS BIGINT) WHEN close < pc THEN -CAST(floor(volume) AS BIGINT) ELSE 0 END AS signed FROM b),
+o AS (SELECT symbol, trade_date, {rs(_mean(5), 'ma5')}, {rs(_mean(20), 'ma20')}, CAST(sum(signed) OVER ({W} ROWS 58 PRECEDING) AS BIGINT) AS obv,
+ CAST(round(CAST({K} AS DECIMAL(28,10)), 4) AS DOUBLE) AS stoch_k FROM k0)
+SELECT o.*, {rs('CASE WHEN al = 0 THEN 100.0 ELSE 100 - 100 / (1 + ag / al) END', 'rsi14', 4, 10)}, {rs('line', 'macd_line')} FROM o JOIN m USING (symbol, trade_date)""")
+def target_date_indicators(spark, sf):
+    root, _ = daily_tables(spark, sf)
+    return spark.read.parquet(f"{root}/indicators").select("symbol", "trade_date", r("ma5"), r("ma20"), "obv", r("stoch_k"), r("rsi14"), r("macd_line"))
+
+
+@query("RPT5_target_date_checks", DAILY_TICKS + """, ds AS (SELECT DISTINCT trade_date FROM dy ORDER BY 1 DESC LIMIT 2)
+SELECT ds.trade_date AS target_date, (SELECT count(*) FROM (SELECT DISTINCT symbol, trade_date FROM dy) p WHERE p.trade_date = ds.trade_date - 1 AND NOT EXISTS
+  (SELECT 1 FROM dy c WHERE c.symbol = p.symbol AND c.trade_date = ds.trade_date)) AS vanished, CAST(0 AS BIGINT) AS anomalies,
+ (SELECT count(*) FROM dy c JOIN dy p ON c.symbol = p.symbol AND c.source = p.source AND p.trade_date = c.trade_date - 1
+  WHERE c.trade_date = ds.trade_date AND abs(CAST(c.close - p.close AS DOUBLE) / CAST(p.close AS DOUBLE)) > 0.5) AS extremes, CAST(0 AS BIGINT) AS without_indicators FROM ds""")
+def target_date_checks(spark, sf):
+    root, _ = daily_tables(spark, sf)
+    return spark.read.parquet(f"{root}/validation")
+
+
+@query("RPT5_previous_closes", DAILY_TICKS + """ SELECT symbol, CAST(arg_max(close, (trade_date, source)) AS DOUBLE) AS prev_close FROM dy GROUP BY 1""")
+def target_date_closes(spark, sf):
+    return DP.previous_closes(spark, *daily_tables(spark, sf))
+
+
 @query("SNK9_backtest_runs", _engine(CROSS) + f""" SELECT symbol, 'SUCCESS' AS status, {rs('arg_max(equity, trade_date)', 'final_equity', 3)}, count(fill) AS trade_count FROM cv GROUP BY symbol""")
 def backtest_runs(spark, sf):
     """Run rows, trades and curve written as three tables; the curve is stored first and feeds the others."""
@@ -315,6 +449,39 @@ def backtest_trades(spark, sf):
     return spark.read.parquet(path).select("symbol", "seq", "trade_date", "side")
 
 
+def saved_runs(spark, sf):
+    """Backtests of two strategies saved as runs, trades, curve and prediction points, each batch one commit; the first comes a second time."""
+    root = work_path(spark, "runs")
+    for strategy in ("MA_CROSSOVER", "RSI", "MA_CROSSOVER"):
+        curve = _curve(spark, sf, strategy).withColumn("strategy", F.lit(strategy))
+        book = ["strategy", "symbol"]
+        key = F.concat_ws("/", *book).alias("run_key")
+        curve, stage = S.staged(spark, curve, "curve")
+        points = curve.filter(F.col("fill").isNotNull()).select(key, F.col("trade_date").alias("target_date"), F.col("price").alias("predicted_price"))
+        CM.publish(spark, root, {"runs": B.summary(curve, book, "trade_date").select(key, "*"), "trades": B.trades(curve, book, "trade_date").select(key, "*"),
+                                 "curve": curve.select(key, "*"), "points": points}, "run_key")
+        drop_path(spark, stage)
+    return root
+
+
+SAVED = f"""SELECT 'MA_CROSSOVER/' || symbol AS run_key, equity, trade_date, fill FROM ({_engine(CROSS)} SELECT * FROM cv)
+ UNION ALL SELECT 'RSI/' || symbol, equity, trade_date, fill FROM ({_engine(RSI)} SELECT * FROM cv)"""
+
+
+@query("SNK9_saved_runs", f"SELECT run_key, {rs('arg_max(equity, trade_date)', 'final_equity', 3)}, count(fill) AS trade_count FROM ({SAVED}) GROUP BY 1")
+def saved_run_rows(spark, sf):
+    return CM.read(spark, saved_runs(spark, sf), "runs", "run_key").select("run_key", r("final_equity", 3), "trade_count")
+
+
+@query("SNK9_saved_parts", f"""SELECT run_key, count(*) AS bars, count(fill) AS trades, count(fill) AS points FROM ({SAVED}) GROUP BY 1""")
+def saved_run_parts(spark, sf):
+    root = saved_runs(spark, sf)
+    n = lambda name, col: CM.read(spark, root, name, "run_key").groupBy("run_key").agg(F.count("*").alias(col))
+    zero = F.lit(0).cast("long")
+    return n("curve", "bars").join(n("trades", "trades"), "run_key", "left").join(n("points", "points"), "run_key", "left").select(
+        "run_key", "bars", F.coalesce("trades", zero).alias("trades"), F.coalesce("points", zero).alias("points"))
+
+
 @query("SNK9_failed_runs", f"WITH {A.SQL_BARS} SELECT symbol, 'FAILED' AS status, 'execution price must be positive' AS error_summary FROM bars GROUP BY symbol HAVING count(*) FILTER (day(trade_date) = 23) > 0")
 def failed_runs(spark, sf):
     """Books with a price that is not positive are stored as FAILED with their reason."""

@@ -159,6 +159,19 @@ def merge_daily(spark, sf):
     return M.merge_daily_exchange(daily_stored(b), official_daily(b), "CRYPTO")
 
 
+@query("MERGE3_computed_at", DAILY_J + """ SELECT b.symbol, b.trade_date, b.source,
+ CASE WHEN day(b.trade_date) % 2 = 0 THEN TIMESTAMP '2024-03-01' WHEN s.origin = 'EXCHANGE' THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-02-01' END AS computed_at
+FROM bars b LEFT JOIN s USING (symbol, trade_date, source)""")
+def merge_computed_at(spark, sf):
+    """Stored days, a roll-up over them, then official days: the time of the last write of each row, one row per day by DUP5."""
+    b = A.bars_daily(spark, sf)
+    stored = daily_stored(b).withColumn("computed_at", TS("2024-01-01 00:00:00"))
+    roll = b.withColumn("close", (F.col("close") + 3).cast("decimal(24,8)"))
+    second = M.merge_daily_rollup(stored, roll, TS("2024-02-01 00:00:00"), only_changes=True).drop("changed")
+    third = M.merge_daily_exchange(second, official_daily(b), "CRYPTO", TS("2024-03-01 00:00:00")).drop("changed")
+    return U.latest_computed(third).select("symbol", "trade_date", "source", "computed_at")
+
+
 # -- sinks: every one writes a table in the shared folder and reads it back -----------------------
 
 def with_day(df, ts="ts"):

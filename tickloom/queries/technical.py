@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from tickloom.operators import backtest as B, indicators as I, signals as G
+from tickloom.operators import backtest as B, candles as C, indicators as I, signals as G
 from tickloom.sources import adapters as A
 from .registry import query
 
@@ -253,3 +253,34 @@ def _register_run(name, strategy, source):
 _register_run("RPT4_buy_and_hold_run", "BUY_AND_HOLD", HOLD)
 _register_run("RPT4_ma_crossover_run", "MA_CROSSOVER", CROSS)
 _register_run("RPT4_rsi_run", "RSI", RSI)
+
+
+# -- minute books: the same by spans of bars --------------------------------------------------------
+
+MINUTE_BARS = f"""{A.SQL_DENSE}, {A.SQL_MINUTES}, bars AS (SELECT symbol || ' ' || source AS symbol, bucket AS trade_date, open, high, low, close, volume FROM minutes)"""
+
+
+def of_minutes(sql):
+    return sql.replace(A.SQL_BARS, MINUTE_BARS)
+
+
+def minute_signals(spark, sf, strategy):
+    m = C.minute_ohlcv(A.ticks(spark, sf, dense=True))
+    bars = m.select(F.concat_ws(" ", "symbol", "source").alias("symbol"), F.col("bucket").alias("trade_date"), "open", "close")
+    return G.signals_for(strategy, bars, KEYS, "trade_date", step=60)
+
+
+@query("WIN14_minute_crossover", of_minutes(CROSS) + " SELECT symbol, trade_date, signal FROM sg")
+def minute_crossover(spark, sf):
+    return minute_signals(spark, sf, "MA_CROSSOVER").select("symbol", "trade_date", "signal")
+
+
+@query("WIN15_minute_rsi", of_minutes(RSI) + " SELECT symbol, trade_date, signal FROM sg")
+def minute_rsi(spark, sf):
+    return minute_signals(spark, sf, "RSI").select("symbol", "trade_date", "signal")
+
+
+@query("WIN26_minute_drawdown", of_minutes(_engine(RSI, "open", 0.001, 0.0005)) + f" SELECT symbol, trade_date, held, fill, {rs('equity', 'equity', 3)}, {rs('(peak - equity) / peak * 100', 'drawdown_pct', 4, 6)} FROM cv")
+def minute_drawdown(spark, sf):
+    c = B.equity_curve(minute_signals(spark, sf, "RSI"), KEYS, "trade_date", at_open=True, fee_bps=10, slippage_bps=5, step=60)
+    return c.select("symbol", "trade_date", "held", "fill", r("equity", 3), r("drawdown_pct"))

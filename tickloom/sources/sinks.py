@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tickloom.operators.dedup import keep_extreme
 from tickloom.operators.merge import insert_missing
 from tickloom.session import drop_path, work_path
 
@@ -60,14 +61,19 @@ def touched(stored: DataFrame, days: list, day: str) -> DataFrame:
 def append_new(spark: SparkSession, incoming: DataFrame, path: str, key: list[str], day: str) -> None:
     """Append the rows whose key the table does not hold yet (insert, do nothing on conflict).
 
-    The check reads the table itself, so a batch that runs again after a restart inserts nothing twice.
+    The check reads the table itself, so a batch that runs again after a restart inserts nothing twice. Of several rows with one
+    key the first by their JSON text stays, the same one in every run.
     """
-    fresh, stage = staged(spark, incoming.dropDuplicates(key), "append")
-    new = fresh
-    if table_exists(spark, path):
-        new = insert_missing(touched(spark.read.parquet(path), days_of(fresh, day), day), fresh, key)
-    by_day(new, day).write.mode("append").partitionBy(day).parquet(path)
-    drop_path(spark, stage)
+    rest = [c for c in incoming.columns if c not in key]
+    one = keep_extreme(incoming, key, F.to_json(F.struct(*rest)), largest=False) if rest else incoming.distinct()
+    fresh, stage = staged(spark, one, "append")
+    try:
+        new = fresh
+        if table_exists(spark, path):
+            new = insert_missing(touched(spark.read.parquet(path), days_of(fresh, day), day), fresh, key)
+        by_day(new, day).write.mode("append").partitionBy(day).parquet(path)
+    finally:
+        drop_path(spark, stage)
 
 
 def overwrite_days(df: DataFrame, path: str, day: str) -> None:

@@ -17,6 +17,7 @@ from tickloom.sources import sinks as S
 # Horizons and limits of the live paths.
 CANDLE_HORIZON, REDELIVERY_WINDOW, MAX_RETRIES, PRICE_TTL_SECONDS = "3 hours", "600 seconds", 3, 60
 TICK_KEY = ["symbol", "source", "trade_id", "ts"]
+ATTEMPT_KEY = ["topic", "partition", "offset", "retry_count"]
 
 
 def read_topic(spark: SparkSession, servers: str, topic: str) -> DataFrame:
@@ -40,8 +41,8 @@ def with_event_time(ticks: DataFrame, delay: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str, write: Callable[[DataFrame, int], None], mode: str = "append",
-          checkpoint: str | None = None) -> None:
-    """Run a stream over everything available now.
+          checkpoint: str | None = None) -> int:
+    """Run a stream over everything available now; returns the number of rows read.
 
     ``checkpoint`` is the folder a later run resumes from; without one the run starts fresh in the
     shared folder.
@@ -51,6 +52,7 @@ def drain(stream: DataFrame, name: str, write: Callable[[DataFrame, int], None],
     query = (stream.writeStream.outputMode(mode).trigger(availableNow=True)
              .option("checkpointLocation", where).foreachBatch(write).start())
     query.awaitTermination()
+    return sum(max(0, p["numInputRows"]) for p in query.recentProgress)
 
 
 def batch_table(path: str) -> Callable[[DataFrame, int], None]:
@@ -125,8 +127,10 @@ def latest_prices_into(spark: SparkSession, ticks: DataFrame, prev_close: DataFr
             S.append_new(spark, rows.filter(~good).withColumn("day", F.to_date("ts")), dead, TICK_KEY, "day")
         merge_keyed(spark, path, K.snapshots(C.newest_trade(rows.filter(good)), closes), newer)
         drop_path(spark, stage)
-    drain(ticks, "latest-prices", write, checkpoint=checkpoint)
-    drop_path(spark, closes_path)
+    try:
+        drain(ticks, "latest-prices", write, checkpoint=checkpoint)
+    finally:
+        drop_path(spark, closes_path)
 
 
 def newest_snapshots(spark: SparkSession, path: str) -> DataFrame:
@@ -184,14 +188,33 @@ def route(failed: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
     return failed.withColumn("route", F.when(again, "RETRY").otherwise("DLQ"))
 
 
-def route_into(spark: SparkSession, failed: DataFrame, dead: str, retry: str, round_no: int, checkpoint: str | None = None) -> None:
+def route_into(spark: SparkSession, failed: DataFrame, dead: str, retry: str, checkpoint: str | None = None) -> int:
+    """Failed records to the dead letters or, with the next attempt's number, to the retry store; returns the number of rows read.
+
+    Both are tables keyed by ``ATTEMPT_KEY`` that only take what they lack, so a batch may come again, from this checkpoint or from a new
+    one, and no record is lost or stored twice.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         routed, stage = S.staged(spark, route(batch), "routed-batch")
-        batch_table(f"{dead}/round={round_no}")(routed.filter(F.col("route") == "DLQ").drop("route"), batch_id)
-        again = routed.filter(F.col("route") == "RETRY").drop("route").withColumn("retry_count", F.col("retry_count") + 1)
-        batch_table(f"{retry}/round={round_no}")(again, batch_id)
-        drop_path(spark, stage)
-    drain(failed, f"route-{round_no}", write, checkpoint=checkpoint)
+        try:
+            S.append_new(spark, routed.filter(F.col("route") == "DLQ").drop("route"), dead, ATTEMPT_KEY, "retry_count")
+            again = routed.filter(F.col("route") == "RETRY").drop("route").withColumn("retry_count", F.col("retry_count") + 1)
+            S.append_new(spark, again, retry, ATTEMPT_KEY, "retry_count")
+        finally:
+            drop_path(spark, stage)
+    return drain(failed, "route", write, checkpoint=checkpoint)
+
+
+def retry_all(spark: SparkSession, schema, dead: str, retry: str, checkpoint: str | None = None) -> int:
+    """Stream the retry store until no attempt is left; returns the number of attempts.
+
+    One stream reads the store of all attempts. Attempts that fail again come back to it as new files, which its next run takes.
+    """
+    checkpoint = checkpoint or work_path(spark, "retry-checkpoint")
+    attempts = 0
+    while read := route_into(spark, read_files(spark, retry, schema), dead, retry, checkpoint):
+        attempts += read
+    return attempts
 
 
 def settled(minutes: DataFrame, now: Column, lookback_minutes: int, settle_minutes: int) -> DataFrame:
