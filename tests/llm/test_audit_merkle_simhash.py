@@ -78,21 +78,30 @@ def test_audit_equals_plain(spark):
     assert got == plain_audit(rows, labels)
 
 
+def test_hot_keys_meet_by_broadcast_and_others_by_shuffle(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(900)] + [(f"k{i}", i) for i in range(60)] + [(None, 1)], "k string, v int")
+    keyed = rows.filter("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.upper("k")).filter("k <> 'k7'")
+    out = J.left_by_count(rows, keyed, "k", "n", 100_000)
+    assert out.columns == ["k", "v", "n", "name"]
+    got = sorted((str(x["k"]), x["v"], x["name"]) for x in out.collect())
+    assert got == sorted((str(k), v, None if k in (None, "k7") else k.upper()) for k, v in rows.collect())
+
+
 def test_audit_of_an_empty_table(spark):
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert A.audit(documents(spark, []), marks).count() == 0
 
 
 def test_matrix_rows_are_the_word_counts(spark, monkeypatch):
-    monkeypatch.setattr(J, "HOT_KEYS", 10)
+    monkeypatch.setattr(A, "BUCKET_ROWS", 10)
     rows = random_rows(80, 3)
     cut = A.shards(documents(spark, rows).repartition(7))
     words = A.dictionary(cut)
     names = {x["id"]: bytes(x["word"]) for x in words.collect()}
-    assert sorted(names) == list(range(len(names))) and len(set(names.values())) == len(names)
+    assert len(set(names.values())) == len(names) == words.count()
     got = []
-    for x in A.matrix(cut, words).collect():
-        starts, columns, counts = np.frombuffer(x["starts"], np.int32), np.frombuffer(x["columns"], np.int64), np.frombuffer(x["counts"], np.int32)
+    for x in A.matrix(cut).collect():
+        starts, columns, counts = A.unpacked(x["starts"]), np.frombuffer(x["columns"], np.int64), A.unpacked(x["counts"])
         for d, a, b in zip(x["docs"], starts, starts[1:]):
             got.append((str(d["doc_id"]), sorted((names[c], n) for c, n in zip(columns[a:b].tolist(), counts[a:b].tolist()))))
     want = []

@@ -1,15 +1,15 @@
 """Operator 11: filter interaction audit on a sparse document-term matrix.
 
-1. Each Arrow batch of documents becomes one shard: its words, and per document the local numbers of its distinct words with
-   their counts (compressed sparse rows). Length of capitals, special characters and the digest of the text go along.
-2. The words of all shards are numbered once (global dictionary). A shard asks for the numbers of its own words only, so what
-   meets the dictionary is one row per shard and word, not per document and word.
+1. Some megabytes of documents become one shard: its words, and per document the local numbers of its distinct words with
+   their counts (compressed sparse rows). Share of capitals, special characters and the digest of the text go along.
+2. The words of all shards are numbered once (global dictionary). A shard brings each of its words once, so what
+   is shuffled is one row per shard and word, not per document and word.
 3. Shards with global columns are the matrix. Row sums (words) and numbers of nonzeros (distinct words) decide filters A and B.
 4. The other flags are attached, documents are counted by part and set of failed filters (32 rows a part at most), and
    these counts give every order and step.
 
-Texts are equal when their SHA-256 digests are. Words that very many shards hold and texts with very many copies meet their
-rows by a broadcast of at most ``joins.HOT_KEYS`` keys, the rest by a shuffle.
+Texts are equal when their SHA-256 digests are. Texts with very many copies meet their rows by a broadcast of at most
+``joins.HOT_KEYS`` digests, the rest by a shuffle.
 
 Defined cases: null text is empty and fails A only (and E behind a smaller doc_id with an empty or null text); B and C are
 false without words and code points; null and empty sources are one part; null doc_ids never fail E, make no other row fail
@@ -19,19 +19,23 @@ label rows of a doc_id any 1 counts; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import Counter
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tickloom.llm.common import map_batches, ready, stored, table, text_or_empty, word_pieces
-from tickloom.llm.joins import left_by_count, numbered
+from tickloom.llm.joins import left_by_count
 
 FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 50, 65, 5
 CAPITALS, SPECIAL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
+#: Text of one shard (a longer document is a shard by itself), rows of one bucket of the dictionary.
+SHARD_BYTES, BUCKET_ROWS = 8 << 20, 20_000
 
 
 def word_counts(raw: bytes) -> Counter:
@@ -42,51 +46,84 @@ def word_counts(raw: bytes) -> Counter:
     return counts
 
 
+def packed(numbers: array) -> bytes:
+    """32-bit numbers, compressed: local numbers of frequent words are small and most counts are 1."""
+    return zstandard.compress(numbers.tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), np.int32)
+
+
+def _shard(rows: list[pa.RecordBatch], vocabulary: dict[bytes, int], starts: array, columns: array, counts: array) -> pa.RecordBatch:
+    docs = pa.Table.from_batches(rows).combine_chunks().to_struct_array().combine_chunks()
+    return pa.RecordBatch.from_arrays([
+        pa.array([list(vocabulary)], pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
+        *(pa.array([packed(x)], pa.binary()) for x in (starts, columns, counts))],
+        names=["words", "docs", "starts", "columns", "counts"])
+
+
 def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """shard, words, docs (doc_id, part, digest, capitals, special), starts, columns (local numbers), counts: one row per batch."""
+    """shard, words, docs (doc_id, part, digest, capitals, special), starts, columns (local numbers), counts: one row per shard."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batch):
-        vocabulary: dict[bytes, int] = {}
-        starts, columns, counts, digests, capitals, special = [0], [], [], [], [], []
-        for text in batch.column(2).to_pylist():
-            raw = text.encode()
-            found = word_counts(raw)
-            columns += [vocabulary.setdefault(w, len(vocabulary)) for w in found]
-            counts += found.values()
-            starts.append(len(columns))
-            digests.append(hashlib.sha256(raw).digest())
-            capitals.append(100 * (len(raw) - len(raw.translate(None, CAPITALS))) > MOST_CAPITALS * len(text))
-            special.append(len(raw.translate(None, SPECIAL)) < len(raw))
-        rows = pa.StructArray.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(capitals), pa.array(special)],
-                                          names=["doc_id", "part", "digest", "capitals", "special"])
-        return pa.RecordBatch.from_arrays([
-            pa.array([list(vocabulary)], pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-            *(pa.array([np.array(x, np.int32).tobytes()], pa.binary()) for x in (starts, columns, counts))],
-            names=["words", "docs", "starts", "columns", "counts"])
+    def run(batches):
+        def empty():
+            return [], {}, array("i", [0]), array("i"), array("i")
+        rows, vocabulary, starts, columns, counts = empty()
+        size = 0
+        for batch in batches:
+            digests, capitals, special = [], [], []
+            for text in batch.column(2).to_pylist():
+                raw = text.encode()
+                found = word_counts(raw)
+                columns.extend([vocabulary.setdefault(w, len(vocabulary)) for w in found])
+                counts.extend(found.values())
+                starts.append(len(columns))
+                digests.append(hashlib.sha256(raw).digest())
+                capitals.append(100 * (len(raw) - len(raw.translate(None, CAPITALS))) > MOST_CAPITALS * len(text))
+                special.append(len(raw.translate(None, SPECIAL)) < len(raw))
+                size += len(raw)
+            rows.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(capitals, pa.bool_()),
+                                                    pa.array(special, pa.bool_())], names=["doc_id", "part", "digest", "capitals", "special"]))
+            if size >= SHARD_BYTES:
+                yield _shard(rows, vocabulary, starts, columns, counts)
+                (rows, vocabulary, starts, columns, counts), size = empty(), 0
+        if len(starts) > 1:
+            yield _shard(rows, vocabulary, starts, columns, counts)
     cut = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("part"), text_or_empty(text_col).alias("text"))
-    out = map_batches(cut, run, "words array<binary>, docs array<struct<doc_id:" + kind + ",part:string,digest:binary,capitals:boolean,special:boolean>>,"
-                      "starts binary, columns binary, counts binary")
+    out = cut.mapInArrow(run, "words array<binary>, docs array<struct<doc_id:" + kind + ",part:string,digest:binary,capitals:boolean,special:boolean>>,"
+                         "starts binary, columns binary, counts binary")
     return stored(out.select(F.monotonically_increasing_id().alias("shard"), "*"), "matrix-shards")
 
 
+def encoded(cut: DataFrame) -> DataFrame:
+    """of (shard), at (local number), word, id: the words of each shard with their global numbers.
+
+    A word's number is its bucket (by hash) and its rank among the words of the bucket, so one shuffle of the words numbers them and
+    answers all shards. Numbers are unique, not consecutive.
+    """
+    total = cut.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
+    buckets = max(1, -(-total // BUCKET_ROWS))
+    words = cut.select(F.col("shard").alias("of"), F.posexplode("words").alias("at", "word"))
+    words = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word"))
+    return words.select("of", "at", "word", (F.shiftleft("bucket", 32) + rank).alias("id"))
+
+
 def dictionary(cut: DataFrame) -> DataFrame:
-    """word, id (0 to the number of words - 1), shards (how many hold the word)."""
-    words = cut.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("shards"))
-    return numbered(words, "matrix-words", "id").select("word", "id", "shards")
+    """word, id, shards (how many hold the word)."""
+    return encoded(cut).groupBy("word", "id").agg(F.count(F.lit(1)).alias("shards"))
 
 
-def matrix(cut: DataFrame, words: DataFrame) -> DataFrame:
-    """shard, docs, starts, columns (global numbers, 64 bits each), counts: the rows of the document-term matrix."""
-    own = cut.select("shard", F.posexplode("words").alias("at", "word"))
-    total = words.agg(F.sum("shards")).first()[0] or 0
-    ids = left_by_count(own, words, "word", "shards", total).select(F.col("shard").alias("of"), "at", "id")
-    rows = cut.drop("words")
+def matrix(cut: DataFrame) -> DataFrame:
+    """shard, docs, starts, columns (global numbers, 64 bits each), counts (``packed``, as starts): the rows of the document-term matrix."""
+    rows, ids = cut.drop("words"), encoded(cut).select("of", "at", "id")
 
     def run(shard: pa.Table, numbers: pa.Table) -> pa.Table:
         to_global = np.zeros(numbers.num_rows, np.int64)
         to_global[numbers.column("at").to_numpy()] = numbers.column("id").to_numpy()
-        local = np.frombuffer(shard.column("columns")[0].as_py(), np.int32)
+        local = unpacked(shard.column("columns")[0].as_py())
         return shard.set_column(shard.schema.get_field_index("columns"), "columns", pa.array([to_global[local].tobytes()], pa.binary()))
     return rows.groupBy("shard").cogroup(ids.groupBy("of")).applyInArrow(run, rows.schema)
 
@@ -97,10 +134,10 @@ def flags(rows: DataFrame) -> DataFrame:
 
     def run(batch):
         out = []
-        for docs, starts, columns, counts in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("docs", "starts", "columns", "counts"))):
+        for docs, starts, counts in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("docs", "starts", "counts"))):
             own = docs.values
-            starts = np.frombuffer(starts.as_py(), np.int32)
-            sums = np.concatenate([[0], np.cumsum(np.frombuffer(counts.as_py(), np.int32), dtype=np.int64)])
+            starts, counts = unpacked(starts.as_py()), unpacked(counts.as_py())
+            sums = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
             n, distinct = sums[starts[1:]] - sums[starts[:-1]], np.diff(starts).astype(np.int64)
             fails = np.full(len(n), "", "U4")
             for letter, failed in zip("ABCD", (n < LEAST_WORDS, 100 * distinct < LEAST_DISTINCT * n, np.asarray(own.field("capitals")), np.asarray(own.field("special")))):
@@ -114,7 +151,7 @@ def flags(rows: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, **names) -> DataFrame:
     """doc_id, part, digest, n_words, n_distinct, fails (letters of all five filters) of every row."""
     cut = shards(docs, **names)
-    rows = stored(flags(matrix(cut, dictionary(cut))), "matrix-flags")
+    rows = stored(flags(matrix(cut)), "matrix-flags")
     copies = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = stored(copies, "matrix-copies")
     known = left_by_count(rows, copies, "digest", "n", rows.count())
