@@ -5,8 +5,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import components as C, ngram_join as J, suffix_array as A, suffix_tree as S
+from tickloom.llm.common import stored
 from tickloom.llm.windows import runs
 
 SCHEMA = "doc_id long, text string, key long, spans string, doc string"
@@ -146,12 +148,60 @@ def test_similar(spark, seed):
     assert kept[0].asDict().keys() == {"doc_id", "text", "key", "spans", "doc"}
 
 
+@pytest.mark.parametrize("chunk", [4096, 10])
+def test_similar_within_one_neighbourhood(spark, monkeypatch, chunk):
+    """Copies of one text around the threshold: many components share most shingles, in one task or in pairs of chunks."""
+    monkeypatch.setattr(J, "CHUNK", chunk)
+    monkeypatch.setattr(J, "BIN_ROWS", 30)
+    monkeypatch.setattr(J, "BIN_BYTES", 2000)
+    r = random.Random(chunk)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        x = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 5, 9])):
+            x[r.randrange(120)] = f"n{r.randrange(400)}"
+        rows.append((i, " ".join(x)))
+    got = sorted(tuple(x) for x in J.similar(frame(spark, rows)).collect())
+    assert got == plain_classes(rows) and 3 < len({c for *_, c in got}) < 90
+
+
+def test_neighbourhood_rows_grow_with_its_members(spark):
+    """Unlinked near copies: each step of the search gives a row per member at most."""
+    r = random.Random(3)
+    rows = [(i, " ".join([f"c{k}" for k in range(60)] + [f"o{i}_{k}" for k in range(12)] + r.choices("xyz", k=3))) for i in range(400)]
+    docs = J._texts(frame(spark, rows), "doc_id", "text")
+    sets = stored(J.set_rows(docs, 4), "t-sets").withColumn("k", F.lit(1))
+    groups = stored(sets.select(F.lit(1).cast("long").alias("token"), "set", "n"), "t-groups")
+    none = spark.createDataFrame([], "set long, component long")
+    members = stored(J.neighbourhoods(groups, none, 4096), "t-members")
+    near = J.with_partners(members, sets, 85, 50_000)
+    assert members.count() == 400 and near.count() <= 400
+
+
+def test_points_of_sets_that_bytes_cannot_count_prune_nothing():
+    small, large = np.arange(0, 256 * 200, 256, dtype=np.uint64), np.arange(0, 256 * 300, 256, dtype=np.uint64)
+    points = np.stack([J.point(small), J.point(large), J.point(large[:290])])
+    pairs = [set(map(int, p)) for x, y in J.RTree(points, np.array([200, 300, 290]), 85).pairs(np.arange(3), np.arange(3), lambda a, b: False) for p in zip(x, y)]
+    assert {1, 2} in pairs
+    assert J.linked(large, large[:290], 85) and not J.linked(small, large, 85)
+
+
+def test_words_that_polynomial_hashes_confuse_differ(spark):
+    """Thue-Morse words: any polynomial hash with an odd base modulo 2^64 takes a word and its complement for one."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, b), (3, f"x {a} y z"), (4, f"x {b} y z"), (5, a)]
+    got = sorted(tuple(x) for x in J.similar(frame(spark, rows)).collect())
+    assert got == plain_classes(rows) == [(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4), (5, 1, 1)]
+
+
 def test_rtree_loses_no_pair():
     r = np.random.default_rng(8)
     points = r.poisson(3, (400, J.GROUPS))
     points[200:] = np.maximum(0, points[:200] + r.integers(-1, 2, (200, J.GROUPS)) * (r.random((200, J.GROUPS)) < .2))
     sizes, part = points.sum(axis=1), np.arange(400)
-    got = {tuple(sorted(p)) for x, y in J.RTree(points, sizes, 85, leaf=16).pairs(part) for p in zip(x.tolist(), y.tolist())}
+    got = {tuple(sorted(p)) for x, y in J.RTree(points.astype(np.uint8), sizes, 85, leaf=16).pairs(part, part, lambda a, b: False) for p in zip(x.tolist(), y.tolist())}
     want = {(a, b) for a in range(400) for b in range(a + 1, 400)
             if 185 * np.minimum(points[a], points[b]).sum() >= 85 * (sizes[a] + sizes[b])}
     assert got == want and len(want) > 100

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tickloom.session import prepare, work_path
+from tickloom.session import drop_path, prepare, work_path
 
 #: Rows and bytes of one Arrow batch sent to a Python worker; long texts make small batches.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
@@ -43,7 +43,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._llm_path = path
+    return out
+
+
+def free(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of ``df`` has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def drop_stored(*steps: DataFrame) -> None:
+    """Delete stored steps whose last reader has been stored itself."""
+    for step in steps:
+        drop_path(step.sparkSession, step._llm_path)
 
 
 def text_or_empty(col: str = "text") -> Column:
@@ -181,11 +196,14 @@ class ByteValues:
         return BYTE_VALUE[self.data[part]]
 
 
-HASH_STEP, LONG_WORD = 1 << 20, 1 << 16
+HASH_STEP, LONG_WORD = 1 << 20, 64
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, taken over about a megabyte of text at a time; very long words are hashed one by one."""
+    """64-bit hashes of words, taken over about a megabyte of text at a time; longer words are hashed one by one.
+
+    Polynomial hashes modulo 2^64 confuse certain long words (Thue-Morse words), so they name short ones only.
+    """
     out, i = np.empty(len(start), np.uint64), 0
     long = end - start > LONG_WORD
     for k in np.flatnonzero(long):

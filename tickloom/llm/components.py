@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.llm.common import stored
+from tickloom.llm.common import drop_stored, stored
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         large = _smallest(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         near = _smallest(large)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
-        edges = stored(small, "links")
+        before, edges = edges, stored(small, "links")
+        drop_stored(before)
         new = _state(edges)
         if new == state:
             break

@@ -10,16 +10,20 @@ takes 5 and 80), and 4 and 0.85 below stand for them.
    and joined to components. A group of near copies is mostly one component now, and no group emits all its pairs.
 3. Count-vector R-tree: shingles are hashed into ``GROUPS`` groups, the numbers per group are a set's point (the tree sums them
    to ``COARSE`` coordinates; pairs that it finds are bounded again by all). Groups of step 1 whose
-   members lie in several components are searched: points sorted by size are packed into leaves with bounding
+   members lie in several components are searched. Groups with the same first set are one neighbourhood, so near copies, which share
+   many shingles, meet once. Points sorted by size are packed into leaves with bounding
    boxes; sum(min(a, b)) over the coordinates bounds the intersection of two points, and with the boxes' upper corners that of
-   two leaves. Pairs of different components that pass the bound are verified on their shingles and joined.
+   two leaves. A first search over the points alone tells which sets have a partner of another component that may link; only
+   these bring their shingles to a second search, which verifies the pairs and gives the links that join components. Both give at most
+   one row per member and task, never the pairs of a group. Neighbourhoods beyond ``CHUNK`` sets are searched as pairs of chunks.
 
 Every link between sets of different components passes step 3, so the components are exact. The order in step 1 rests on
-shingles found in many sets of one Arrow batch, counted over all batches; any order gives the same result.
+shingles found in many sets of one Arrow batch, counted over all batches; any order gives the same result. Shingles and sets are
+named by 64-bit hashes; among n different sets two share a name with odds of about n * n / 2^65.
 
 Defined cases: null, empty and blank texts have the empty set and are alone; texts of one to three words (fewer than ``words``)
-have one shingle; repeated rows and equal texts are one component; rows that repeat a doc_id are judged by their own text; an
-empty table gives no rows; other columns are not read.
+have one shingle; repeated rows and equal texts are one component; rows that repeat a doc_id are judged by their own text; a null
+doc_id names a component only if all its ids are null; an empty table gives no rows; other columns are not read.
 """
 from __future__ import annotations
 
@@ -27,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from tickloom.llm.common import LOWER, bytes_of, map_batches, mix, stored, table, with_columns, word_hashes, word_spans
+from tickloom.llm.common import LOWER, bytes_of, drop_stored, free, map_batches, mix, stored, table, with_columns, word_hashes, word_spans
 from tickloom.llm.components import components
+from tickloom.llm.joins import left_by_count
 
 WORDS, PERCENT = 4, 85
 GROUPS, COARSE, LEAF = 256, 64, 64
@@ -36,8 +41,8 @@ GROUPS, COARSE, LEAF = 256, 64, 64
 OFTEN, FREQUENT = 8, 500_000
 #: Document ids that are broadcast at most (8 bytes each); beyond, the texts meet them by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Rows of shingle groups that one task searches at a time.
-BIN_ROWS = 50_000
+#: Sets of a neighbourhood that one task searches, rows and bytes of shingles of a bin of neighbourhoods.
+CHUNK, BIN_ROWS, BIN_BYTES = 4096, 50_000, 16 << 20
 _factors = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -69,11 +74,18 @@ def set_id(shingles: np.ndarray) -> int:
     return int(mix(np.array([mix(shingles ^ np.uint64(0x9E3779B97F4A7C15)).sum() + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
 
 
+#: A coordinate that is never the smaller one: the point of a set that bytes cannot count.
+MANY = 255
+
+
 def point(shingles: np.ndarray) -> np.ndarray:
-    """Numbers of shingles per group. Larger sets than a number can hold get the point that is never pruned."""
-    if len(shingles) > 65535:
-        return np.full(GROUPS, 65535, np.uint16)
-    return np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint16)
+    """Numbers of shingles per group. Sets with more in a group than a byte holds get the point that is never pruned."""
+    counts = np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return np.full(GROUPS, MANY, np.uint8) if counts.max() >= MANY else counts.astype(np.uint8)
+
+
+def points_of(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, GROUPS)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -151,9 +163,9 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     def run(batch):
         na, nb = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("na", "nb"))
-        pa_, pb = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), np.uint16).reshape(-1, GROUPS) for c in ("pa", "pb"))
+        pa_, pb = (points_of(batch.column(batch.schema.get_field_index(c)).to_pylist()) for c in ("pa", "pb"))
         inter = np.minimum(pa_, pb).sum(axis=1, dtype=np.int64)
-        keep = pa.array(100 * inter >= percent * (na + nb - inter))
+        keep = pa.array((100 * inter >= percent * (na + nb - inter)) | (pa_[:, 0] == MANY) | (pb[:, 0] == MANY))
         return batch.select(["a", "b"]).filter(keep)
     return map_batches(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a long, b long")
 
@@ -174,22 +186,37 @@ def shingle_rows(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return map_batches(rows, run, "set long, shingles binary")
 
 
+def whole_sets(docs: DataFrame, sets: DataFrame, needed: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """set, shingles of the needed sets, and the documents they are taken from; both stored."""
+    wanted = stored(sets.join(needed, "set").select("set", "doc_id"), "needed-sets")
+    return stored(shingle_rows(docs, wanted, words), "shingles"), wanted
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of shingles link."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    inter = int((y[at] == x).sum())
+    return 100 * inter >= percent * (len(x) + len(y) - inter)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """u, v of the pairs that link, by their whole sets."""
     pairs = stored(pairs, "bounded-pairs")
     needed = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    whole = stored(shingle_rows(docs, stored(sets.join(needed, "set").select("set", "doc_id"), "needed-sets"), words), "shingles")
+    whole, wanted = whole_sets(docs, sets, needed, words)
 
     def run(batch):
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            inter = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
+        keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).rename_columns(["u", "v"])
     both = pairs.join(whole.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(
         whole.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return stored(map_batches(both, run, "u long, v long"), "set-links")
+    out = stored(map_batches(both, run, "u long, v long"), "set-links")
+    drop_stored(pairs, whole, wanted)
+    return out
 
 
 class RTree:
@@ -197,53 +224,116 @@ class RTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int, leaf: int = LEAF):
         coarse = points.reshape(len(points), COARSE, -1).sum(axis=2, dtype=np.int32)
+        many = points[:, 0] == MANY
+        coarse[many] = 1 << 24
         self.order = np.lexsort((*coarse.T[:2], sizes))
-        self.whole, self.points, self.sizes, self.percent = points[self.order], coarse[self.order], sizes[self.order], percent
+        self.whole, self.points, self.sizes, self.percent = points[self.order].astype(np.int32), coarse[self.order], sizes[self.order], percent
+        self.whole[many[self.order]] = 1 << 24
         self.starts = np.arange(0, len(sizes), leaf)
         self.stops = np.append(self.starts[1:], len(sizes))
         self.corner = np.maximum.reduceat(self.points, self.starts)
         self.least, self.most = self.sizes[self.starts], self.sizes[self.stops - 1]
 
     def _may_link(self, overlap, a, b):
-        return (100 + self.percent) * overlap >= self.percent * (a + b)
+        return (100 + self.percent) * np.minimum(overlap, np.minimum(a, b)) >= self.percent * (a + b)
 
-    def pairs(self, part: np.ndarray):
-        """Index pairs whose points may link and whose parts differ, leaf by leaf."""
-        part = part[self.order]
+    def pairs(self, part: np.ndarray, side: np.ndarray, done):
+        """Index pairs whose points may link and whose parts and sides differ, leaf pair by leaf pair.
+
+        ``done`` tells of two leaves' members whether no pair of theirs is of use any more; ``part`` may change between the pairs.
+        """
         for i in range(len(self.starts)):
             # leaves from here on whose sizes are near and whose boxes allow enough overlap
             after = np.arange(i, np.searchsorted(self.least * self.percent, self.most[i] * 100, "right"))
-            bound = np.minimum(self.corner[after], self.corner[i]).sum(axis=1)
-            smaller = np.minimum(bound, self.most[i])
-            after = after[self._may_link(smaller, self.least[i], self.least[after])]
-            a = slice(self.starts[i], self.stops[i])
+            bound = np.minimum(self.corner[after], self.corner[i]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(bound, np.minimum(self.most[i], self.most[after]))  # a pair with most in common has at least that size
+            after = after[(100 + self.percent) * most >= self.percent * (np.maximum(self.least[i], most) + np.maximum(self.least[after], most))]
+            a = self.order[self.starts[i]:self.stops[i]]
             for j in after:
-                b = slice(self.starts[j], self.stops[j])
-                overlap = np.minimum(self.points[a][:, None, :], self.points[b][None, :, :]).sum(axis=2)
-                ok = self._may_link(overlap, self.sizes[a][:, None], self.sizes[b][None, :]) & (part[a][:, None] != part[b][None, :])
+                b = self.order[self.starts[j]:self.stops[j]]
+                if done(a, b):
+                    continue
+                s, t = slice(self.starts[i], self.stops[i]), slice(self.starts[j], self.stops[j])
+                overlap = np.minimum(self.points[s][:, None, :], self.points[t][None, :, :]).sum(axis=2, dtype=np.int64)
+                ok = self._may_link(overlap, self.sizes[s][:, None], self.sizes[t][None, :])
+                ok &= (part[a][:, None] != part[b][None, :]) & (side[a][:, None] != side[b][None, :])
                 x, y = np.nonzero(ok)
+                if i == j:
+                    x, y = x[x < y], y[x < y]
                 x, y = x + self.starts[i], y + self.starts[j]
-                x, y = x[x < y], y[x < y]
                 overlap = np.minimum(self.whole[x], self.whole[y]).sum(axis=1, dtype=np.int64)
                 keep = self._may_link(overlap, self.sizes[x], self.sizes[y])
                 if keep.any():
                     yield self.order[x[keep]], self.order[y[keep]]
 
 
-def search_groups(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: candidate pairs of the groups (columns bin, token, set, n, point, part) across parts, by R-trees."""
+def neighbourhoods(groups: DataFrame, known: DataFrame, chunk: int) -> DataFrame:
+    """s, low, high, own, set, n, part: the sets of groups that hold several components, by the groups' first set.
+
+    Of a neighbourhood of k chunks the members of two chunks (low <= high) are searched together; ``own`` is a member's chunk.
+    """
+    parted = groups.join(known, "set", "left").withColumn("part", F.coalesce("component", "set")).drop("component")
+    mixed = parted.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("set").alias("s")).filter("low < high").select("token", "s")
+    members = stored(parted.join(mixed, "token").select("s", "set", "n", "part").distinct(), "neighbourhoods")
+    large = stored(members.groupBy("s").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > chunk), "large-neighbourhoods")
+    counted = left_by_count(members, large, "s", "m", members.count())
+    chunks = F.expr(f"cast((coalesce(m, 1) + {chunk - 1}) div {chunk} as int)")
+    dealt = counted.withColumn("own", F.pmod(F.xxhash64("set"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    return dealt.select("s", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "set", "n", "part")
+
+
+def _searches(members: pa.Table):
+    """Rows of each neighbourhood (or pair of chunks) in a bin, and a side for each row: rows of one side are not paired."""
+    s, low, high, own, name = (members.column(c).to_numpy() for c in ("s", "low", "high", "own", "set"))
+    order = np.lexsort((high, low, s))
+    new = (np.diff(s[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+    for rows in np.split(order, np.flatnonzero(new) + 1):
+        yield rows, own[rows] if low[rows[0]] != high[rows[0]] else name[rows]
+
+
+def _numbers(members: pa.Table, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes, and parts as small numbers."""
+    return members.column("n").to_numpy()[rows], np.unique(members.column("part").to_numpy()[rows], return_inverse=True)[1]
+
+
+def with_partners(members: DataFrame, sets: DataFrame, percent: int, bin_rows: int) -> DataFrame:
+    """The members that have, by their points, a partner of another component that may link."""
+    bins = max(1, -(-members.count() // bin_rows))
+    rows = members.join(sets.select("set", "point"), "set").withColumn("bin", F.pmod(F.xxhash64("s", "low", "high"), F.lit(bins)))
+    columns = members.columns
+
     def run(group: pa.Table) -> pa.Table:
-        token, name, n, part = (group.column(c).to_numpy() for c in ("token", "set", "n", "part"))
-        points = np.frombuffer(b"".join(group.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)
-        order = np.argsort(token, kind="stable")
-        cut = np.flatnonzero(np.append(True, token[order][1:] != token[order][:-1]))
-        found: set[tuple[int, int]] = set()
-        for a, b in zip(cut, np.append(cut[1:], len(order))):
-            at = order[a:b]
-            for x, y in RTree(points[at], n[at], percent).pairs(part[at]):
-                found.update(zip(np.minimum(name[at[x]], name[at[y]]).tolist(), np.maximum(name[at[x]], name[at[y]]).tolist()))
-        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
-    return rows.groupBy("bin").applyInArrow(run, "a long, b long").distinct()
+        raw, found = points_of(group.column("point").to_pylist()), np.zeros(group.num_rows, bool)
+        for at, side in _searches(group):
+            n, part = _numbers(group, at)
+            has = np.zeros(len(at), bool)
+            for x, y in RTree(raw[at], n, percent).pairs(part, side, lambda a, b: has[a].all() and has[b].all()):
+                has[x] = has[y] = True
+            found[at] = has
+        return group.select(columns).filter(pa.array(found))
+    return rows.groupBy("bin").applyInArrow(run, members.schema)
+
+
+def joining_links(members: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """u, v: verified links that join all components of each neighbourhood that linked sets lie in."""
+    total = members.agg(F.sum("n")).first()[0] or 0
+    bins = max(1, -(-8 * total // BIN_BYTES))
+    rows = members.join(whole, "set").withColumn("bin", F.pmod(F.xxhash64("s", "low", "high"), F.lit(bins)))
+
+    def run(group: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        name, raw = group.column("set").to_numpy(), group.column("shingles").to_pylist()
+        for at, side in _searches(group):
+            own = [np.frombuffer(raw[i], np.uint64) for i in at]
+            n, part = _numbers(group, at)
+            tree = RTree(np.stack([point(s) for s in own]), n, percent)
+            for x, y in tree.pairs(part, side, lambda a, b: len(a) == 0 or (part[a] == part[a[0]]).all() and (part[b] == part[a[0]]).all()):
+                for i, j in zip(x.tolist(), y.tolist()):
+                    if part[i] != part[j] and linked(own[i], own[j], percent):
+                        found.append((int(name[at[i]]), int(name[at[j]])))
+                        part[part == part[j]] = part[i]
+        return pa.table({"u": pa.array([p[0] for p in found], pa.int64()), "v": pa.array([p[1] for p in found], pa.int64())})
+    return rows.groupBy("bin").applyInArrow(run, "u long, v long").distinct()
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -262,14 +352,15 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     links = verified(bounded(first_pairs(groups, percent), sets, percent), docs, sets, words, percent)
     known = components(links).select(F.col("node").alias("set"), "component")
-    parted = groups.join(known, "set", "left").withColumn("part", F.coalesce("component", "set")).drop("component")
-    mixed = parted.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token")
-    mixed = stored(parted.join(mixed, "token").select("token", "set", "n", "part"), "mixed-groups")
-    bins = max(1, -(-mixed.count() // BIN_ROWS))
-    searched = mixed.join(sets.select("set", "point"), "set").withColumn("bin", F.pmod(F.xxhash64("token"), F.lit(bins)))
-    more = verified(search_groups(searched, percent), docs, sets, words, percent)
+    members = stored(neighbourhoods(groups, known, CHUNK), "searched-sets")
+    drop_stored(groups)
+    near = stored(with_partners(members, sets, percent, BIN_ROWS), "sets-with-partners")
+    whole, wanted = whole_sets(docs, sets, near.select("set").distinct(), words)
+    more = stored(joining_links(near, whole, percent), "joining-links")
+    drop_stored(members, near, whole, wanted)
 
     parts = components(links.unionByName(more)).select(F.col("node").alias("set"), "component")
+    drop_stored(links, more)
     return rows.join(parts, "set", "left").withColumn("part", F.coalesce("component", "set")).select("doc_id", "set", "n", "part")
 
 
@@ -284,15 +375,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, one of each component: its smallest id. Rows without shingles all stay."""
     named = _classes(_texts(docs, id_col, text_col), words, percent).filter(F.col("part").isNotNull())
-    kept = named.groupBy("part").agg(F.min(F.struct("doc_id", "set")).alias("k")).select(F.col("k.doc_id").alias("_llm_id"), F.col("k.set").alias("_llm_kept"))
+    own, key, keeps = free(docs, "_llm_set"), free(docs, "_llm_id"), free(docs, "_llm_kept")
+    kept = named.groupBy("part").agg(F.min(F.struct("doc_id", "set")).alias("k")).select(F.col("k.doc_id").alias(key), F.col("k.set").alias(keeps))
 
     def run(batch):
         sets = shingle_sets(batch.column(batch.schema.get_field_index(text_col)), words)
-        return with_columns(batch, _llm_set=pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()))
-    rows = map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("_llm_set", T.LongType())]))
-    same = (F.col("_llm_set") == F.col("_llm_kept")) & F.col(id_col).eqNullSafe(F.col("_llm_id"))
-    chosen = rows.join(kept, same, "left_semi").dropDuplicates([id_col, "_llm_set"])
-    return chosen.unionByName(rows.filter(F.col("_llm_set").isNull())).drop("_llm_set")
+        return with_columns(batch, **{own: pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())})
+    rows = map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())]))
+    same = (F.col(own) == F.col(keeps)) & F.col(id_col).eqNullSafe(F.col(key))
+    chosen = rows.join(kept, same, "left_semi").dropDuplicates([id_col, own])
+    return chosen.unionByName(rows.filter(F.col(own).isNull())).drop(own)
 
 
 SQL = r"""
