@@ -51,6 +51,23 @@ def test_streaming_equals_whole_viterbi(seed):
     assert out + s.finish() == whole(v, text)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_window_equals_whole_viterbi(seed):
+    r = random.Random(100 + seed)
+    pieces = {c: -8.0 - i for i, c in enumerate("ab▁")}
+    for _ in range(25):
+        pieces["".join(r.choice("abc▁") for _ in range(r.randint(2, 6)))] = -float(r.randint(1, 9))
+    v = toy(pieces)
+    for n in range(40):
+        text = "".join(r.choice("abcd▁é") for _ in range(n))
+        assert V.window(v, text).tolist() == whole(v, text)
+
+
+def test_long_stretches_are_streamed_with_the_same_ids(real):
+    text = "".join(random.Random(1).choices("abcdefgh", k=3000))
+    assert real.encode(text).tolist() == whole(real.v, V.MARK + text)
+
+
 def test_nodes_stay_within_the_longest_piece_when_paths_converge():
     v = toy({"a": -1.0, "ab": -1.5, "b": -1.0, "abab": -4.5})
     s, n, most = V.StreamingViterbi(v), 0, 0

@@ -3,7 +3,8 @@
 The best segmentation of a text maximizes the sum of its pieces' scores in the vocabulary file. The search reads the
 text character by character and keeps nodes only for boundaries within the longest piece's length and for boundaries on
 a surviving backpointer path. Whenever all surviving paths converge on one boundary, the ids before it are committed
-and their nodes go; so memory depends on the longest piece, not on the text.
+and their nodes go; so memory depends on the longest piece, not on the text. Stretches between sure boundaries (below) that are no longer than a
+few pieces are searched in one window of that size; in ordinary text these are nearly all, longer ones are streamed.
 
 No piece of such a vocabulary has a word mark behind another character (checked when it is loaded), so every path goes through the
 boundary before a word. What lies between two such boundaries has one result wherever it stands, and each worker
@@ -20,6 +21,7 @@ equal results; an empty table gives no rows; all other columns pass.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +36,8 @@ MARK = "▁"
 #: Largest vocabulary file that is sent to the executors.
 MAX_BYTES = 64 << 20
 MEMO, MEMO_CHARS = 150_000, 48
+#: Stretches of up to so many times the longest piece are one window: nothing before their end would be committed much earlier.
+WINDOWS = 4
 INFINITY = float("inf")
 
 
@@ -46,6 +50,7 @@ class Vocabulary:
     longest: int
     by_words: bool
     suffixes: dict  # pieces by their characters from the last to the first; "" holds (ids, score)
+    prefixes: dict  # pieces by their characters: character -> [characters that follow, id or None, score]
     stretch: re.Pattern  # what lies between two boundaries that no piece crosses
 
     @classmethod
@@ -75,11 +80,18 @@ class Vocabulary:
             for c in reversed(piece):
                 node = node.setdefault(c, {})
             node[""] = ((i,), score)
+        prefixes: dict = {}
+        for piece, (i, score) in pieces.items():
+            following = prefixes
+            for c in piece:
+                entry = following.setdefault(c, [{}, None, 0.0])
+                following = entry[0]
+            entry[1:] = i, score
         by_words = not any(MARK in p.lstrip(MARK) for p in pieces)
         joined = set("".join(p for p in pieces if len(p) > 1))
         alone = "".join(re.escape(chr(c)) for c in range(2, 128) if chr(c) not in joined)  # characters that no longer piece holds
         pattern = f"{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]" if alone else f"{MARK}*[^{MARK}]+|{MARK}+"
-        return cls(pieces, byte_ids, texts, lowest - 10.0, max(map(len, pieces), default=1), by_words, suffixes, re.compile(pattern if by_words else "(?s:.+)"))
+        return cls(pieces, byte_ids, texts, lowest - 10.0, max(map(len, pieces), default=1), by_words, suffixes, prefixes, re.compile(pattern if by_words else "(?s:.+)"))
 
 
 class StreamingViterbi:
@@ -150,6 +162,40 @@ class StreamingViterbi:
         return [i for ids in reversed(out) for i in ids]
 
 
+def window(v: Vocabulary, part: str) -> array:
+    """Ids of a short stretch: the same search over one window, from each boundary along the pieces that begin there.
+
+    Boundaries are taken in order, so of equal sums the one set first, by the longest last piece, stays.
+    """
+    n = len(part)
+    score, back, ids = [0.0] + [-INFINITY] * n, [0] * (n + 1), [None] * (n + 1)
+    prefixes, pieces = v.prefixes, v.pieces
+    for i in range(n):
+        here, following, j = score[i], prefixes, i
+        while j < n:
+            entry = following.get(part[j])
+            if entry is None:
+                break
+            following, known, gain = entry
+            j += 1
+            if known is not None and here + gain > score[j]:
+                score[j], back[j], ids[j] = here + gain, i, known
+        if part[i] not in pieces:
+            raw = part[i].encode("utf-8", "surrogatepass")
+            if here + v.byte_score * len(raw) > score[i + 1]:
+                score[i + 1], back[i + 1], ids[i + 1] = here + v.byte_score * len(raw), i, raw
+    path, i = array("i"), n
+    while i:
+        known = ids[i]
+        if type(known) is bytes:
+            path.extend([v.byte_ids[b] for b in reversed(known)])
+        else:
+            path.append(known)
+        i = back[i]
+    path.reverse()
+    return path
+
+
 def stretches(text: str, pattern: re.Pattern) -> Iterator[tuple[str, bool]]:
     """(characters with spaces as word marks, whether literal word marks are escaped in them) between sure boundaries."""
     literal = MARK in text
@@ -166,6 +212,8 @@ class Encoder:
         self.v, self.memo, self.older = vocabulary, {}, {}
 
     def _encode(self, part: str, escaped: bool) -> bytes:
+        if not escaped and len(part) <= WINDOWS * self.v.longest:
+            return window(self.v, part).tobytes()
         stream, out = StreamingViterbi(self.v), []
         if not escaped:
             out += stream.feed(part)
@@ -229,7 +277,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text", ids_col: str = "_llm_ids") -> DataFrame:
-    """All columns of ``docs`` and the ids of the text."""
+    """All columns of ``docs`` and the ids of the text; a column of that name is replaced."""
+    docs = docs.drop(*{ids_col} - {text_col})
     model = _model(docs.sparkSession, vocabulary)
 
     def run(batch):
@@ -250,7 +299,8 @@ def decode(docs: DataFrame, vocabulary: str = VOCABULARY, ids_col: str = "_llm_i
 
 
 def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text", ids_col: str = "_llm_ids", decoded_col: str = "_llm_decoded") -> DataFrame:
-    """All columns of ``docs``, the ids of the text and the text decoded from them, in one pass."""
+    """All columns of ``docs``, the ids of the text and the text decoded from them, in one pass; columns of these two names are replaced."""
+    docs = docs.drop(*{ids_col, decoded_col} - {text_col})
     model = _model(docs.sparkSession, vocabulary)
 
     def run(batch):
