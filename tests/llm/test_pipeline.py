@@ -29,7 +29,7 @@ def test_stages(spark):
         elif k == 1:
             assert sorted((r["doc_id"], r["text"]) for r in rows) == [(i, t) for i, _, _, t in plain_lines(pairs)]
         elif k == 2:
-            assert sorted(r["doc_id"] for r in rows) == sorted({c for _, n, c in plain_classes(pairs) if n})
+            assert sorted(r["doc_id"] for r in rows) == sorted({c for _, n, c in plain_classes(pairs, 5, 80) if n})
         elif k == 3:
             items = [tuple(r) for r in table(spark, SF, "benchmark").collect()]
             assert sorted(r["doc_id"] for r in rows) == sorted(m[0] for m in plain_marks(pairs, items) if not m[5])

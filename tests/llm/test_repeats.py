@@ -109,15 +109,15 @@ def test_runs_hold_every_window_once():
             assert seen.setdefault(units[at:at + 20].tobytes(), k) == k  # equal windows have equal anchors
 
 
-def plain_classes(rows):
+def plain_classes(rows, words=4, percent=85):
     sets = []
     for _, t in rows:
         x = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-        sets.append({tuple(x[i:i + 4]) for i in range(max(1, len(x) - 3))} if x else set())
+        sets.append({tuple(x[i:i + words]) for i in range(max(1, len(x) - words + 1))} if x else set())
     label = [r[0] for r in rows]
     changed = True
     links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b]
-             and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+             and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     while changed:
         changed = False
         for a, b in links:

@@ -1,7 +1,6 @@
 """Registered queries of the corpus operators and, where SQL can express them, their DuckDB SQL."""
 from __future__ import annotations
 
-import corpus_pipeline
 from tickloom.llm import (
     bk_tree, decontaminate, exact_dedup, filter_audit, html_text, language_id, line_dedup, merkle, ngram_join, suffix_array, suffix_tree, toxicity, viterbi)
 
@@ -19,7 +18,6 @@ LLM_QUERIES = {
     "op11_sparse_matrix_audit": filter_audit.query,
     "op12_merkle_descent": merkle.query,
     "op13_bk_trees": bk_tree.query,
-    "pipeline": corpus_pipeline.run,
 }
 LLM_ORACLES = {
     "op2_wu_manber": decontaminate.SQL.strip(),
