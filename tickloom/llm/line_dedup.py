@@ -13,7 +13,7 @@ The index holds all distinct hashes, so a probe of an indexed document always fi
 guards probes of documents outside the index. Two keys are taken for one only if their 128-bit hashes agree.
 
 Defined cases: null and empty texts have one empty line; every row counts as a document of its own, rows that
-repeat the largest doc_id all keep their lines; a repeated line inside one document counts once for it; an empty
+repeat the largest doc_id all keep their lines, and so do rows without a doc_id, which count as documents too; a repeated line inside one document counts once for it; an empty
 table gives no rows. Only the id and text columns are read; ``drop_lines`` passes all other columns on.
 """
 from __future__ import annotations
@@ -24,9 +24,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tickloom.llm.common import map_batches, mix, stored, string_array, table, with_columns
+from tickloom.llm.common import free, map_batches, mix, stored, string_array, table, with_columns
 
 BLANK = " \t\n\x0b\x0c\r"
+NO_ID = -(1 << 63)  # stands for a null doc_id
 SHARD_KEYS, SHARD_PROBES = 200_000, 400_000
 LEVELS = 24  # a level keeps about 60 % of its hashes; what is left after the last lies in a sorted list
 
@@ -60,7 +61,7 @@ def probes_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
         return pa.RecordBatch.from_arrays(
             [ids.take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
             names=["doc_id", "h1", "h2"])
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), run, "doc_id long, h1 long, h2 long")
+    return map_batches(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col)), run, "doc_id long, h1 long, h2 long")
 
 
 def _slots(h1: np.ndarray, h2: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -159,7 +160,7 @@ def _probe(min_docs: int):
         drop = known.copy()
         drop[known] = np.frombuffer(row["counts"], np.uint32)[slot[known]] >= min_docs
         ids = asked.column("doc_id").to_numpy()
-        drop[drop] = np.frombuffer(row["keep"], np.int64)[slot[drop]] != ids[drop]
+        drop[drop] = (np.frombuffer(row["keep"], np.int64)[slot[drop]] != ids[drop]) & (ids[drop] != NO_ID)
         return pa.table({"doc_id": ids[drop], "h1": h1[drop].view(np.int64), "h2": h2[drop].view(np.int64)})
     return run
 
@@ -176,15 +177,17 @@ def probe_index(index: DataFrame, shards: int, probes: DataFrame, min_docs: int,
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """All columns of ``docs`` and ``_llm_lines``, ``_llm_dropped``, ``_llm_kept`` (the text that stays)."""
+    """All columns of ``docs`` and ``_llm_lines``, ``_llm_dropped``, ``_llm_kept`` (the text that stays); columns of these names are replaced."""
+    docs = docs.drop("_llm_lines", "_llm_dropped", "_llm_kept")
+    lost, key = free(docs, "_llm_gone"), free(docs, "_llm_id")
     probes = probes_of(docs, id_col, text_col, min_chars)
     index, shards = build_index(probes)
     gone = probe_index(index, shards, probes, min_docs).groupBy("doc_id").agg(
-        F.collect_list(F.struct("h1", "h2")).alias("_llm_gone")).withColumnRenamed("doc_id", "_llm_id")
+        F.collect_list(F.struct("h1", "h2")).alias(lost)).select(F.col("doc_id").alias(key), lost)
 
     def run(batch):
         lines, dropped, kept = [], [], []
-        gone = batch.column(batch.schema.get_field_index("_llm_gone")).to_pylist()
+        gone = batch.column(batch.schema.get_field_index(lost)).to_pylist()
         for text, out in zip(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), gone):
             rows = (text or "").split("\n")
             lines.append(len(rows))
@@ -196,10 +199,10 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return with_columns(batch, _llm_lines=pa.array(lines, pa.int64()), _llm_dropped=pa.array(dropped, pa.int64()),
                             _llm_kept=string_array(kept))
 
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_llm_id"), "left").drop("_llm_id")
+    joined = docs.join(gone, docs[id_col].cast("long") == gone[key], "left").drop(key)
     schema = T.StructType([*joined.schema.fields, T.StructField("_llm_lines", T.LongType()),
                            T.StructField("_llm_dropped", T.LongType()), T.StructField("_llm_kept", T.StringType())])
-    return map_batches(joined, run, schema).drop("_llm_gone")
+    return map_batches(joined, run, schema).drop(lost)
 
 
 SQL = r"""
