@@ -2,7 +2,7 @@
 
 1. Lexicon: the words of labelled training texts are counted by label (one Spark aggregation over all of them, in which
    near copies of a text share one vote);
-   words that mark toxic texts far more often than chance (log-likelihood ratio) form the lexicon, at most ``TERMS``.
+   words that mark toxic texts far more often than chance (log-likelihood ratio) form the lexicon, all of them.
    Beginnings of 5 to 7 letters compete with whole words; those that win are stems, which match all words they begin.
 2. A trie of the lexicon is walked together with the Levenshtein automaton of a word: the automaton's state is the
    row of edit distances, a branch ends when no entry is within the distance its terms allow (0 below 4 letters, 1
@@ -31,7 +31,7 @@ from tickloom.llm.common import map_batches, mix, stored, table, with_columns
 from tickloom.llm.language_id import held_out
 from tickloom.llm.ngram_join import shingle_sets
 
-TERMS, SAMPLE, SURE, THRESHOLD = 5000, 20_000, 25.0, 0.3
+SAMPLE, SURE, THRESHOLD = 20_000, 25.0, 0.3
 WINDOW = 4
 STEMS = (5, 6, 7)
 FAR = 99
@@ -144,7 +144,13 @@ class Lexicon:
 
 def quoted(text: str, start: int, end: int) -> bool:
     """Whether the window of words around [start, end) shows a quotation."""
-    left, right = " ".join(text[max(0, start - 200):start].rsplit(None, WINDOW)[-WINDOW:]), " ".join(text[end:end + 200].split(None, WINDOW)[:WINDOW])
+    reach, before, after = 200, [], []
+    while True:  # until the words around are complete, however long they are
+        before, after = text[max(0, start - reach):start].rsplit(None, WINDOW), text[end:end + reach].split(None, WINDOW)
+        if (len(before) > WINDOW or reach >= start) and (len(after) > WINDOW or end + reach >= len(text)):
+            break
+        reach *= 4
+    left, right = " ".join(before[-WINDOW:]), " ".join(after[:WINDOW])
     if any(c in QUOTES for c in left) and any(c in QUOTES for c in right):
         return True
     return any(w in REPORTING for w in _word.findall(left))
@@ -247,8 +253,8 @@ def count_words(train: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
 
-def fit(train: DataFrame, *, terms: int = TERMS, sample: int = SAMPLE) -> Model:
-    """Learn from columns doc_id, text, toxic (0 or 1)."""
+def fit(train: DataFrame, *, sample: int = SAMPLE) -> Model:
+    """Learn from columns doc_id, text, toxic (0 or 1). Every term that passes the test is in the lexicon: a lexicon is word types, not rows."""
     train = weighted(train)
     totals = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
     n1, n0 = totals.get(1, 0.0), totals.get(0, 0.0)
@@ -265,7 +271,7 @@ def fit(train: DataFrame, *, terms: int = TERMS, sample: int = SAMPLE) -> Model:
                  + part(n1 - t, (total - df) * n1 / total) + part(n0 - c, (total - df) * n0 / total))
     precision = (t + 0.5 * n1 / total) / (df + 0.5)
     marked = count_words(train).withColumn("g", ratio).withColumn("p", precision).filter((F.col("g") >= SURE) & (F.col("p") >= 0.5))
-    best = marked.orderBy(F.desc("g"), "term").limit(terms).collect()
+    best = marked.collect()
     weights = {r["term"]: float(np.log(r["p"] / max(1e-3, 1 - r["p"])) + np.log(n0 / n1)) for r in best}
 
     shared = train.sparkSession.sparkContext.broadcast(Model(weights, np.zeros(FEATURES + 1)))
@@ -284,7 +290,8 @@ def fit(train: DataFrame, *, terms: int = TERMS, sample: int = SAMPLE) -> Model:
 
 
 def rate(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "_llm_") -> DataFrame:
-    """All columns of ``docs`` and, named with the prefix, score and predicted."""
+    """All columns of ``docs`` and, named with the prefix, score and predicted; columns of these names are replaced."""
+    docs = docs.drop(f"{prefix}score", f"{prefix}predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch):
