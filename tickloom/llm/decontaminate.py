@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tickloom.llm.common import map_batches, table, text_or_empty, with_columns
+from tickloom.llm.common import free, map_batches, table, text_or_empty, with_columns
 
 BLOCK_BYTES = 2 << 20
 #: Bytes that belong to words stand for themselves, A-Z for a-z, all others for a space.
@@ -121,10 +121,14 @@ FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, contaminat
 
 def mark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id",
          item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES, prefix: str = "_llm_") -> DataFrame:
-    """All columns of ``docs`` and, named with the prefix, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """All columns of ``docs`` and, named with the prefix, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Columns that have these names already are replaced.
+    """
     spark = docs.sparkSession
-    out, state = docs, f"{prefix}state"
     names = [f.split()[0] for f in FOUND.split(", ")]
+    docs = docs.drop(*(f"{prefix}{n}" for n in names if f"{prefix}{n}" != text_col))
+    out, state = docs, free(docs, f"{prefix}state")
     fields = T.StructType([T.StructField(f"{prefix}{f.name}", f.dataType) for f in T._parse_datatype_string(FOUND)])
     parts = [spark.sparkContext.broadcast(b) for b in blocks(benchmark, item_col, item_text, block_bytes)]
     for k, part in enumerate(parts):

@@ -18,11 +18,11 @@ table gives no rows; all other columns pass.
 """
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tickloom.llm.common import map_batches, table, with_columns
@@ -32,7 +32,7 @@ CLUSTERS, SAMPLE, LONG = 4, 400, 200
 #: More languages than this would make the broadcast model larger than about 130 MB (32 KB a centroid).
 MAX_LANGUAGES = 1000
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_letter = re.compile(r"[^\W\d_]")
+_letter = regex.compile(r"\p{L}")
 
 
 def bins(text: str | None) -> np.ndarray | None:
@@ -155,7 +155,8 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "_llm_") -> DataFrame:
-    """All columns of ``docs`` and, named with the prefix, lang_pred, score, rejected."""
+    """All columns of ``docs`` and, named with the prefix, lang_pred, score, rejected; columns of these names are replaced."""
+    docs = docs.drop(*(f"{prefix}{n}" for n in ("lang_pred", "score", "rejected")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch):
