@@ -1,3 +1,5 @@
+import pytest
+
 from tickloom.llm import html_text as H
 
 
@@ -77,3 +79,13 @@ def test_copies_of_an_article_with_a_counter_stay(spark):
 def test_paragraphs_with_inline_marks_stay(spark):
     bodies = [f"<article><p>{'abcdefgh'[k]} <a><b>x</b></a><em><i>y</i></em><span><b>z</b></span><u><b>w</b></u></p></article>" for k in range(8)]
     assert texts(spark, bodies) == [f"{'abcdefgh'[k]} xyzw" for k in range(8)]
+
+
+@pytest.mark.parametrize("source, text", [
+    ('<article class="post share"><h1>T</h1><p>Body text.</p></article>', "T\nBody text."),
+    ('<article class="search-result promo"><p>Body.</p></article>', "Body."),
+    ('<article><p class="side-by-side">One.</p><p id="notice-of-award">Two.</p><div class="share-buttons">x</div><p class="ad-slot">y</p></article>', "One.\nTwo."),
+    ('<article><p>Body.</p><article class="comment byuser"><p>first!</p></article></article>', "Body."),
+])
+def test_articles_stay_whatever_their_class(source, text):
+    assert H.main_text(source) == text

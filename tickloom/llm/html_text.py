@@ -15,7 +15,8 @@ parts too. Inside an ``article`` (``main``) pages with the same article (labelle
 copies of an article on one host stay and what different articles repeat goes.
 
 What a page labels itself is evidence: scripts, styles, forms, menus, headers, footers, asides, hidden parts, and elements whose
-class, id or role names a menu, advert, notice, comment and so on are never text. On a page with text in an ``article`` or
+class, id or role names a menu, advert, notice, comment and so on are never text. An ``article`` is text whatever its class says, unless
+that names a reader's comment. On a page with text in an ``article`` or
 ``main``, text outside them is kept too, but its branch is noise below the higher bound ``LOW_OUTSIDE``. On hosts with too few
 pages for statistics all blocks that are not so named stay.
 
@@ -83,6 +84,13 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _attr.finditer(raw)} if raw and not raw.isspace() else {}
 
 
+def _words(attrs: dict[str, str]) -> set[str]:
+    """The words of class, id and role. Names that are phrases (side-by-side, notice-of-award) say what a part is about, not its use."""
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower().split()
+    words = (set(_names.findall(name)) for name in names)
+    return set().union(*(w for w in words if not w & LINKING))
+
+
 def _noisy(tag: str, attrs: dict[str, str], inside: int) -> bool:
     if tag in NEVER or tag == "header" and not inside:
         return True
@@ -90,10 +98,17 @@ def _noisy(tag: str, attrs: dict[str, str], inside: int) -> bool:
         return False
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
-    names = set(_names.findall(f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower()))
+    names = _words(attrs)
+    if tag == "article":  # the text itself, whatever its class, unless it is a reader's
+        return bool(names & COMMENTS)
     return bool(names & NOISE) or not inside and bool(names & HEADERS)
 
 
+#: Words that make a name a phrase, and what class, id and role call the articles of readers.
+LINKING = frozenset("and as at by for from in of on or the to versus vs with".split())
+COMMENTS = frozenset("comment comments reply replies respond disqus discussion".split())
+
+
 class Page:
     """Blocks (path of element, text, noise, main) of a page in order, and its elements in pre-order."""
 
