@@ -147,12 +147,19 @@ def _descend(requests: DataFrame, segments: DataFrame, fanout: int, width: int)
     return cut.groupBy("g", "block").cogroup(segments.groupBy("g", "block")).applyInArrow(run, schema)
 
 
-def descend(tree: Tree, requests: DataFrame, above: DataFrame) -> DataFrame:
-    """Requests (g, rank, digest of leaves, more columns) with subroot and path, root first. ``above``: g, subroot, path of each root."""
+def descend(tree: Tree, requests: DataFrame, above: DataFrame | None = None) -> DataFrame:
+    """Requests (g, rank, digest of leaves, more columns) with subroot and path, root first.
+
+    ``above``: g, subroot, path of each root; without it paths begin at the roots of the trees.
+    """
     below = None
     for t in range(len(tree.tiers) - 1, -1, -1):
         segments = tree.tiers[t]
-        tops = segments.filter("top").join(above, "g").select(*segments.columns, "subroot", "path")
+        tops = segments.filter("top")
+        if above is None:
+            tops = tops.withColumns({"subroot": F.col("digest"), "path": F.expr(f"cast(array() as {PATH})")})
+        else:
+            tops = tops.join(above, "g").select(*segments.columns, "subroot", "path")
         if below is not None:
             inner = segments.filter("not top").join(below.select("g", F.col("rank").alias("block"), "subroot", "path"), ["g", "block"])
             tops = tops.unionByName(inner.select(*segments.columns, "subroot", "path"))
@@ -186,10 +193,8 @@ def manifest(rows: DataFrame, group: str, key: str, digest: str = "digest", *, f
 
 def proofs(m: Manifest, requests: DataFrame | None = None) -> DataFrame:
     """The requested leaves (all without ``requests``; columns g, rank, digest and more) with subroot and path, the leaf's siblings first."""
-    spark = m.leaves.sparkSession
-    start = spark.range(1).select(F.lit("").alias("g"), F.lit(m.root).alias("subroot"), F.expr(f"cast(array() as {PATH})").alias("path"))
     asked = m.subroots.select(F.lit("").alias("g"), "rank", "digest", F.col("g").alias("name"))
-    above = stored(descend(m.top, asked, start).select(F.col("name").alias("g"), F.col("digest").alias("subroot"), "path"), "merkle-above")
+    above = stored(descend(m.top, asked).select(F.col("name").alias("g"), F.col("digest").alias("subroot"), "path"), "merkle-above")
     found = descend(m.groups, m.leaves if requests is None else requests, above)
     return found.withColumn("path", F.reverse("path"))
 
