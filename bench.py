@@ -20,9 +20,10 @@ HEADLINE = [
     "WIN1_sma", "WIN10_macd_signal", "WIN14_ma_crossover", "WIN15_rsi_strategy", "WIN18_interpolated", "WIN28_run_summary",
     "FCT1_walk_forward_closed_form", "FCT2_intraday_closed_form", "FCT1_walk_forward_arima", "RPT1_performance_grid",
     "STR1_minute_candles", "STR4_dedupe_counts", "STR7_stored_ticks", "VAL8_missing_minutes", "VAL11_lag_alerts",
-    "MNT1_retention", "MNT2_compaction", "MNT3_purge_source", "VAL9_filled_minutes", "RPT5_daily_job", "DUP1_lowest_id", "FCT4_order_choice",
+    "MNT1_retention", "MNT2_compaction", "MNT3_purge_source", "VAL9_filled_minutes", "RPT5_daily_job", "DUP1_lowest_id",
+    "STR5_expiring_prices", "STR8_dead_letters", "VAL9_repair_run", "WIN26_minute_drawdown", "AGG24_run_medians", "RPT5_target_date_checks",
 ]
-HEAVY = {"FCT1_walk_forward_arima", "FCT4_order_choice"}  # timed on the first run
+HEAVY = {"FCT1_walk_forward_arima"}  # timed on the first run
 
 
 def main():
