@@ -57,6 +57,20 @@ def test_span_context_equals_plain_windows(spark):
         assert same(got, plain)
 
 
+def test_what_follows_a_row_costs_no_frame_to_the_end(spark):
+    """Such a frame is computed anew for every row, so it grows with the square of a span or a series."""
+    from pyspark.sql import Window
+    df = spark.range(600).select((F.col("id") % 2).alias("k"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"),
+                                 F.when(F.col("id") % 17 == 5, F.col("id")).alias("v"))
+    w = Window.partitionBy("k").orderBy("ts")
+    plain = df.withColumns({"last_x": F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+                            "first_x": F.first("v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    for span in (6000, None):
+        got = SP.with_context(df, ["k"], "ts", span, known={"x": F.col("v")})
+        assert got.columns == plain.columns and same(got, plain)
+        assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_cleaning_does_not_depend_on_span(spark, monkeypatch):
     df = spark.range(3000).filter("id % 7 <> 3").select(F.lit("S").alias("k"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"),
                                  F.when(F.col("id") % 500 == 11, 9000.0).otherwise(100 + F.sin(F.col("id") / 9.0)).alias("v"))
