@@ -43,6 +43,28 @@ def test_general_filter_agrees_with_first_order():
     assert np.allclose(first[0], general[0]) and np.allclose(first[1], general[1])
 
 
+def test_likelihood_of_the_search_is_that_of_the_model_to_the_last_bit():
+    r = np.random.default_rng(5)
+    y, begin = simulate(40, 90), r.integers(0, 30, 40)
+    y[np.arange(90)[None, :] < begin[:, None]] = 0.0
+    phi, theta = r.uniform(-.99, .99, 40), r.uniform(-.99, .99, 40)
+    for const in (np.zeros(40, bool), np.ones(40, bool), np.arange(40) % 3 == 0):
+        whole = arma._profile(y, phi[:, None], theta[:, None], const, begin)[0]
+        assert np.array_equal(whole, arma._first_order_llf(np.ascontiguousarray(y.T), phi, theta, const, begin))
+
+
+def test_a_pass_of_the_search_is_bounded(monkeypatch):
+    seen, llf = [], arma._first_order_llf
+    monkeypatch.setattr(arma, "_first_order_llf", lambda y, *a: seen.append(y.shape[1]) or llf(y, *a))
+    y, one = simulate(30, 60), np.ones(30, int)
+    whole = arma.fit(y, one, one, np.ones(30, bool))
+    monkeypatch.setattr(arma, "LANES", 100)
+    seen.clear()
+    parts = arma.fit(y, one, one, np.ones(30, bool))
+    assert 0 < max(seen) <= 100
+    assert all(np.array_equal(whole[k], parts[k]) for k in whole)
+
+
 def test_short_rows_fit_as_if_alone():
     y = simulate(1, 120)[0]
     alone = arma.fit(y[None, 40:], np.ones(1, int), np.ones(1, int), np.ones(1, bool))

@@ -20,7 +20,8 @@ PRICE_ARIMA, LOG_RETURN_ARIMA, AR_DIFF = "ARIMA", "LOG_RETURN_ARIMA", "ARIMA_110
 WARMUP, REFIT_EVERY, MAX_HISTORY, VOL_WINDOW, VOL_MULTIPLIER = 50, 5, 200, 20, 0.5
 P_VALUES, D_VALUES, Q_VALUES = (0, 1, 2, 3), (0, 1), (0, 1, 2, 3)
 MIN_RETURNS, MIN_TRAIN, HOLDOUT_MIN, HOLDOUT_SHARE, HOLDOUT_MAX_RETURNS = 30, 30, 10, 0.1, 30
-BLOCKS_PER_CHUNK = 64
+#: Fits of one batch: enough that numpy's cost of a call is small beside its work.
+BLOCKS_PER_CHUNK = 512
 
 
 def _fit_one_order(y, p, d, q, lengths):
