@@ -52,3 +52,12 @@ def test_colliding_digests_are_told_apart_by_bytes(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     write(tmp_path / "docs", [])
     assert X.exact_dedup(spark, str(tmp_path / "docs")).count() == 0
+
+
+def test_session_keeps_its_state_store(spark, tmp_path):
+    keys = [f"spark.sql.streaming.stateStore.{k}" for k in ("providerClass", "rocksdb.allowFAllocate")]
+    before = [spark.conf.get(k, None) for k in keys]
+    spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    from tickloom.llm import exact_dedup
+    assert exact_dedup.exact_dedup(spark, f"{tmp_path}/docs").filter("kept").count() == 2
+    assert [spark.conf.get(k, None) for k in keys] == before

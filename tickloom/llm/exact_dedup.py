@@ -18,11 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.llm.common import ready, stored, text_or_empty
-from tickloom.session import work_path
+from tickloom.session import with_conf, work_path
 
 #: Groups of copies whose digests are broadcast: about 100 bytes each in a hash table, 20 MB in all.
 BROADCAST_GROUPS = 200_000
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+           "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}  # many small stores: no reserved files
 
 
 def sha256(text: Column) -> Column:
@@ -40,8 +41,6 @@ def feed(spark: SparkSession, path: str, checkpoint: str, *, digest=sha256, id_c
          files_per_trigger: int | None = None) -> None:
     """Take every file of ``path`` that the checkpoint has not seen into the state, then stop."""
     ready(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores: no reserved files
     source = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         source = source.option("maxFilesPerTrigger", files_per_trigger)
@@ -50,8 +49,9 @@ def feed(spark: SparkSession, path: str, checkpoint: str, *, digest=sha256, id_c
     rows = _located(source.parquet(path), digest, id_col, text_col).drop("text")
     state = rows.groupBy("digest").agg(
         F.max(F.struct("doc_id", "file", "row")).alias("kept"), F.count(F.lit(1)).alias("n"))
-    state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint) \
-        .trigger(availableNow=True).start().awaitTermination()
+    with with_conf(spark, ROCKSDB):
+        state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint) \
+            .trigger(availableNow=True).start().awaitTermination()
 
 
 def held(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -80,7 +80,8 @@ def collisions(rows: DataFrame, state: DataFrame) -> DataFrame:
 
 def resolve(spark: SparkSession, path: str, checkpoint: str, *, digest=sha256, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``path``."""
-    state = stored(held(spark, checkpoint), "exact-held")
+    with with_conf(spark, ROCKSDB):
+        state = stored(held(spark, checkpoint), "exact-held")
     rows = _located(ready(spark).read.parquet(path), digest, id_col, text_col).withColumn("sha", sha256(F.col("text")))
     collided = collisions(rows, state)
     out = rows.select("doc_id", "digest", "sha").join(state.select("digest", "keep_id", "group_size"), "digest")
