@@ -1,13 +1,14 @@
 """Helpers shared by the corpus operators: stored steps, Arrow maps over texts, hashing of byte windows."""
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, functions as F
 
 from tickloom.session import drop_path, prepare, work_path
 
@@ -65,15 +66,39 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and what they hold adds up over the steps of a job."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch; batches without rows are skipped."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+        try:
+            for batch in batches:
+                out = fn(batch) if batch.num_rows else None
+                del batch
+                if out is not None:
+                    yield out
+                    del out
+        finally:
+            give_back()
     return df.mapInArrow(run, schema)
 
 
+def map_groups(grouped: GroupedData, fn: Callable[[pa.Table], pa.Table], schema) -> DataFrame:
+    """``applyInArrow`` with a function of one group."""
+    def run(group: pa.Table) -> pa.Table:
+        try:
+            return fn(group)
+        finally:
+            give_back()
+    return grouped.applyInArrow(run, schema)
+
+
 def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     """The batch and more columns behind its own."""
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
@@ -196,11 +221,11 @@ class ByteValues:
         return BYTE_VALUE[self.data[part]]
 
 
-HASH_STEP, LONG_WORD = 1 << 20, 64
+HASH_STEP, LONG_WORD = 1 << 16, 64
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, taken over about a megabyte of text at a time; longer words are hashed one by one.
+    """64-bit hashes of words, taken over ``HASH_STEP`` bytes of text at a time; longer words are hashed one by one.
 
     Polynomial hashes modulo 2^64 confuse certain long words (Thue-Morse words), so they name short ones only.
     """

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from tickloom.llm.common import LOWER, bytes_of, drop_stored, free, map_batches, mix, stored, table, with_columns, word_hashes, word_spans
+from tickloom.llm.common import LOWER, bytes_of, drop_stored, free, map_batches, map_groups, mix, stored, table, with_columns, word_hashes, word_spans
 from tickloom.llm.components import components
 from tickloom.llm.joins import left_by_count
 
@@ -43,11 +43,23 @@ OFTEN, FREQUENT = 8, 500_000
 BROADCAST_IDS = 2_000_000
 #: Sets of a neighbourhood that one task searches, rows and bytes of shingles of a bin of neighbourhoods.
 CHUNK, BIN_ROWS, BIN_BYTES = 4096, 50_000, 16 << 20
+#: Bytes of texts that are split into words at a time; the arrays of words take about 20 times as much.
+SPLIT = 1 << 20
 _factors = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
+    """Sorted distinct shingle hashes of each text, taken over about ``SPLIT`` bytes of texts at a time."""
+    _, offsets = bytes_of(texts)
+    out, at = [], 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SPLIT, "right")) - 1)
+        out += _shingle_sets(texts.slice(at, upto - at), words)
+        at = upto
+    return out
+
+
+def _shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     data, offsets = bytes_of(texts)
     data = LOWER[data]
     start, end, first = word_spans(data, offsets)
@@ -84,8 +96,9 @@ def point(shingles: np.ndarray) -> np.ndarray:
     return np.full(GROUPS, MANY, np.uint8) if counts.max() >= MANY else counts.astype(np.uint8)
 
 
-def points_of(raw: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, GROUPS)
+def points_of(raw: pa.Array) -> np.ndarray:
+    """The points of a column without nulls, not copied."""
+    return bytes_of(raw)[0].reshape(-1, GROUPS)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -163,7 +176,7 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     def run(batch):
         na, nb = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("na", "nb"))
-        pa_, pb = (points_of(batch.column(batch.schema.get_field_index(c)).to_pylist()) for c in ("pa", "pb"))
+        pa_, pb = (points_of(batch.column(batch.schema.get_field_index(c))) for c in ("pa", "pb"))
         inter = np.minimum(pa_, pb).sum(axis=1, dtype=np.int64)
         keep = pa.array((100 * inter >= percent * (na + nb - inter)) | (pa_[:, 0] == MANY) | (pb[:, 0] == MANY))
         return batch.select(["a", "b"]).filter(keep)
@@ -192,6 +205,12 @@ def whole_sets(docs: DataFrame, sets: DataFrame, needed: DataFrame, words: int)
     return stored(shingle_rows(docs, wanted, words), "shingles"), wanted
 
 
+def _shingles(column: pa.Array) -> list[np.ndarray]:
+    """The shingles of each set of a column without nulls, not copied."""
+    data, offsets = bytes_of(column)
+    return [data[a:b].view(np.uint64) for a, b in zip(offsets[:-1], offsets[1:])]
+
+
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets of shingles link."""
     if len(x) > len(y):
@@ -209,8 +228,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, per
     whole, wanted = whole_sets(docs, sets, needed, words)
 
     def run(batch):
-        keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        keep = [linked(x, y, percent) for x, y in zip(_shingles(batch.column(2)), _shingles(batch.column(3)))]
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).rename_columns(["u", "v"])
     both = pairs.join(whole.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(
         whole.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
@@ -303,7 +321,7 @@ def with_partners(members: DataFrame, sets: DataFrame, percent: int, bin_rows: i
     columns = members.columns
 
     def run(group: pa.Table) -> pa.Table:
-        raw, found = points_of(group.column("point").to_pylist()), np.zeros(group.num_rows, bool)
+        raw, found = np.concatenate([points_of(c) for c in group.column("point").chunks]), np.zeros(group.num_rows, bool)
         for at, side in _searches(group):
             n, part = _numbers(group, at)
             has = np.zeros(len(at), bool)
@@ -311,7 +329,7 @@ def with_partners(members: DataFrame, sets: DataFrame, percent: int, bin_rows: i
                 has[x] = has[y] = True
             found[at] = has
         return group.select(columns).filter(pa.array(found))
-    return rows.groupBy("bin").applyInArrow(run, members.schema)
+    return map_groups(rows.groupBy("bin"), run, members.schema)
 
 
 def joining_links(members: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -322,9 +340,9 @@ def joining_links(members: DataFrame, whole: DataFrame, percent: int) -> DataFra
 
     def run(group: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
-        name, raw = group.column("set").to_numpy(), group.column("shingles").to_pylist()
+        name, raw = group.column("set").to_numpy(), [s for c in group.column("shingles").chunks for s in _shingles(c)]
         for at, side in _searches(group):
-            own = [np.frombuffer(raw[i], np.uint64) for i in at]
+            own = [raw[i] for i in at]
             n, part = _numbers(group, at)
             tree = RTree(np.stack([point(s) for s in own]), n, percent)
             for x, y in tree.pairs(part, side, lambda a, b: len(a) == 0 or (part[a] == part[a[0]]).all() and (part[b] == part[a[0]]).all()):
@@ -333,7 +351,7 @@ def joining_links(members: DataFrame, whole: DataFrame, percent: int) -> DataFra
                         found.append((int(name[at[i]]), int(name[at[j]])))
                         part[part == part[j]] = part[i]
         return pa.table({"u": pa.array([p[0] for p in found], pa.int64()), "v": pa.array([p[1] for p in found], pa.int64())})
-    return rows.groupBy("bin").applyInArrow(run, "u long, v long").distinct()
+    return map_groups(rows.groupBy("bin"), run, "u long, v long").distinct()
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
