@@ -211,3 +211,66 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000)], "u long, v long")
     got = {r["node"]: r["component"] for r in C.components(links).collect()}
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
+
+
+def long_sets(seed, sizes, share):
+    """Pairs of sets with this share of common shingles."""
+    r = np.random.default_rng(seed)
+    sets = []
+    for n in sizes:
+        x = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        y = r.integers(0, 1 << 63, n + n // 40, dtype=np.uint64)
+        y[:int(n * share)] = x[:int(n * share)]
+        sets += [np.unique(x), np.unique(y)]
+    return sets
+
+
+def test_long_sets_without_common_shingles_are_not_searched_further():
+    """Two points of 256 coordinates allow a link between any two sets of 10,000 shingles."""
+    sets = long_sets(1, [9000, 10_000, 20_000], 0)
+    every, sizes = np.arange(6), np.array([len(s) for s in sets])
+    points, wide = np.stack([J.point(s) for s in sets]), [J.wide_point(s) for s in sets]
+
+    def found(**more):
+        return [p for x, y in J.RTree(points, sizes, 80, **more).pairs(every, every, lambda a, b: False) for p in zip(x, y)]
+    assert len(found()) > 3 and not found(wide=wide)
+    assert max(map(len, wide)) * 4 <= max(sizes)
+
+
+def test_wide_points_lose_no_pair():
+    sizes = [1500, 2040, 2050, 4090, 4100, 9000, 16_300, 16_500, 40_000]
+    sets = long_sets(2, sizes, .95)
+    assert len({len(J.wide_point(s)) for s in sets}) > 4
+    wide, x = J.WidePoints([J.wide_point(s) for s in sets]), np.arange(len(sets))
+    for i in x:
+        common = [len(np.intersect1d(sets[i], s)) for s in sets]
+        assert (wide.bound(np.full(len(sets), i), x) >= common).all()
+    tree = J.RTree(np.stack([J.point(s) for s in sets]), np.array([len(s) for s in sets]), 80, leaf=4, wide=[J.wide_point(s) for s in sets])
+    got = {(min(p), max(p)) for a, b in tree.pairs(x, x, lambda a, b: False) for p in zip(a.tolist(), b.tolist())}
+    assert {(2 * i, 2 * i + 1) for i in range(len(sizes))} <= got
+    hot = np.arange(0, 1 << 22, 1024, dtype=np.uint64)  # too many in a group for a byte
+    assert len(J.wide_point(hot)) == 0 and J.WidePoints([J.wide_point(hot), wide.points[-1]]).bound(np.array([0]), np.array([1]))[0] > 1 << 30
+
+
+def test_similar_long_texts(spark):
+    r = random.Random(12)
+    rows = []
+    for n in (2300, 4500, 9000, 9100):
+        base = [f"w{r.randrange(10 ** 6)}" for _ in range(n)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[n // 50:])), (len(rows) + 2, " ".join(base[:n // 2] + [f"o{r.random()}" for _ in range(n // 2)]))]
+    got = sorted(tuple(x) for x in J.similar(frame(spark, rows)).collect())
+    assert got == plain_classes(rows) and len({c for *_, c in got}) == 8
+
+
+@pytest.mark.parametrize("few", [2_000_000, 0])
+def test_texts_are_not_shuffled_to_keep_one_of_each_component(spark, monkeypatch, few):
+    monkeypatch.setattr(J, "BROADCAST_IDS", few)
+    t = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    rows = [(1, t[0]), (2, t[0] + " x"), (3, t[1]), (3, t[1]), (3, t[2]), (None, t[3]), (None, t[3]), (5, t[3]), (6, None), (6, None), (7, t[4]), (8, t[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(map(str, J.keep_one(docs).select("doc_id", F.substring("text", 1, 1)).collect()))
+    want = [(1, "a"), (3, "b"), (3, "c"), (None, "d"), (6, None), (6, None), (7, "e")]
+    assert kept == sorted(str(x) for x in spark.createDataFrame(want, "doc_id long, `substring(text, 1, 1)` string").collect())
+    once = stored(spark.createDataFrame([x for x in rows if x[0] in (1, 2, 7, 8)], "doc_id long, text string"), "t-once")
+    plan = J.keep_one(once)._jdf.queryExecution().executedPlan().toString()
+    assert not few or "Exchange hashpartitioning" not in plan

@@ -13,7 +13,8 @@ takes 5 and 80), and 4 and 0.85 below stand for them.
    members lie in several components are searched. Groups with the same first set are one neighbourhood, so near copies, which share
    many shingles, meet once. Points sorted by size are packed into leaves with bounding
    boxes; sum(min(a, b)) over the coordinates bounds the intersection of two points, and with the boxes' upper corners that of
-   two leaves. A first search over the points alone tells which sets have a partner of another component that may link; only
+   two leaves. Beyond about 6,000 shingles any two points of ``GROUPS`` coordinates allow a link, so sets of more than
+   ``WIDE * GROUPS`` also have a wide point, with coordinates in proportion to their shingles. A first search over the points alone tells which sets have a partner of another component that may link; only
    these bring their shingles to a second search, which verifies the pairs and gives the links that join components. Both give at most
    one row per member and task, never the pairs of a group. Neighbourhoods beyond ``CHUNK`` sets are searched as pairs of chunks.
 
@@ -37,6 +38,8 @@ from tickloom.llm.joins import left_by_count
 
 WORDS, PERCENT = 4, 85
 GROUPS, COARSE, LEAF = 256, 64, 64
+#: Shingles a coordinate of a wide point counts at most on average, and bytes of wide points that are compared at a time.
+WIDE, COMPARED = 8, 4 << 20
 #: Shingles in this many sets of an Arrow batch count as frequent; at most FREQUENT of them (8 bytes each) are broadcast.
 OFTEN, FREQUENT = 8, 500_000
 #: Document ids that are broadcast at most (8 bytes each); beyond, the texts meet them by a shuffle.
@@ -96,24 +99,74 @@ def point(shingles: np.ndarray) -> np.ndarray:
     return np.full(GROUPS, MANY, np.uint8) if counts.max() >= MANY else counts.astype(np.uint8)
 
 
+def wide_point(shingles: np.ndarray) -> np.ndarray:
+    """Numbers of shingles in so many groups (a power of two) that sets without common shingles are told apart.
+
+    Empty for sets whose ``point`` does that, and for those that bytes cannot count.
+    """
+    if len(shingles) <= WIDE * GROUPS:
+        return np.zeros(0, np.uint8)
+    groups = 1 << (-(-len(shingles) // WIDE) - 1).bit_length()
+    counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return np.zeros(0, np.uint8) if counts.max() > 255 else counts.astype(np.uint8)
+
+
+class WidePoints:
+    """Wide points of some sets, or an empty one. The wider of two is folded to the other's width, which sums its groups."""
+
+    def __init__(self, points: list[np.ndarray]):
+        self.points, self.width = points, np.array([len(p) for p in points], np.int64)
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _rows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """All points of this width or more as rows of this width, and the row of each set."""
+        if width not in self.folded:
+            some = np.flatnonzero(self.width >= width)
+            rows = np.empty((len(some), width), np.uint16 if self.width.max() <= 256 * width else np.uint32)
+            for k, i in enumerate(some):
+                rows[k] = self.points[i].reshape(-1, width).sum(axis=0, dtype=rows.dtype)
+            place = np.zeros(len(self.points), np.int64)
+            place[some] = np.arange(len(some))
+            self.folded[width] = rows, place
+        return self.folded[width]
+
+    def bound(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """A bound of the intersection of each pair, without limit if one of them has no wide point."""
+        out, width = np.full(len(x), 1 << 40, np.int64), np.minimum(self.width[x], self.width[y])
+        for w in np.unique(width[width > 0]).tolist():
+            rows, place = self._rows(w)
+            which, some = np.flatnonzero(width == w), max(1, COMPARED // (w * rows.itemsize))
+            for k in range(0, len(which), some):
+                at = which[k:k + some]
+                out[at] = np.minimum(rows[place[x[at]]], rows[place[y[at]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def points_of(raw: pa.Array) -> np.ndarray:
     """The points of a column without nulls, not copied."""
     return bytes_of(raw)[0].reshape(-1, GROUPS)
 
 
+def wide_of(raw: pa.Array) -> list[np.ndarray]:
+    """The wide points of a column without nulls, not copied."""
+    data, offsets = bytes_of(raw)
+    return [data[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
 def set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """doc (as given), set (null without shingles), n, point of every row."""
+    """doc (as given), set (null without shingles), n, point, wide (point, mostly empty) of every row."""
     def run(batch):
         sets = shingle_sets(batch.column(1), words)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
-                                           pa.array([len(s) for s in sets], pa.int64()), pa.array([point(s).tobytes() for s in sets], pa.binary())],
-                                          names=["doc_id", "set", "n", "point"])
+                                           pa.array([len(s) for s in sets], pa.int64()), pa.array([point(s).tobytes() for s in sets], pa.binary()),
+                                           pa.array([wide_point(s).tobytes() for s in sets], pa.binary())],
+                                          names=["doc_id", "set", "n", "point", "wide"])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs, run, f"doc_id {kind}, set long, n long, point binary")
+    return map_batches(docs, run, f"doc_id {kind}, set long, n long, point binary, wide binary")
 
 
 def _distinct(sets: list[np.ndarray]) -> dict[int, np.ndarray]:
@@ -172,14 +225,18 @@ def first_pairs(groups: DataFrame, percent: int) -> DataFrame:
 def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """The pairs whose points allow a link: sum of the coordinate minima bounds the intersection."""
     def side(x):
-        return points.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
+        return points.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"), F.col("wide").alias(f"w{x}"))
 
     def run(batch):
         na, nb = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("na", "nb"))
         pa_, pb = (points_of(batch.column(batch.schema.get_field_index(c))) for c in ("pa", "pb"))
         inter = np.minimum(pa_, pb).sum(axis=1, dtype=np.int64)
-        keep = pa.array((100 * inter >= percent * (na + nb - inter)) | (pa_[:, 0] == MANY) | (pb[:, 0] == MANY))
-        return batch.select(["a", "b"]).filter(keep)
+        keep = (100 * inter >= percent * (na + nb - inter)) | (pa_[:, 0] == MANY) | (pb[:, 0] == MANY)
+        at = np.flatnonzero(keep)
+        wide = WidePoints([p for c in ("wa", "wb") for p in wide_of(batch.column(batch.schema.get_field_index(c)).take(pa.array(at)))])
+        inter = np.minimum(wide.bound(np.arange(len(at)), np.arange(len(at), 2 * len(at))), np.minimum(na[at], nb[at]))
+        keep[at] = 100 * inter >= percent * (na[at] + nb[at] - inter)
+        return batch.select(["a", "b"]).filter(pa.array(keep))
     return map_batches(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a long, b long")
 
 
@@ -240,13 +297,14 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, per
 class RTree:
     """Points packed into leaves by size; leaves have the upper corners of their boxes."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int, leaf: int = LEAF):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int, leaf: int = LEAF, wide: list[np.ndarray] | None = None):
         coarse = points.reshape(len(points), COARSE, -1).sum(axis=2, dtype=np.int32)
         many = points[:, 0] == MANY
         coarse[many] = 1 << 24
         self.order = np.lexsort((*coarse.T[:2], sizes))
         self.whole, self.points, self.sizes, self.percent = points[self.order].astype(np.int32), coarse[self.order], sizes[self.order], percent
         self.whole[many[self.order]] = 1 << 24
+        self.wide = WidePoints(wide) if wide and any(map(len, wide)) else None
         self.starts = np.arange(0, len(sizes), leaf)
         self.stops = np.append(self.starts[1:], len(sizes))
         self.corner = np.maximum.reduceat(self.points, self.starts)
@@ -281,8 +339,12 @@ class RTree:
                 x, y = x + self.starts[i], y + self.starts[j]
                 overlap = np.minimum(self.whole[x], self.whole[y]).sum(axis=1, dtype=np.int64)
                 keep = self._may_link(overlap, self.sizes[x], self.sizes[y])
-                if keep.any():
-                    yield self.order[x[keep]], self.order[y[keep]]
+                x, y = x[keep], y[keep]
+                if self.wide and len(x):
+                    keep = self._may_link(self.wide.bound(self.order[x], self.order[y]), self.sizes[x], self.sizes[y])
+                    x, y = x[keep], y[keep]
+                if len(x):
+                    yield self.order[x], self.order[y]
 
 
 def neighbourhoods(groups: DataFrame, known: DataFrame, chunk: int) -> DataFrame:
@@ -316,16 +378,19 @@ def _numbers(members: pa.Table, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def with_partners(members: DataFrame, sets: DataFrame, percent: int, bin_rows: int) -> DataFrame:
     """The members that have, by their points, a partner of another component that may link."""
-    bins = max(1, -(-members.count() // bin_rows))
-    rows = members.join(sets.select("set", "point"), "set").withColumn("bin", F.pmod(F.xxhash64("s", "low", "high"), F.lit(bins)))
+    wide = F.when(F.col("n") > WIDE * GROUPS, F.expr(f"n div {WIDE // 2}")).otherwise(0)
+    count, size = members.agg(F.count(F.lit(1)), F.sum(wide + GROUPS)).first()
+    bins = max(1, -(-count // bin_rows), -(-(size or 0) // BIN_BYTES))
+    rows = members.join(sets.select("set", "point", "wide"), "set").withColumn("bin", F.pmod(F.xxhash64("s", "low", "high"), F.lit(bins)))
     columns = members.columns
 
     def run(group: pa.Table) -> pa.Table:
         raw, found = np.concatenate([points_of(c) for c in group.column("point").chunks]), np.zeros(group.num_rows, bool)
+        wide = [p for c in group.column("wide").chunks for p in wide_of(c)]
         for at, side in _searches(group):
             n, part = _numbers(group, at)
             has = np.zeros(len(at), bool)
-            for x, y in RTree(raw[at], n, percent).pairs(part, side, lambda a, b: has[a].all() and has[b].all()):
+            for x, y in RTree(raw[at], n, percent, wide=[wide[i] for i in at]).pairs(part, side, lambda a, b: has[a].all() and has[b].all()):
                 has[x] = has[y] = True
             found[at] = has
         return group.select(columns).filter(pa.array(found))
@@ -344,7 +409,7 @@ def joining_links(members: DataFrame, whole: DataFrame, percent: int) -> DataFra
         for at, side in _searches(group):
             own = [raw[i] for i in at]
             n, part = _numbers(group, at)
-            tree = RTree(np.stack([point(s) for s in own]), n, percent)
+            tree = RTree(np.stack([point(s) for s in own]), n, percent, wide=[wide_point(s) for s in own])
             for x, y in tree.pairs(part, side, lambda a, b: len(a) == 0 or (part[a] == part[a[0]]).all() and (part[b] == part[a[0]]).all()):
                 for i, j in zip(x.tolist(), y.tolist()):
                     if part[i] != part[j] and linked(own[i], own[j], percent):
@@ -361,7 +426,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, set, n, part (smallest set of the component, null without shingles) of every row."""
     rows = stored(set_rows(docs, words), "sets")
-    sets = rows.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"))
+    sets = rows.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"),
+                                                                   F.first("wide").alias("wide"))
 
     around = Window.partitionBy("token")
     groups = prefix_rows(docs, frequent(docs, words), words, percent).repartition("token")
@@ -391,18 +457,30 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, one of each component: its smallest id. Rows without shingles all stay."""
+    """The rows of ``docs``, one of each component: its smallest id. Rows without shingles all stay.
+
+    The ids and sets that go, and those that rows repeat, meet the texts; so the texts are not shuffled as long as these are few.
+    """
     named = _classes(_texts(docs, id_col, text_col), words, percent).filter(F.col("part").isNotNull())
-    own, key, keeps = free(docs, "_llm_set"), free(docs, "_llm_id"), free(docs, "_llm_kept")
-    kept = named.groupBy("part").agg(F.min(F.struct("doc_id", "set")).alias("k")).select(F.col("k.doc_id").alias(key), F.col("k.set").alias(keeps))
+    own, key, name = free(docs, "_llm_set"), free(docs, "_llm_id"), free(docs, "_llm_name")
+    ids = stored(named.groupBy("part", "doc_id", "set").agg(F.count(F.lit(1)).alias("rows")), "classes")
+    kept = ids.groupBy("part").agg(F.min(F.struct("doc_id", "set")).alias("k"))
+    stays = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("set") == F.col("k.set"))
+    marked = ids.join(kept, "part").select(F.col("doc_id").alias(key), F.col("set").alias(name), stays.alias("stays"), "rows")
+    special = stored(marked.filter(~F.col("stays") | (F.col("rows") > 1)), "not-once")
+    drop_stored(ids)
+    few = F.broadcast if special.count() <= BROADCAST_IDS else lambda rows: rows
+    repeated = special.filter("stays")
 
     def run(batch):
         sets = shingle_sets(batch.column(batch.schema.get_field_index(text_col)), words)
         return with_columns(batch, **{own: pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())})
     rows = map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())]))
-    same = (F.col(own) == F.col(keeps)) & F.col(id_col).eqNullSafe(F.col(key))
-    chosen = rows.join(kept, same, "left_semi").dropDuplicates([id_col, own])
-    return chosen.unionByName(rows.filter(F.col(own).isNull())).drop(own)
+    same = (F.col(own) == F.col(name)) & F.col(id_col).eqNullSafe(F.col(key))
+    out = rows.join(few(special.select(key, name)), same, "left_anti")
+    if not repeated.isEmpty():
+        out = out.unionByName(rows.join(few(repeated.select(key, name)), same, "left_semi").dropDuplicates([id_col, own]))
+    return out.drop(own)
 
 
 SQL = r"""
