@@ -65,6 +65,60 @@ def test_a_pass_of_the_search_is_bounded(monkeypatch):
     assert all(np.array_equal(whole[k], parts[k]) for k in whole)
 
 
+def first_order_cases():
+    """Series, left-aligned copies, sizes and parameters up to the edge of the search."""
+    r = np.random.default_rng(7)
+    y, begin = simulate(60, 120, -.4, .9), r.integers(0, 60, 60)
+    y = (y + r.normal(size=(60, 1))) * 10.0 ** r.integers(-3, 4, (60, 1))
+    y[np.arange(120)[None, :] < begin[:, None]] = 0.0
+    left = np.stack([np.r_[row[b:], np.zeros(b)] for row, b in zip(y, begin)])
+    phi, theta = r.uniform(-.99, .99, 60), r.uniform(-.99, .99, 60)
+    phi[:8], theta[4:16], theta[16:20] = 0, [-.9998] * 6 + [.9998] * 6, 0
+    return np.ascontiguousarray(y.T), np.ascontiguousarray(left.T), begin, 120 - begin, phi, theta
+
+
+@pytest.mark.parametrize("const", [np.zeros(60, bool), np.ones(60, bool), np.arange(60) % 3 == 0])
+def test_closed_likelihood_and_its_slopes_are_those_of_the_filter(const):
+    y, left, begin, size, phi, theta = first_order_cases()
+    sums, slopes = arma._first_order_sums(y, left, -theta, slope=True)
+    llf, kept = arma._closed_llf(sums, y.sum(0), size, phi, theta, const)
+    assert (kept > arma.CANCELLED).all()
+    want = arma._first_order_llf(y, phi, theta, const, begin)
+    assert np.allclose(llf, want, rtol=0, atol=1e-7)
+    by_phi, by_turn, _ = arma._closed_slopes(sums, slopes, y.sum(0), size, phi, theta, const)
+    h = 1e-6
+    inside = np.abs(theta) < .995
+    for got, dp, dt in ((by_phi, h, 0), (by_turn, 0, -h)):
+        near = (arma._first_order_llf(y, phi + dp, theta + dt, const, begin) - arma._first_order_llf(y, phi - dp, theta - dt, const, begin)) / (2 * h)
+        assert np.allclose(got[inside], near[inside], rtol=1e-5, atol=1e-4)
+    h = 1e-8
+    near = (arma._first_order_llf(y, phi, theta - h, const, begin) - arma._first_order_llf(y, phi, theta + h, const, begin)) / (2 * h)
+    assert np.allclose(by_turn, near, rtol=1e-3, atol=1e-2)
+
+
+@pytest.mark.parametrize("constant", [True, False])
+def test_a_search_filters_few_series(monkeypatch, constant):
+    """Over-differenced series draw the search to the edge, through hundreds of likelihoods a fit."""
+    seen, llf = [], arma._first_order_llf
+    monkeypatch.setattr(arma, "_first_order_llf", lambda y, *a: seen.append(y.shape[1]) or llf(y, *a))
+    y, one = np.diff(np.random.default_rng(2).normal(size=(50, 200)), axis=1), np.ones(50, int)
+    m = arma.fit(y, one, one, np.full(50, constant))
+    assert sum(seen) <= 3 * 50 and m["converged"].all() and np.median(m["theta"]) < -.95
+
+
+def test_series_whose_sums_cancel_are_filtered():
+    t = np.arange(150.0)
+    y = np.stack([np.ones(150), 100 + 1e-3 * t, 1e6 + np.sin(t), np.r_[1e5, np.random.default_rng(1).normal(size=149)]])
+    one, none = np.ones(4, int), np.zeros(4, bool)
+    m = arma.fit(y, one, one, none)
+    assert m["converged"].all() and np.isfinite(m["llf"]).all()
+    again = arma._first_order_llf(np.ascontiguousarray(y.T), m["phi"][:, 0], m["theta"][:, 0], none, np.zeros(4, int))
+    assert np.allclose(m["llf"], again, rtol=1e-9)
+    for phi, theta in ((.9, 0.), (.99, .5), (.999, 0.), (0., 0.), (.3, .3)):
+        other = arma._first_order_llf(np.ascontiguousarray(y.T), np.full(4, phi), np.full(4, theta), none, np.zeros(4, int))
+        assert (m["llf"] >= other - 1e-6).all()
+
+
 def test_short_rows_fit_as_if_alone():
     y = simulate(1, 120)[0]
     alone = arma.fit(y[None, 40:], np.ones(1, int), np.ones(1, int), np.ones(1, bool))

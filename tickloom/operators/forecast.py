@@ -21,7 +21,7 @@ WARMUP, REFIT_EVERY, MAX_HISTORY, VOL_WINDOW, VOL_MULTIPLIER = 50, 5, 200, 20, 0
 P_VALUES, D_VALUES, Q_VALUES = (0, 1, 2, 3), (0, 1), (0, 1, 2, 3)
 MIN_RETURNS, MIN_TRAIN, HOLDOUT_MIN, HOLDOUT_SHARE, HOLDOUT_MAX_RETURNS = 30, 30, 10, 0.1, 30
 #: Fits of one batch: enough that numpy's cost of a call is small beside its work.
-BLOCKS_PER_CHUNK = 512
+BLOCKS_PER_CHUNK = 2048
 
 
 def _fit_one_order(y, p, d, q, lengths):
@@ -107,7 +107,7 @@ def walk_forward(series: DataFrame, keys: list[str], t: str, value: str, models:
         starts = np.arange(chunk * span, min((chunk + 1) * span, int(pos[-1]) + 1), refit_every)
         at = np.searchsorted(pos, starts)
         keep = at < len(pos)
-        rows, by_length = [], {}
+        parts, by_length = [], {}
         together = known is FORECASTERS
         for i in at[keep]:
             n = min(int(i), max_history)
@@ -127,14 +127,19 @@ def walk_forward(series: DataFrame, keys: list[str], t: str, value: str, models:
                         guess, error = None, "forecast returned the wrong number of values"
                 except (ValueError, np.linalg.LinAlgError) as failure:
                     guess, error = None, str(failure)
-            for b, i in enumerate(heads):
-                for k in range(min(refit_every, len(pos) - i)):
-                    p = guess[b, k] if guess is not None else np.nan
-                    bad = error or (None if np.isfinite(p) and p > 0 else "forecast returned invalid prediction values")
-                    rows.append((*key[:-2], model, times[i - 1] if i else None, times[i + k], k + 1,
-                                 v[i - 1] if i else np.nan, p if bad is None else None, vol[b], bad))
+            block, k = np.nonzero(heads[:, None] + np.arange(refit_every)[None, :] < len(pos))
+            i = heads[block]
+            p = guess[block, k] if guess is not None else np.full(len(i), np.nan)
+            with np.errstate(invalid="ignore"):
+                good = np.isfinite(p) & (p > 0)
+            before = pd.Series(times[i - 1])
+            parts.append(pd.DataFrame({
+                **{name: [x] * len(i) for name, x in zip(keys, key)}, "model": model, "signal_time": before.where(pd.Series(i > 0), None),
+                "execution_time": times[i + k], "step": (k + 1).astype(np.int32), "reference_price": np.where(i > 0, v[i - 1], np.nan),
+                "predicted_price": np.where(good, p, np.nan) if error is None else np.full(len(i), np.nan), "volatility_pct": vol[block],
+                "error": error if error is not None else np.where(good, None, "forecast returned invalid prediction values")}))
         names = [*keys, "model", "signal_time", "execution_time", "step", "reference_price", "predicted_price", "volatility_pct", "error"]
-        return pd.DataFrame(rows, columns=names)
+        return pd.concat(parts, ignore_index=True)[names] if parts else pd.DataFrame([], columns=names)
 
     return chunks.groupBy(*keys, "chunk", "model").applyInPandas(run, schema).unionByName(refused)
 
