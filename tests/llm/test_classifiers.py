@@ -1,5 +1,6 @@
 """Operators 4 and 6: held-out results on the test tables and the defined cases."""
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.llm import language_id as G, toxicity as X
@@ -88,3 +89,66 @@ def test_quotation_and_cases(spark):
     assert X.rate(df.limit(0), model).count() == 0
     none = X.rate(df, X.fit(df.filter("toxic = 0"))).collect()
     assert {r["_llm_predicted"] for r in none} == {0}
+
+
+def test_words_are_those_of_the_pattern():
+    texts = ["".join(map(chr, range(256))), "a_b-c d e\x85f\x1cg µm² ªx ÀÉ ß", "naïve “quoted” 漢字 x_y", "", "_", "don't stop", "x" * 5000]
+    for text in texts:
+        assert X.words_of(text) == X._word.findall(text)
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_places_of_matching_words(monkeypatch, few):
+    monkeypatch.setattr(X, "FEW", few)
+    text = "ab abab ab_ab xab abx -ab- éab ab\n漢ab ab² abab ab"
+    found = {"ab": (1.0, 0), "abab": (1.0, 0), "x": (1.0, 0)}
+    assert X.places(text, found) == [(m.start(), m[0]) for m in X._word.finditer(text) if m[0] in found]
+
+
+def test_near_terms_of_each_length_are_walked():
+    """Terms that no word of this length can be near are neither in the trie nor among the pieces."""
+    terms = {"abcd": 1.0, "efghi": 2.0, "jklmnopqrstu": 3.0, "xyz": 4.0, "stems*": 5.0, "stemsof": 6.0}
+    lexicon = X.Lexicon(terms)
+    assert set().union(*(p for *_, p in lexicon.tables(4)[0])) == {"ab", "cd", "ef", "ghi"}
+    assert not lexicon.tables(8)[0] and not lexicon.tables(8)[1][0]
+    assert lexicon.match("xyzz") is None and lexicon.match("xyz") == (4.0, 0) and lexicon.match("stemsoff") == (5.0, 0)
+    assert lexicon.match("jkmnopqrsstu") == (3.0, 2) and lexicon.match("bcd") == (1.0, 1)
+
+
+def plain_lexicon(rows):
+    """Terms that pass, from all words of all texts (each of weight 1)."""
+    n1 = sum(y for _, y in rows)
+    n0, total, counts = len(rows) - n1, len(rows), {}
+    for text, y in rows:
+        words = set(text.split())
+        for w in words | {f"{w[:n]}*" for w in words for n in X.STEMS if len(w) > n}:
+            counts.setdefault(w, [0, 0])[1 - y] += 1
+    out = {}
+    for w, (t, c) in counts.items():
+        df = t + c
+        cells = ((t, df * n1 / total), (c, df * n0 / total), (n1 - t, (total - df) * n1 / total), (n0 - c, (total - df) * n0 / total))
+        p = (t + .5 * n1 / total) / (df + .5)
+        if 2 * sum(a * np.log(a / b) for a, b in cells if a) >= X.SURE and p >= .5:
+            out[w] = np.log(p / max(1e-3, 1 - p)) + np.log(n0 / n1)
+    return out
+
+
+@pytest.mark.parametrize("share,terms", [(.1, 500_000), (.1, 0), (.6, 500_000), (.9, 500_000)])
+def test_the_lexicon_is_that_of_all_words_counted(spark, monkeypatch, share, terms):
+    monkeypatch.setattr(X, "BROADCAST_TERMS", terms)
+    r = np.random.default_rng(int(share * 10))
+    rows = []
+    for i in range(600):
+        y = int(r.random() < share)
+        words = [f"{'toxic' if r.random() < .25 * y + .02 else 'plain'}{'abcdefgh'[r.integers(8)]}{r.integers(12)}" for _ in range(25)] + [f"own{i}x{k}" for k in range(5)]
+        rows.append((" ".join(words), y))
+    model = X.fit(spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "doc_id long, text string, toxic int").repartition(3), sample=100)
+    want = plain_lexicon(rows)
+    assert model.weights.keys() == want.keys() and all(abs(model.weights[w] - x) < 1e-9 for w, x in want.items())
+    assert len(want) > 5 or share > .8
+
+
+def test_only_wanted_words_of_clean_texts_are_counted(spark):
+    rows = spark.createDataFrame([("idiotic thing", 1.0), ("idiots idiot other", .5), (None, 1.0)], "text string, weight double")
+    assert {tuple(x) for x in X.count_words(rows, {"other", "idiot", "idiot*", "missing"}).collect()} == {("other", .5), ("idiot", .5), ("idiot*", 1.5)}
+    assert X.count_words(rows).count() == 7

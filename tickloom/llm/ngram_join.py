@@ -51,18 +51,18 @@ SPLIT = 1 << 20
 _factors = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
-def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text, taken over about ``SPLIT`` bytes of texts at a time."""
+def shingle_sets(texts: pa.Array, words: int = WORDS, distinct: bool = True) -> list[np.ndarray]:
+    """Shingle hashes of each text, sorted and distinct if asked for, taken over about ``SPLIT`` bytes of texts at a time."""
     _, offsets = bytes_of(texts)
     out, at = [], 0
     while at < len(texts):
         upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SPLIT, "right")) - 1)
-        out += _shingle_sets(texts.slice(at, upto - at), words)
+        out += _shingle_sets(texts.slice(at, upto - at), words, distinct)
         at = upto
     return out
 
 
-def _shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+def _shingle_sets(texts: pa.Array, words: int, distinct: bool) -> list[np.ndarray]:
     data, offsets = bytes_of(texts)
     data = LOWER[data]
     start, end, first = word_spans(data, offsets)
@@ -76,7 +76,7 @@ def _shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
             total = own[:n - words + 1] * factors[0]
             for k in range(1, words):
                 total += own[k:n - words + 1 + k] * factors[k]
-            out.append(np.unique(mix(total)))
+            out.append(np.unique(mix(total)) if distinct else mix(total))
         elif n:
             out.append(mix((own * np.array(factors[:n])).sum(keepdims=True) + np.uint64(n)))
         else:
